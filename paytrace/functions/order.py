@@ -21,54 +21,45 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> di
     ``wanted`` maps an output name to (column, p). An approximate percentile with a proven rank error
     brackets each rank; only values inside the brackets are ranked, so the ranked part stays at about
     ``4 / ACCURACY`` of the distinct values however large the input is. Returns plain numbers: one per
-    request.
+    request. An empty column gives ``None``.
     """
-    eps = 2.0 / ACCURACY
-    first = []
-    for name, (col, p) in wanted.items():
-        x = F.col(col).cast("double")
-        lo, hi = max(0.0, p - eps), min(1.0, p + eps)
-        first += [
-            F.count(x).alias(f"{name}__n"),
-            F.percentile_approx(x, F.array(F.lit(lo), F.lit(hi)), F.lit(ACCURACY)).alias(f"{name}__b"),
-        ]
-    head = df.agg(*first).first()
-    slots, result = [], {}
-    for name, (col, p) in wanted.items():
-        n = head[f"{name}__n"]
-        if not n:
-            result[name] = None
-            continue
-        lo, hi = head[f"{name}__b"]
-        slots.append((name, col, lo, hi, p * (n - 1)))
-    if not slots:
-        return result
-    # Values below a bracket are merely counted; only bracketed values are listed and ranked.
-    below = df.agg(*[F.count_if(F.col(col).cast("double") < lo).alias(name) for name, col, lo, _, _ in slots]).first()
-    inside = F.filter(
-        F.array(*[
-            F.struct(F.lit(name).alias("name"), F.col(col).cast("double").alias("v"),
-                     F.coalesce(F.col(col).cast("double").between(lo, hi), F.lit(False)).alias("keep"))
-            for name, col, lo, hi, _ in slots
-        ]),
-        lambda s: s["keep"],
+    spark = df.sparkSession
+    columns = sorted({c for c, _ in wanted.values()})
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = df.select(values.alias("s")).select("s.*").where("v IS NOT NULL")
+    n = {r["name"]: r["n"] for r in long.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        return dict.fromkeys(wanted)
+    eps = 2.0 / ACCURACY + 2.0 / min(n.values())
+    points = sorted({p for _, p in wanted.values()})
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in points for d in (-eps, eps)])
+    near = {
+        r["name"]: r["b"]
+        for r in long.groupBy("name").agg(F.percentile_approx("v", ends, F.lit(ACCURACY)).alias("b")).collect()
+    }
+    slots = [
+        (out, c, near[c][2 * points.index(p)], near[c][2 * points.index(p) + 1], p * (n[c] - 1))
+        for out, (c, p) in wanted.items() if c in n
+    ]
+    # One row per request, so the broadcast is as small as the request list.
+    table = spark.createDataFrame(slots, "out string, name string, lo double, hi double, pos double")
+    listed = (
+        long.join(F.broadcast(table), "name").where(F.col("v") <= F.col("hi"))
+        .groupBy("out", "pos", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     )
-    counts = df.select(F.explode(inside).alias("s")).groupBy("s.name", "s.v").agg(F.count("*").alias("c"))
-    facts = F.create_map(*[x for name, _, _, _, pos in slots for x in (
-        F.lit(name), F.struct(F.lit(int(below[name])).alias("below"), F.lit(float(pos)).alias("pos")))])
-    upto = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("f", facts[F.col("name")]).select(
-        "name", "v", "c", F.col("f.pos").alias("pos"), (F.sum("c").over(upto) + F.col("f.below")).alias("end"))
+    # v is null for everything below the bracket; nulls sort first.
+    upto = Window.partitionBy("out").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = listed.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
     k0, k1 = F.floor("pos"), F.ceil("pos")
-    start = F.col("end") - F.col("c")
-    picks = ranked.groupBy("name", "pos").agg(
-        F.max(F.when((start <= k0) & (k0 < F.col("end")), F.col("v"))).alias("v0"),
-        F.max(F.when((start <= k1) & (k1 < F.col("end")), F.col("v"))).alias("v1"),
+    picks = ranked.groupBy("out", "pos").agg(
+        F.max(F.when((F.col("start") <= k0) & (k0 < F.col("end")), F.col("v"))).alias("v0"),
+        F.max(F.when((F.col("start") <= k1) & (k1 < F.col("end")), F.col("v"))).alias("v1"),
     )
+    result: dict[str, float | None] = dict.fromkeys(wanted)
     for row in picks.collect():
         if row.v0 is None or row.v1 is None:
-            raise ArithmeticError(f"rank of {row['name']} fell outside its bracket")
-        result[row["name"]] = row.v0 + (row.v1 - row.v0) * (row.pos - int(row.pos))
+            raise ArithmeticError(f"rank of {row.out} fell outside its bracket")
+        result[row.out] = row.v0 + (row.v1 - row.v0) * (row.pos - int(row.pos))
     return result
 
 

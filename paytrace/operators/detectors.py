@@ -249,13 +249,14 @@ def circular_flows(tx: DataFrame, strong: DataFrame | None = None, lengths=(3, 4
         loops = loops.unionByName(more)
     first = F.array_position("path", F.array_min("path")).cast("int")
     canonical = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1))
-    order = F.struct("start_t", "end_t", "first_amount", "closing_amount", "hops")
+    ids = F.array_join(F.transform("hops", lambda h: h["transaction_id"]), ">")
+    order = F.struct("start_t", "end_t", "first_amount", "closing_amount", ids.alias("ids"), "hops")
     best = loops.select(canonical.alias("nodes"), "length", order.alias("o")).groupBy("nodes", "length").agg(
         F.min("o").alias("o"), F.count("*").alias("instances"))
     return best.select(
         "nodes", "length", "instances", (F.col("o.end_t") - F.col("o.start_t")).alias("loop_duration_seconds"),
         F.round(dbl("o.closing_amount") / dbl("o.first_amount"), 3).alias("amount_retained_ratio"),
-        F.col("o.start_t").alias("start_t"), F.col("o.hops").alias("hops"),
+        F.col("o.start_t").alias("t"), F.col("o.hops").alias("hops"),
     )
 
 

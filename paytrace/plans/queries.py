@@ -287,7 +287,7 @@ def _(spark, folder):
 @query("pt3d_loop_details")
 def _(spark, folder):
     return _loops(spark, folder).select(
-        F.array_join("nodes", ">").alias("nodes"), "start_t", "loop_duration_seconds", "amount_retained_ratio",
+        F.array_join("nodes", ">").alias("nodes"), "t", "loop_duration_seconds", "amount_retained_ratio",
         F.array_join(F.transform("hops", lambda h: h["transaction_id"]), ">").alias("hops"))
 
 

@@ -72,8 +72,9 @@ def tumbling_counts(stream: DataFrame, path: str, horizon: str = HORIZON) -> Dat
             "overwrite").parquet(f"{path}/hours/batch={number}")
 
     _run(sides, hours, f"{path}/h")
-    slots = sides.withWatermark("ts", horizon).withColumn("slot", F.window("ts", "2 hours")).dropDuplicates(
-        ["account_id", "counterparty", "is_out", "slot"])
+    # The end of the bucket is the event time, so state is dropped once a whole bucket is past.
+    slots = sides.withColumn("ts", F.timestamp_seconds((bucket("t", fixed.TWO_HOURS) + 1) * fixed.TWO_HOURS)).withWatermark(
+        "ts", horizon).dropDuplicates(["account_id", "counterparty", "is_out", "ts"])
 
     def distinct(df: DataFrame, number: int) -> None:
         df.groupBy("account_id", bucket("t", fixed.TWO_HOURS).alias("slot")).agg(
