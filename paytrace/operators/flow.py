@@ -44,10 +44,13 @@ def _chunks(tx: DataFrame, chunk_rows: int) -> DataFrame:
     side = F.explode(F.array("sender_id", "receiver_id"))
     load = tx.select(side.alias("account"), bucket("t", fixed.HOUR).alias("hour")).groupBy("account", "hour").count()
     whole = load.groupBy("account").agg(F.sum("count").alias("n")).where(F.col("n") > chunk_rows).select("account")
-    upto = Window.partitionBy("account").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    return load.join(whole, "account", "left_semi").select(
+    hours = Window.partitionBy("account").orderBy("hour")
+    upto = hours.rowsBetween(Window.unboundedPreceding, -1)
+    cut_at = F.floor(F.coalesce(F.sum("count").over(upto), F.lit(0)) / chunk_rows)
+    # A busy hour can jump over a multiple of ``chunk_rows``; ranking makes the chunk numbers dense.
+    return load.join(whole, "account", "left_semi").withColumn("cut_at", cut_at).select(
         "account", "hour",
-        F.floor(F.coalesce(F.sum("count").over(upto), F.lit(0)) / chunk_rows).cast("int").alias("chunk"))
+        (F.dense_rank().over(Window.partitionBy("account").orderBy("cut_at")) - 1).alias("chunk"))
 
 
 def _replay(min_units: int, max_inbox: int):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import prepare
+
 
 RAW_SCHEMA = (
     "transaction_id string, tx_id string, sender_id string, sender string, receiver_id string, receiver string, "
@@ -17,6 +19,7 @@ def read_transfers(spark: SparkSession, path: str, fmt: str = "json", **options:
 
     JSON may be one record per line or, with ``multiLine="true"``, an array. Parquet keeps its types.
     """
+    prepare(spark)
     if fmt == "parquet":
         return spark.read.options(**options).parquet(path)
     if fmt == "orc":

@@ -23,7 +23,19 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the results depend on. Safe to call again.
+
+    Times are epoch seconds in UTC. A union must not claim its children's partitioning: adaptive
+    execution coalesces the children separately (seen in 4.1.2), and a shuffle skipped on the strength
+    of that claim would leave rows of one key in two tasks.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; on a cluster a machine-local path
     would vanish with its machine.
     """
-    sc = spark.sparkContext
+    sc = prepare(spark).sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import prepare
+
 TX_EVENTS = """
 SELECT concat('TX_', event_id) AS transaction_id,
        concat('U', user_id) AS sender_id,
@@ -57,7 +59,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, folder: str, text: str, *tables: str) -> DataFrame:
-    return spark.sql(text, **{name: _table(spark, folder, name) for name in tables})
+    return prepare(spark).sql(text, **{name: _table(spark, folder, name) for name in tables})
 
 
 def tx_events_raw(spark: SparkSession, folder: str) -> DataFrame:
