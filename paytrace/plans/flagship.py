@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..operators import behaviour, detectors, graph, report, scoring, validate
 from ..sources import views
+from ..sources.session import cut
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One plan without iteration: validate, detect bursts, pass-through and structuring, score, explain."""
-    tx = validate.valid(validate.check(views.tx_raw(spark, folder)))
-    totals, degree = behaviour.inputs(tx)
-    near = detectors.structuring(tx)
-    rapid = detectors.rapid_payments(tx)
-    flags = detectors.flags({
+    """Validate, detect bursts, pass-through and structuring, score and explain. Tables that several
+    steps read are written to the shared folder once."""
+    tx = cut(validate.valid(validate.check(views.tx_raw(spark, folder))))
+    totals, degree = (cut(df) for df in behaviour.inputs(tx))
+    near, rapid = cut(detectors.structuring(tx)), cut(detectors.rapid_payments(tx))
+    flags = cut(detectors.flags({
         "fan_in": detectors.fan_in(tx, degree), "fan_out": detectors.fan_out(tx, degree),
-        "rapid_movement": rapid, "structuring": near})
+        "rapid_movement": rapid, "structuring": near}))
     pairs = graph.edge_pairs(tx)
     none = spark.createDataFrame([], "account_id string, component_size bigint, cycle_count bigint, chain_length int")
     features = behaviour.feature_vector(
