@@ -111,7 +111,7 @@ def trace(tx: DataFrame, windows=(fixed.FAST_WINDOW, fixed.SLOW_WINDOW), min_amo
     rewritten, and from the second round on a round reads only chunks with a changed receipt or inbox.
     """
     spark = tx.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     min_units = int(min_amount * 10000)
     use = tx.select(
         F.col("transaction_id").alias("tx"), F.col("sender_id").alias("sender"), F.col("receiver_id").alias("receiver"),
