@@ -27,7 +27,9 @@ def sql(select: str) -> str:
     need(select)
     if not needed:
         return select
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + select
+    # Chained iterations are computed once each instead of being expanded into one another.
+    kept = {n: "AS MATERIALIZED" if n.startswith("rank_") else "AS" for n in needed}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} {kept[n]} ({CTES[n]})" for n in needed) + "\n" + select
 
 
 def r(x: str, places: int = 6) -> str:
@@ -227,10 +229,11 @@ for _i in range(1, 31):
 SELECT n.account_id, 0.15/(SELECT count(*) FROM ev_nodes) + 0.85*(coalesce(g.got, 0)
   + coalesce((SELECT sum(v) FROM rank_{_i - 1} WHERE account_id NOT IN (SELECT src FROM payers)), 0)/(SELECT count(*) FROM ev_nodes)) AS v
 FROM ev_nodes n LEFT JOIN (SELECT dst, sum(share*v) AS got FROM shares JOIN rank_{_i - 1} ON src = account_id GROUP BY dst) g ON g.dst = n.account_id"""
-ORACLES["gr11_pagerank"] = sql(f"SELECT account_id, {r('v*(SELECT count(*) FROM ev_nodes)', 4)} AS pagerank FROM rank_30").replace(
-    "rank_0 AS (", "rank_0 AS MATERIALIZED (")
-for _i in range(1, 31):
-    ORACLES["gr11_pagerank"] = ORACLES["gr11_pagerank"].replace(f"rank_{_i} AS (", f"rank_{_i} AS MATERIALIZED (")
+ORACLES["gr11_pagerank"] = sql(f"SELECT account_id, {r('v*(SELECT count(*) FROM ev_nodes)', 4)} AS pagerank FROM rank_30")
+CTES["hops_out"] = "SELECT a.src AS account_id, count(DISTINCT b.dst) AS f FROM ev_pairs a JOIN ev_pairs b ON a.dst = b.src GROUP BY 1"
+CTES["hops_in"] = "SELECT b.dst AS account_id, count(DISTINCT a.src) AS g FROM ev_pairs a JOIN ev_pairs b ON a.dst = b.src GROUP BY 1"
+CTES["triads"] = """
+SELECT a.src AS account_id, count(*) AS c FROM ev_pairs a JOIN ev_pairs b ON a.dst = b.src JOIN ev_pairs c ON b.dst = c.src AND c.dst = a.src GROUP BY 1"""
 ORACLES["gr12_two_hop"] = sql("""
 SELECT account_id, coalesce(f, 0) AS two_hop_out, coalesce(g, 0) AS two_hop_in
 FROM (SELECT a.src AS account_id, count(DISTINCT b.dst) AS f FROM ev_pairs a JOIN ev_pairs b ON a.dst = b.src GROUP BY 1)
@@ -618,6 +621,16 @@ SELECT account_id, member, min(k) AS k FROM (
 ORACLES["rp5_related_accounts"] = sql("""
 SELECT account_id, string_agg(member, ',' ORDER BY n) AS related
 FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY k, member) AS n FROM related_all) WHERE n <= 12 GROUP BY 1""")
+_lists = [f"CASE WHEN list_contains(found, '{p}') THEN [{', '.join(quoted(t) for t in steps)}] ELSE CAST([] AS VARCHAR[]) END" for p, steps in fixed.NEXT_STEPS]
+CTES["advice"] = f"""
+SELECT account_id, list_concat(flatten([{', '.join(_lists)}])[1:{fixed.MAX_STEPS}],
+  list_filter([CASE WHEN k.related IS NOT NULL AND risk_level <> 'LOW' THEN 'Open linked cases for '||array_to_string(k.related[1:4], ', ')
+                 ||CASE WHEN len(k.related) > 4 THEN ' and others' ELSE '' END||' in the network view.' END,
+               CASE risk_level {' '.join(f"WHEN '{lv}' THEN {quoted(t)}" for lv, t in fixed.CLOSING_STEPS.items())} END], lambda x: x IS NOT NULL)) AS steps
+FROM scored LEFT JOIN (SELECT account_id, list(member ORDER BY n) AS related
+  FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY k, member) AS n FROM related_all) WHERE n <= 12 GROUP BY 1) k USING (account_id)"""
+ORACLES["rp6_next_steps"] = sql("""
+SELECT account_id, i - 1 AS position, steps[i] AS step FROM (SELECT account_id, steps, unnest(range(1, len(steps) + 1)) AS i FROM advice)""")
 ORACLES["rp8_node_table"] = sql(f"""
 SELECT account_id, risk_score, risk_level, array_to_string({ORDERED}, ',') AS patterns, len(found) > 0 AS has_patterns, in_degree, out_degree, total_degree,
        {r('weighted_in_degree', 2)} AS incoming_amount, {r('weighted_out_degree', 2)} AS outgoing_amount, {r('net_weight_flow', 2)} AS net_flow, transaction_count FROM scored""")
@@ -635,6 +648,15 @@ SELECT count(*) AS total_accounts, count(*) FILTER (risk_level IN ('HIGH','CRITI
        {r('avg(risk_score)', 1)} AS average_risk_score, (SELECT count(*) FROM ev) AS total_transactions,
        (SELECT count(*) FROM pattern_counts WHERE status = 'Detected') AS active_detection_patterns,
        (SELECT c FROM ev_multi) + (SELECT count(*) FROM pattern_counts WHERE status = 'Detected') AS suspicious_networks FROM scored""")
+CTES["ev_strong"] = """
+SELECT a AS account_id, count(*) AS size FROM (SELECT x.a, x.b FROM ev_reach x JOIN ev_reach y ON x.a = y.b AND x.b = y.a
+UNION SELECT account_id, account_id FROM ev_nodes) GROUP BY a"""
+ORACLES["fs15_topology"] = sql(f"""
+SELECT n.account_id, {r('mutual/u', 4)} AS reciprocity, {r('v*(SELECT count(*) FROM ev_nodes)', 4)} AS pagerank, {d('z.size')} AS scc_size,
+       {d('coalesce(t.c, 0)')} AS triad_cycles, {d('coalesce(f, 0)')} AS two_hop_out, {d('coalesce(g, 0)')} AS two_hop_in, {r('m.a', 4)} AS avg_neighbor_degree
+FROM ev_deg n JOIN rank_30 k USING (account_id) JOIN ev_strong z USING (account_id) LEFT JOIN triads t USING (account_id)
+LEFT JOIN hops_out USING (account_id) LEFT JOIN hops_in USING (account_id)
+JOIN (SELECT node AS account_id, avg(u) AS a FROM ev_both JOIN ev_deg ON nbr = account_id GROUP BY 1) m USING (account_id)""")
 ORACLES["rp11_volume_timeline"] = sql(
     f"SELECT strftime(make_timestamp(t*1000000), '%Y-%m-%d %H') AS time, {r('sum(amount)', 2)} AS volume, count(*) AS count FROM ev GROUP BY 1")
 ORACLES["rp12_risk_distribution"] = sql("""
@@ -667,7 +689,6 @@ SELECT src, dst, array_to_string(shared, ',') AS shared_patterns,
        len(shared) > 0 OR l1 IN ('HIGH','CRITICAL') OR l2 IN ('HIGH','CRITICAL') OR (l1 = 'MEDIUM' AND l2 = 'MEDIUM') AS is_suspicious
 FROM (SELECT src, dst, list_sort(list_intersect(a.found, b.found)) AS shared, a.risk_level AS l1, b.risk_level AS l2
       FROM ev_pairs JOIN scored a ON a.account_id = src JOIN scored b ON b.account_id = dst)""")
-_stars = "repeat('*', {})"
 ORACLES["rp25_masking"] = """
 SELECT c_custkey, array_to_string(list_transform(string_split_regex(c_name||' '||c_mktsegment, '\\s+'),
          lambda w: CASE WHEN length(w) <= 1 THEN '*' ELSE w[1]||repeat('*', greatest(length(w) - 1, 3)) END), ' ') AS name,
