@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,17 +37,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that survives lost executors: the one the cluster names in ``spark.checkpoint.dir``.
+    """Folder that survives lost executors: the one the session names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster a machine-local path
-    would vanish with its machine.
+    Where that is unset, a folder below the warehouse, which all executors share as well.
     """
     sc = prepare(spark).sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="paytrace-checkpoints-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paytrace-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
