@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import mixing, quality, shards
+from paytrace.llm import langid, mixing, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents")).drop("words_removed", "key")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rate_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(_table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.balance(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +38,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_shards": op3_shards,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op10_mixing": op10_mixing,
 }
