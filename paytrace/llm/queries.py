@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import langid, mixing, quality, shards, toxicity
+from paytrace.llm import langid, mixing, neardup, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.components(_table(spark, folder, "documents"))
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.place(_table(spark, folder, "documents"))
 
@@ -37,6 +41,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_shards": op3_shards,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
