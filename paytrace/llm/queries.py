@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import langid, mixing, neardup, quality, shards, toxicity
+from paytrace.llm import langid, mixing, neardup, pieces, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(_table(spark, folder, "documents"))
 
 
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.balance(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -46,5 +50,6 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
+    "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
 }
