@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with numpy, for models of merged pieces with byte fallback.
 
-A Viterbi pass over each distinct word: all new words of one length advance together, one end position at a
-time; hashes of the substrings that end there probe the sorted keys of all pieces; a found piece is a
+Texts are cut into words wherever two neighbouring characters occur together in no piece. Each distinct word
+gets a Viterbi pass: all new words of one length advance together, one end position at a time; hashes of the substrings that end there probe the sorted keys of all pieces; a found piece is a
 candidate if merging by rank would leave it and the best last piece before it side by side; the longest
 candidate and its length are kept as state and backpointer. For every prefix exactly one piece passes that
 test, so the path read back from the end is what merging pair by pair gives.
@@ -19,12 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import mix
+from paytrace.llm.common import mix, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"  # stands for a space
-ROWS = 2_000  # documents whose words are looked up together
-CACHE = 300_000  # words whose pieces a task remembers
+GAP_CODE = ord(GAP)
+CHARS = 3_000_000  # characters whose words are looked up together, unless one text alone is longer
+CACHE = 600_000  # words whose pieces a task remembers
+DIRECT = 1 << 10  # code points below are looked up in square tables
+SIEVE = 1 << 20
+MEMO = 1 << 21
 NEVER = 1 << 40
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
@@ -48,11 +52,14 @@ class Pieces:
     pair_ranks: np.ndarray
     ids: dict[str, int]
     gap_ids: dict[int, int]  # runs of spaces
-    words: dict[str, int] = field(default_factory=dict)
-    starts: list[int] = field(default_factory=list)
-    counts: list[int] = field(default_factory=list)
-    flat: list[np.ndarray] = field(default_factory=list)
-    used: int = 0
+    sieve: np.ndarray  # which low bits occur among ``keys``
+    near: np.ndarray  # pairs of low code points that are neighbours in a piece
+    far: np.ndarray  # the same for all code points, as sorted numbers
+    memo: np.ndarray  # pairs of pieces tested before, by a hash; bit 0 holds the result
+    words: dict[int, int] = field(default_factory=dict)  # by hash, of the words met so far
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
 
 def _key_table(codes: np.ndarray) -> np.ndarray:
@@ -147,8 +154,15 @@ def load(path: str = MODEL) -> Pieces:
     order = np.argsort(keys)
     pair_keys = np.array(sorted(pairs), np.int64)
     gaps = {len(names[i]): int(i) for i in np.flatnonzero(spaces & is_text)}
+    sieve = np.zeros(SIEVE, bool)
+    sieve[(keys & np.uint64(SIEVE - 1)).astype(np.int64)] = True
+    neighbours = np.array(sorted({(ord(a) << 21) | ord(b) for i in reached for a, b in zip(names[i], names[i][1:])}), np.int64)
+    near = np.zeros((DIRECT, DIRECT), bool)
+    low = neighbours[((neighbours >> 21) < DIRECT) & ((neighbours & 0x1FFFFF) < DIRECT)]
+    near[low >> 21, low & 0x1FFFFF] = True
     return Pieces(names, byte_ids, is_byte, is_text, rank, left, right, keys[order], np.array(reached)[order],
-                  max(len(names[i]) for i in reached), pair_keys, np.array([pairs[k] for k in pair_keys.tolist()], np.int64), ids, gaps)
+                  max(len(names[i]) for i in reached), pair_keys, np.array([pairs[k] for k in pair_keys.tolist()], np.int64),
+                  ids, gaps, sieve, near, neighbours, np.full(MEMO, -1, np.int64))
 
 
 def _pair_rank(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,6 +172,18 @@ def _pair_rank(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compatible(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``side_by_side``, remembered in a table of fixed size."""
+    pair = (a * (len(m.names) + 1) + b) * 2
+    slot = (mix(pair.astype(np.uint64)) & np.uint64(MEMO - 1)).astype(np.int64)
+    held = m.memo[slot]
+    ok = (held & 1).astype(bool)
+    new = np.flatnonzero((held & ~1) != pair)
+    ok[new] = side_by_side(m, a[new], b[new])
+    m.memo[slot[new]] = pair[new] | ok[new]
+    return ok
+
+
+def side_by_side(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether merging leaves ``a`` and ``b`` side by side.
 
     Both are taken apart from the boundary outwards, the later merge first. Two pieces that met at the
@@ -181,76 +207,86 @@ def compatible(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _viterbi(m: Pieces, words: list[str], length: int) -> list[list[int]]:
-    """Pieces of words that all have ``length`` characters."""
+def _find(m: Pieces, keys: np.ndarray) -> np.ndarray:
+    """Piece of each key, the number behind the last piece where there is none."""
+    out = np.full(len(keys), len(m.names), np.int64)
+    rows = np.flatnonzero(m.sieve[(keys & np.uint64(SIEVE - 1)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(m.keys, keys[rows]), len(m.keys) - 1)
+    out[rows] = np.where(m.keys[at] == keys[rows], m.key_ids[at], len(m.names))
+    return out
+
+
+def _viterbi(m: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of words of one length, one word a row of ``codes``: all ids in a row, and the number of each word's."""
     unknown = len(m.names)
-    codes = _codes(words, length)
+    n, length = codes.shape
     table = _key_table(codes)
-    last = np.full((len(words), length + 1), -1, np.int64)
-    back = np.zeros((len(words), length + 1), np.int64)
+    last = np.full((length + 1, n), -1, np.int64)
+    back = np.ones((length + 1, n), np.int64)
     for end in range(1, length + 1):
         for width in range(1, min(end, m.longest) + 1):
             start = end - width
-            keys = _keys_between(table, start, end)
-            at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
-            found = m.keys[at] == keys
-            piece = np.where(found, m.key_ids[at], unknown)
-            rows = np.flatnonzero((found | (width == 1)) & ((last[:, start] >= 0) | (start == 0)))
+            piece = _find(m, _keys_between(table, start, end))
+            rows = np.flatnonzero((piece < unknown) & ((last[start] >= 0) if start else True)) if width > 1 else np.arange(n)
             if start and len(rows):
-                before, here = last[rows, start], piece[rows]
-                known = (before < unknown) & (here < unknown)
-                fits = ~known
+                before, here = last[start, rows], piece[rows]
+                fits = before >= 0
+                known = fits & (before < unknown) & (here < unknown)
                 fits[known] = compatible(m, before[known], here[known])
                 rows = rows[fits]
-            last[rows, end] = piece[rows]
-            back[rows, end] = width
-    ends = np.full(len(words), length)
-    path: list[np.ndarray] = []
-    done = last[:, length] < 0
+            last[end, rows] = piece[rows]
+            back[end, rows] = width
+    path, every, ends = [], np.arange(n), np.full(n, length)
     while (ends > 0).any():
-        here = np.where(ends > 0, last[np.arange(len(words)), ends], -1)
-        path.append(here)
-        ends = ends - np.where(ends > 0, np.maximum(back[np.arange(len(words)), ends], 1), 0)
+        path.append(np.where(ends > 0, last[ends, every], -2))
+        ends = ends - np.where(ends > 0, back[ends, every], 0)
     found = np.stack(path[::-1], axis=1)
-    out = []
-    for i, row in enumerate(found):
-        if done[i]:  # cannot be reached by the test above; merge pair by pair
-            parts, _ = merge(list(words[i]), {m.names[k]: m.rank[k] for k in np.flatnonzero(m.rank >= 0)})
-            out.append([q for p in parts for q in ([m.ids[p]] if p in m.ids else m.byte_ids[list(p.encode())].tolist())])
-            continue
-        row = row[row >= 0]
-        if (row < unknown).all():
-            out.append(row.tolist())
-            continue
-        ids, at = [], 0
-        for k in row.tolist():
-            width = 1 if k == unknown else len(m.names[k])
-            ids += [k] if k < unknown else m.byte_ids[list(words[i][at:at + 1].encode())].tolist()
-            at += width
-        out.append(ids)
-    return out
-
-
-def _learn(m: Pieces, words: list[str]) -> None:
-    """Adds the pieces of new words; each word is spelled with the space before it."""
+    odd = np.flatnonzero((found == unknown).any(axis=1) | (found == -1).any(axis=1))
+    used = found >= 0
+    if not len(odd):
+        return found[used], used.sum(axis=1)
+    rows = [r[u] for r, u in zip(found, used)]
+    for i in odd:
+        rows[i] = np.array(_spelled(m, "".join(map(chr, codes[i])), rows[i] if (found[i] != -1).all() else None), np.int64)
+    return np.concatenate(rows), np.array([len(r) for r in rows])
+
+
+def _spelled(m: Pieces, word: str, path: np.ndarray | None) -> list[int]:
+    """Ids of a word with characters outside the vocabulary, which become bytes. Without a path it is merged pair by pair."""
+    if path is None:
+        parts, _ = merge(list(word), {m.names[k]: m.rank[k] for k in np.flatnonzero(m.rank >= 0)})
+    else:
+        parts, at = [], 0
+        for k in path.tolist():
+            parts.append(word[at:at + (len(m.names[k]) if k < len(m.names) else 1)])
+            at += len(parts[-1])
+    return [k for p in parts for k in ([m.ids[p]] if p in m.ids else m.byte_ids[list(p.encode())].tolist())]
+
+
+def _learn(m: Pieces, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of distinct words in the task's table, to which the new ones are added."""
     if len(m.words) > CACHE:
-        m.words.clear()
-        m.starts, m.counts, m.flat, m.used = [], [], [], 0
-    by_length: dict[int, list[str]] = {}
-    for w in words:
-        if w not in m.words:
-            by_length.setdefault(len(w) + 1, []).append(w)
-    for length, group in by_length.items():
-        step = max(1, 2_000_000 // (length * 8))
-        for i in range(0, len(group), step):
-            part = group[i:i + step]
-            found = _viterbi(m, [GAP + w for w in part], length) if length > 1 else [[m.ids[GAP]]] * len(part)
-            for w, ids in zip(part, found):
-                m.words[w] = len(m.starts)
-                m.starts.append(m.used)
-                m.counts.append(len(ids))
-                m.used += len(ids)
-            m.flat.append(np.array([k for ids in found for k in ids], np.int32))
+        m.words, m.starts, m.counts, m.flat = {}, m.starts[:0], m.counts[:0], m.flat[:0]
+    names = hashes.tolist()
+    new = np.array([i for i, h in enumerate(names) if h not in m.words], np.int64)
+    length = (ends - starts)[new]
+    order = np.argsort(length, kind="stable")
+    new, length = new[order], length[order]
+    flats, counts = [m.flat], [m.counts]
+    known = len(m.words)
+    at = 0
+    while at < len(new):
+        step = max(1, 1_000_000 // (int(length[at]) * 8))
+        until = min(at + step, int(np.searchsorted(length, length[at], "right")))
+        rows = new[at:until]
+        ids, n = _viterbi(m, codes[starts[rows][:, None] + np.arange(length[at])])
+        flats.append(ids.astype(np.int32))
+        counts.append(n.astype(np.int64))
+        at = until
+    m.words.update(zip(hashes[new].tolist(), range(known, known + len(new))))
+    m.flat, m.counts = np.concatenate(flats), np.concatenate(counts)
+    m.starts = np.cumsum(m.counts) - m.counts
+    return np.array([m.words[h] for h in names], np.int64)
 
 
 def _gaps(m: Pieces, n: int) -> list[int]:
@@ -261,51 +297,58 @@ def _gaps(m: Pieces, n: int) -> list[int]:
     return [m.gap_ids.get(len(p), m.ids[GAP]) for p in parts]
 
 
-def encode(m: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _boundaries(m: Pieces, codes: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each character but the first of all."""
+    a, b = codes[:-1], codes[1:]
+    low = (a < DIRECT) & (b < DIRECT)
+    joined = m.near[np.where(low, a, 0), np.where(low, b, 0)] & low
+    rest = np.flatnonzero(~low)
+    key = (a[rest].astype(np.int64) << 21) | b[rest]
+    at = np.minimum(np.searchsorted(m.far, key), len(m.far) - 1)
+    joined[rest] = (m.far[at] == key) & (b[rest] != GAP_CODE)  # a space begins a word, also after a space
+    return ~joined
+
+
+def encode(m: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the index of each text's first id. Null reads as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.split_pattern(pc.replace_substring(texts, GAP, " "), " ")
-    words = split.flatten().dictionary_encode()
-    first = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-    empty_text = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-    names = words.dictionary.to_pylist()
-    _learn(m, names)
-    known = np.array([m.words[w] for w in names], np.int64)
-    flat = np.concatenate(m.flat) if m.flat else np.zeros(0, np.int32)
-    m.flat = [flat]
-    starts, counts = np.array(m.starts, np.int64), np.array(m.counts, np.int64)
-    at = known[words.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
-    blank = np.array([w == "" for w in names], bool)[words.indices.to_numpy()] if len(names) else np.zeros(0, bool)
-    n = counts[at]
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    n[empty_text[owner]] = 0
+    codes = np.frombuffer("".join(GAP + t for t in texts if t).encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    codes = np.where(codes == 32, np.uint32(GAP_CODE), codes)
+    begins = np.ones(len(codes), bool)
+    begins[1:] = _boundaries(m, codes)
+    begins[edge[:-1][size > 0]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(codes))
+    hashes, one, which = np.unique(span_hash(mix(codes.astype(np.uint64) + np.uint64(1)), starts, ends), return_index=True,
+                                   return_inverse=True)
+    at = _learn(m, hashes, codes, starts[one], ends[one])[which]
+    n = m.counts[at]
     behind = np.concatenate([[0], np.cumsum(n)])
-    out = flat[np.arange(behind[-1]) - np.repeat(behind[:-1] - starts[at], n)]
-    ends = behind[first]
-    spaced = np.unique(owner[blank & ~empty_text[owner]])
-    if not len(spaced):
-        return out, ends
-    parts, some = [], set(spaced.tolist())
-    for d in range(len(texts)):
-        whole = out[ends[d]:ends[d + 1]]
-        if d in some:  # has spaces in a row
-            ids: list[int] = []
-            run = 0
-            for k in range(first[d], first[d + 1]):
-                if blank[k]:
-                    run += 1
-                    continue
-                word = flat[starts[at[k]]:starts[at[k]] + counts[at[k]]].tolist()
-                if word[0] == m.ids[GAP]:
-                    ids += _gaps(m, run + 1) + word[1:]
-                else:
-                    ids += _gaps(m, run) + word
-                run = 0
-            whole = np.array(ids + _gaps(m, run), np.int32)
-        parts.append(whole)
+    out = m.flat[np.arange(behind[-1]) - np.repeat(behind[:-1] - m.starts[at], n)]
+    first = behind[np.searchsorted(starts, edge)]
+    gap = m.ids[GAP]
+    if not ((out[1:] == gap) & (out[:-1] == gap)).any():
+        return out, first
+    parts = [_join_gaps(m, out[a:b]) for a, b in zip(first[:-1], first[1:])]
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def _join_gaps(m: Pieces, ids: np.ndarray) -> np.ndarray:
+    """Replaces spaces in a row that merged with nothing else by the pieces of runs."""
+    gap = ids == m.ids[GAP]
+    if not (gap[1:] & gap[:-1]).any():
+        return ids
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gap, [False]]).astype(np.int8)))
+    parts, at = [], 0
+    for a, b in edges.reshape(-1, 2):
+        parts += [ids[at:a], np.array(_gaps(m, int(b - a)), np.int32)]
+        at = b
+    return np.concatenate([*parts, ids[at:]])
+
+
 def decode(m: Pieces, ids: np.ndarray, first: np.ndarray) -> list[str]:
     """Text of each run of ids; ids that stand for no text give nothing, broken bytes a replacement character."""
     spelled = [n.replace(GAP, " ").encode() if t else b"" for n, t in zip(m.names, m.is_text)]
@@ -322,9 +365,16 @@ def decode(m: Pieces, ids: np.ndarray, first: np.ndarray) -> list[str]:
     return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for row in range(0, batch.num_rows, ROWS):
-        yield batch.slice(row, ROWS)
+def _slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts or lists have about ``limit`` entries together."""
+    lengths = pc.utf8_length if pa.types.is_string(batch.column(column).type) else pc.list_value_length
+    total = np.cumsum(pc.fill_null(lengths(batch.column(column)), 0).to_numpy())
+    row = 0
+    while row < batch.num_rows:
+        done = total[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(total, done + limit, "right")))
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def encode_documents(documents: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -339,11 +389,10 @@ def encode_documents(documents: DataFrame, path: str = MODEL, columns: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part in _slices(batch):
-                texts = part.column(len(columns))
+            for part in _slices(batch, len(columns), CHARS):
+                texts = part.column(len(columns)).to_pylist()
                 ids, first = encode(m, texts)
-                plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), GAP, " ").to_pylist()
-                same = [a == b for a, b in zip(decode(m, ids, first), plain)]
+                same = [a == (b or "").replace(GAP, " ") for a, b in zip(decode(m, ids, first), texts)]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(i) for i in range(len(columns))], pa.array(np.diff(first).astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))),
@@ -361,7 +410,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, 1, CHARS):
                 runs = part.column(1)
                 flat = runs.flatten().to_numpy(zero_copy_only=False)
                 sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy()
