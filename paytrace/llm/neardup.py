@@ -28,7 +28,7 @@ WORDS = 5
 PERCENT = 85
 K = 32
 SHARED_AT_K = 15  # of 32 union values, each in both sets with chance 0.85, fewer are in both with chance 1e-7
-PAIRS_PER_ROW = 8  # comparisons per list row up to which the rest is compared in one round
+PAIRS_PER_ROW = 16  # comparisons per list row up to which the rest is compared in one round
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,31 +157,31 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     found = stored(_verified(pairs, nodes, sets), "links")
     labels = _relabel(None, found)
     left = starred.where("hub <> id").select("value", "id", "n")
-    hubs_a_list, done = 2, 0.0
+    whole = left.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("of"))
+    left = stored(left.join(whole, F.col("v") == F.col("value")).drop("v").withColumn(
+        "u", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))), "left")
+    done, hubs_a_list = 0, 2
     while True:
-        rows = stored(_with_labels(left, labels), "open").withColumn(
-            "u", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+        # lists whose members have all been hubs are finished, and so are lists inside one component
+        rows = stored(_with_labels(left.where(F.col("of") > done), labels), "open")
         work = rows.select("value", "members").distinct().agg(
             F.sum(F.col("members") * F.col("members")).alias("pairs"), F.sum("members").alias("rows")).first()
         if not work["rows"]:
             return found
-        all_now = work["pairs"] <= 2 * PAIRS_PER_ROW * work["rows"]
-        # hubs of this round: a slice of the hash range; every pair is compared when its earlier member is a hub
-        until = F.lit(1.0) if all_now else F.least(F.lit(1.0), F.lit(float(hubs_a_list)) / F.col("members0"))
-        start = F.lit(0.0) if not done else F.least(F.lit(1.0), F.lit(done) / F.col("members0"))
-        sized = rows.join(left.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("members0")),
-                          F.col("v") == F.col("value")).drop("v")
-        hub = sized.where((F.col("u") >= start) & (F.col("u") < until)).select(
+        rest_now = work["pairs"] <= 2 * PAIRS_PER_ROW * work["rows"]
+        # hubs of this round: a slice of the hash range; a pair is compared when its earlier member is a hub
+        start, until = F.lit(float(done)) / F.col("of"), F.lit(1.0) if rest_now else F.lit(float(hubs_a_list)) / F.col("of")
+        hub = rows.where((F.col("u") >= start) & (F.col("u") < until)).select(
             "value", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"))
         later = (F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("id") > F.col("hid")))
         pairs = rows.join(hub, "value").where(later & (F.col("label") != F.col("hl")) & _sizes_fit("n", "hn")).select(
             F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
         new = stored(_verified(pairs, nodes, sets), "links")
         found = found.unionByName(new)
-        if all_now:
+        if rest_now:
             return found
         labels = _relabel(labels, new)
-        done, hubs_a_list = float(hubs_a_list), hubs_a_list * 4
+        done, hubs_a_list = hubs_a_list, hubs_a_list * 4
 
 
 def components(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import langid, mixing, neardup, pieces, quality, shards, toxicity
+from paytrace.llm import langid, masked_lm, mixing, neardup, neighbours, pieces, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,18 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rate_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return masked_lm.score_documents(_table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(_table(spark, folder, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, folder, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES: dict[str, Query] = {
     "op3_shards": op3_shards,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_masked_lm": op6_masked_lm,
     "op7_language": op7_language,
+    "op8_neighbours": op8_neighbours,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
 }

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, fold, lower, mix, per_doc, span_hash, word_spans
+from paytrace.llm.common import blocks, fold, lower, mix, per_doc, span_hash, stored, word_spans
 
-DOCS_PER_CLASS = 6_000  # bound of the labelled sample
+DOCS_PER_CLASS = 3_000  # bound of the labelled sample
 CALIBRATE = 4  # one in so many labelled documents fits the curve, the others the models
 PIECE = 4  # bytes of a word that make one symbol, so that inflected forms share their stem
 DISCOUNT = 0.75
@@ -175,8 +175,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     later = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(CALIBRATE)) == 0
     counted = sample.where(~later).select("toxic", "text").mapInArrow(
         _count, "toxic int, before long, word long, n long")
-    model = _model(counted.groupBy("before", "word").agg(
-        *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]))
+    model = _model(stored(counted.groupBy("before", "word").agg(
+        *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]), "pairs"))
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
