@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import langid, masked_lm, mixing, neardup, neighbours, pieces, quality, shards, toxicity
+from paytrace.llm import extract, langid, masked_lm, mixing, neardup, neighbours, pieces, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.components(_table(spark, folder, "documents"))
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(_table(spark, folder, "pages"))
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.place(_table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_main_text": op2_main_text,
     "op3_shards": op3_shards,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
