@@ -25,7 +25,7 @@ DOCS_PER_LANG = 2_000  # bound of the labelled sample
 MIN_COUNT = 3
 MIN_RATIO = 0.1  # a language contains an n-gram at least so often, against the language that has it most often
 UNKNOWN = "und"
-MIN_SCORE = 0.4  # texts below are rejected by ``keep``
+MIN_SCORE = 0.3  # texts below are rejected by ``keep``
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
