@@ -13,7 +13,7 @@ handed from chunk to chunk the same way a chain length is handed from account to
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +53,55 @@ def _chunks(tx: DataFrame, chunk_rows: int) -> DataFrame:
         (F.dense_rank().over(Window.partitionBy("account").orderBy("cut_at")) - 1).alias("chunk"))
 
 
+class _Inbox:
+    """Unused receipts of one account, kept per chain depth in the order they came.
+
+    A payment is served from the deepest level down, each level from its newest end, and stops at the first
+    fit; a level is left as soon as its receipts are older than the window. Beyond ``room`` receipts the
+    oldest leaves.
+    """
+
+    def __init__(self, room: int):
+        self.room, self.levels, self.waiting = room, {}, OrderedDict()
+
+    def put(self, t: int, units: int, tx: str, depth: int) -> None:
+        key = len(self.levels.setdefault(depth, []))
+        self.levels[depth].append((t, units, tx))
+        self.waiting[depth, key] = None
+        if len(self.waiting) > self.room:
+            (level, at), _ = self.waiting.popitem(last=False)
+            self._clear(level, at)
+
+    def _clear(self, level: int, at: int) -> None:
+        shelf = self.levels[level]
+        shelf[at] = None
+        while shelf and shelf[-1] is None:
+            shelf.pop()
+        if not shelf:
+            del self.levels[level]
+
+    def serve(self, t: int, units: int, window: int) -> tuple[int, str | None, int | None]:
+        """Depth, id and waiting time of the receipt that funds a payment; depth 0 if none does."""
+        for level in sorted(self.levels, reverse=True):
+            shelf = self.levels[level]
+            for at in reversed(range(len(shelf))):
+                if shelf[at] is None:
+                    continue
+                came, size, tx = shelf[at]
+                if t - came > window:
+                    break
+                if came < t and 7 * size <= 10 * units <= 11 * size:
+                    del self.waiting[level, at]
+                    self._clear(level, at)
+                    return level, tx, t - came
+        return 0, None, None
+
+    def rest(self) -> list[dict]:
+        """What is left, oldest first."""
+        held = ((*self.levels[level][at], level) for level, at in self.waiting)
+        return [dict(t=t, units=units, tx=tx, depth=level) for t, units, tx, level in held]
+
+
 def _replay(min_units: int, max_inbox: int):
     """Replays sorted chunks as they stream by and emits what changed.
 
@@ -62,38 +111,25 @@ def _replay(min_units: int, max_inbox: int):
     floor_units = min_units * 7 // 10
 
     def step(batches):
-        group, box = None, deque(maxlen=max_inbox)
+        group, box = None, _Inbox(max_inbox)
         for rows in batches:
             out = []
             for window, account, chunk, kind, t, other, units, tx, other_chunk, depth, funded_by, opening in zip(
                 *(rows[c].tolist() for c in EVENT)
             ):
                 if group != (window, account, chunk):
-                    group, box = (window, account, chunk), deque(maxlen=max_inbox)
+                    group, box = (window, account, chunk), _Inbox(max_inbox)
                 if kind == 1:
-                    box.append((t, units, tx, depth))
-                    continue
-                if kind == 0:
-                    box.extend((int(b["t"]), int(b["units"]), b["tx"], int(b["depth"])) for b in opening)
-                    continue
-                if kind == 3:
-                    rest = [dict(t=b[0], units=b[1], tx=b[2], depth=b[3]) for b in box]
-                    out.append((window, f"carry {chunk + 1} {account}", account, chunk + 1, True, None, None, None, rest))
-                    continue
-                best, best_depth = -1, 0
-                if units >= floor_units:
-                    while box and t - box[0][0] > window:
-                        box.popleft()
-                    for j in range(len(box) - 1, -1, -1):
-                        rt, ru, _, rd = box[j]
-                        if rt < t and rd > best_depth and 7 * ru <= 10 * units <= 11 * ru:
-                            best, best_depth = j, rd
-                source, wait = None, None
-                if best >= 0:
-                    source, wait = box[best][2], t - box[best][0]
-                    del box[best]
-                if best_depth + 1 != depth or source != funded_by:
-                    out.append((window, tx, other, other_chunk, units >= min_units, best_depth + 1, source, wait, None))
+                    box.put(t, units, tx, depth)
+                elif kind == 0:
+                    for held in opening:
+                        box.put(int(held["t"]), int(held["units"]), held["tx"], int(held["depth"]))
+                elif kind == 3:
+                    out.append((window, f"carry {chunk + 1} {account}", account, chunk + 1, True, None, None, None, box.rest()))
+                else:
+                    behind, source, wait = box.serve(t, units, window) if units >= floor_units else (0, None, None)
+                    if behind + 1 != depth or source != funded_by:
+                        out.append((window, tx, other, other_chunk, units >= min_units, behind + 1, source, wait, None))
             yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
 
     return step
@@ -108,10 +144,11 @@ def trace(tx: DataFrame, windows=(fixed.FAST_WINDOW, fixed.SLOW_WINDOW), min_amo
     Events are ordered by (t, sender, receiver, amount, id).
 
     ``results`` holds only transfers that are funded; the transfer tables themselves are never
-    rewritten, and from the second round on a round reads only chunks with a changed receipt or inbox.
+    rewritten. From the second round on only chunks with a changed receipt or inbox are replayed; finding them
+    still scans ``events``.
     """
     spark = tx.sparkSession
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     min_units = int(min_amount * 10000)
     use = tx.select(
         F.col("transaction_id").alias("tx"), F.col("sender_id").alias("sender"), F.col("receiver_id").alias("receiver"),
@@ -249,10 +286,10 @@ def accounts(chain_paths: DataFrame, found_loops: DataFrame) -> DataFrame:
     return out.na.fill({"forward_count": 0, "forwarded_amount": 0.0, "dwell_mean": -1.0, "cycle_count": 0})
 
 
-def chain_details(chain_paths: DataFrame, min_hops: int = 3, limit: int | None = 200) -> DataFrame:
+def chain_details(chain_paths: DataFrame, min_hops: int = 3, limit: int | None = None) -> DataFrame:
     """Chains of at least ``min_hops`` that do not return to their own path, earliest first.
 
-    The report keeps the first ``limit``; pass ``None`` for all of them.
+    All of them, or the first ``limit`` if a caller asks for a page.
     """
     rows = chain_paths.where((F.col("depth") >= min_hops) & ~F.array_contains("path", F.col("account"))).select(
         F.col("members").alias("chain_path"), F.col("depth").alias("hops"), F.col("t").alias("end_time"),

@@ -94,7 +94,8 @@ def ego_nodes(pairs: DataFrame, targets: DataFrame, hops: int = 1) -> DataFrame:
 
     ``targets`` holds ``account_id`` and is matched without regard to case.
     """
-    hops = min(max(int(hops), 1), 3)
+    if hops not in (1, 2, 3):
+        raise ValueError("hops must be 1, 2 or 3")
     links = undirected(pairs)
     wanted = targets.select(F.lower("account_id").alias("key")).distinct()
     seen = (

@@ -71,6 +71,11 @@ def _grower(seed: int, depth_limit: int):
     return grow
 
 
+def draw_limit(wanted: int, n: int) -> int:
+    """Largest 64-bit hash that draws about ``wanted`` of ``n`` rows, whatever ``n`` is."""
+    return min((wanted << 64) // max(n, 1) - (1 << 63), (1 << 63) - 1)
+
+
 class IsolationForest:
     """Isolation forest: trees are grown from samples of at most 256 rows, one task per tree.
 
@@ -88,11 +93,10 @@ class IsolationForest:
         size = min(self.sample, n)
         rows = df.select(F.col(key).alias("key"), scaled(self.parameters).alias("x"))
         # Each row draws a hash per tree; enough rows fall under the rate to fill every sample.
-        rate = min(1.0, 2.0 * size / n + 0.0)
-        limit = int(rate * 1_000_000)
+        limit = draw_limit(2 * size, n)
         drawn = F.filter(
             F.sequence(F.lit(0), F.lit(self.trees - 1)),
-            lambda i: F.pmod(F.xxhash64(F.lit(self.seed), F.col("key"), i), F.lit(1_000_000)) < limit)
+            lambda i: F.xxhash64(F.lit(self.seed), F.col("key"), i) <= F.lit(limit))
         picks = rows.select("key", "x", F.explode(drawn).alias("tree")).withColumn(
             "pick", F.xxhash64(F.lit(self.seed + 1), "key", "tree"))
         order = Window.partitionBy("tree").orderBy("pick", "key")
@@ -257,18 +261,10 @@ def drivers(classifier: Classifier, features: DataFrame, wanted: DataFrame, top:
 
 
 # ------------------------------------------------------------------------------- model experiments
-LADDER = (
-    ("transactional", ("transactional", "account_type")),
-    ("+ temporal", ("transactional", "account_type", "temporal")),
-    ("+ graph and flow tracing", ("transactional", "account_type", "temporal", "graph")),
-    ("+ 2-hop neighbourhood", ("transactional", "account_type", "temporal", "graph", "neighbourhood")),
-)
-
-
 def ablation(train: DataFrame, test: DataFrame, fit=fit_boosting) -> DataFrame:
     """Average precision as feature families are added: one fit per step."""
     out = None
-    for step, (name, families) in enumerate(LADDER):
+    for step, (name, families) in enumerate(fixed.LADDER):
         columns = [c for f in families for c in fixed.FAMILIES[f]]
         scored = fit(train, columns=columns).score(test, "score").withColumn("y", F.col("label"))
         row = evaluate.average_precision(scored.select("y", "score")).select(

@@ -331,8 +331,8 @@ def pattern_summary(flags: DataFrame) -> DataFrame:
         F.when(F.coalesce("affected", F.lit(0)) > 0, "Detected").otherwise("Clean").alias("status"))
 
 
-def global_stats(tx: DataFrame, reports: DataFrame, multi_components: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row of totals for the dashboard header."""
+def global_stats(tx: DataFrame, reports: DataFrame, multi_components: DataFrame, summary: DataFrame, network: DataFrame) -> DataFrame:
+    """One row of totals for the dashboard header. ``network`` is the one row of ``graph.summary``."""
     level = F.col("risk_level")
     out = reports.agg(
         F.count("*").alias("total_accounts"), F.count_if(level.isin("HIGH", "CRITICAL")).alias("high_risk_accounts"),
@@ -343,6 +343,8 @@ def global_stats(tx: DataFrame, reports: DataFrame, multi_components: DataFrame,
         out.withColumn("total_transactions", tx.select(F.count("*")).scalar())
         .withColumn("active_detection_patterns", detected.scalar())
         .withColumn("suspicious_networks", multi_components.scalar() + F.col("active_detection_patterns"))
+        .withColumns({c: network.select(c).scalar() for c in (
+            "density", "weakly_connected_components", "strongly_connected_components")})
     )
 
 
@@ -364,7 +366,7 @@ def top_accounts(reports: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def search_accounts(reports: DataFrame, risk: str | None = None, pattern: str | None = None, search: str | None = None,
-                    limit: int | None = 100, exact: bool = False) -> DataFrame:
+                    limit: int | None = None, exact: bool = False) -> DataFrame:
     """Filter by level, by part of a pattern name and by part of an id (or the id itself); riskiest first."""
     if risk:
         reports = reports.where(F.col("risk_level") == risk.upper())

@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.exprs import plain_number
+from ..sources.session import cut
 
 ALIASES = {"sender_id": "sender", "receiver_id": "receiver", "transaction_id": "tx_id"}
 REQUIRED = ("sender_id", "receiver_id", "amount", "timestamp")
+NUMBER_KIND = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
-NUMERIC = r"^\d+(\.\d+)?([eE][+]?\d+)?$"
+BASIC = r"^\d{8}(T\d{4}(\d{2})?)?$"
+AMOUNT = r"(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
 
 
 class TransferValidationError(ValueError):
@@ -33,7 +36,8 @@ def resolve_aliases(raw: DataFrame) -> DataFrame:
 
 
 def parse_time(raw: DataFrame, name: str = "timestamp") -> Column:
-    """UTC timestamp from ISO-8601 text (naive means UTC), epoch seconds >= 0, or null."""
+    """UTC timestamp from ISO-8601 text (naive means UTC; basic form and comma fraction included), epoch seconds >= 0
+    given as a number, or null. A quoted number is no time."""
     kind = raw.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, T.BooleanType):
@@ -44,14 +48,30 @@ def parse_time(raw: DataFrame, name: str = "timestamp") -> Column:
         seconds = col.cast("double")
         return F.when(~F.isnan(seconds) & (seconds >= 0) & (seconds < 253402300800.0),
                       F.timestamp_micros((seconds * 1e6).cast("bigint")))
-    text = F.trim(col.cast("string"))
-    epoch = F.when(text.rlike(NUMERIC), text.try_cast("double"))
+    if isinstance(kind, T.VariantType):
+        number = F.try_variant_get(col, "$", "double")
+        seconds = F.when(F.schema_of_variant(col).rlike(NUMBER_KIND) & (number >= 0) & (number < 253402300800.0), number)
+        text = F.when(F.schema_of_variant(col) == "STRING", F.trim(F.try_variant_get(col, "$", "string")))
+    else:
+        seconds, text = F.lit(None).cast("double"), F.trim(col.cast("string"))
+    basic = (F.when(F.length(text) == 8, F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+             .when(F.length(text) == 13, F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmm")))
+             .otherwise(F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss"))))
     return (
-        F.when((epoch >= 0) & (epoch < 253402300800.0), F.timestamp_micros((epoch * 1e6).cast("bigint")))
-        .when(text.rlike(ISO), F.try_to_timestamp(text))
+        F.when(seconds.isNotNull(), F.timestamp_micros((seconds * 1e6).cast("bigint")))
+        .when(text.rlike(ISO), F.try_to_timestamp(F.translate(text, ",", ".")))
+        .when(text.rlike(BASIC), basic)
     )
 
 
+def _amount_text(text: Column) -> tuple[Column, Column]:
+    """Numbers as people write them; suffixes and hexadecimal forms that a cast would take are no amounts."""
+    plain = F.trim(text)
+    value = F.when(plain.rlike(AMOUNT), F.regexp_replace(plain, "_", "").try_cast("double"))
+    bad = F.concat(F.lit("Invalid amount format: cannot parse '"), text, F.lit("' as numeric"))
+    return value, F.when(value.isNull(), bad)
+
+
 def _amount(raw: DataFrame) -> tuple[Column, Column]:
     """(amount as double or null, reason for a wrong type or null)."""
     kind = raw.schema["amount"].dataType
@@ -60,9 +80,15 @@ def _amount(raw: DataFrame) -> tuple[Column, Column]:
     if isinstance(kind, T.NumericType):
         return F.col("amount").cast("double"), F.lit(None).cast("string")
     if isinstance(kind, T.StringType):
-        value = F.trim("amount").try_cast("double")
-        bad = F.concat(F.lit("Invalid amount format: cannot parse '"), F.col("amount"), F.lit("' as numeric"))
-        return value, F.when(value.isNull(), bad)
+        return _amount_text(F.col("amount"))
+    if isinstance(kind, T.VariantType):
+        given = F.col("amount")
+        found = F.schema_of_variant(given)
+        value, bad = _amount_text(F.try_variant_get(given, "$", "string"))
+        number = F.when(found.rlike(NUMBER_KIND), F.try_variant_get(given, "$", "double"))
+        wrong = F.when(found == "BOOLEAN", F.lit("Invalid amount type: bool")).when(
+            ~found.rlike(NUMBER_KIND) & (found != "STRING"), F.concat(F.lit("Invalid amount type: "), F.lower(found)))
+        return F.coalesce(number, F.when(found == "STRING", value)), F.coalesce(wrong, F.when(found == "STRING", bad))
     return F.lit(None).cast("double"), F.lit(f"Invalid amount type: {kind.simpleString()}")
 
 
@@ -81,7 +107,7 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
     raw = resolve_aliases(raw)
     original = [c for c in raw.columns if c != "row_index"]
     if "row_index" not in raw.columns:
-        raw = raw.withColumn("row_index", F.monotonically_increasing_id())
+        raw = cut(raw.withColumn("row_index", F.monotonically_increasing_id()))  # numbered once, whatever reads it
     missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
     sender, receiver = F.trim(F.col("sender_id").cast("string")), F.trim(F.col("receiver_id").cast("string"))
     amount, bad_type = _amount(raw)
@@ -102,7 +128,7 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
         .when(amount == 0, F.lit("Invalid amount: zero-value transactions are invalid"))
         .when(amount > max_amount, text("Extreme amount: ", plain_number(amount),
                                         f" exceeds maximum allowed limit ({max_amount})"))
-        .when(when.isNull(), text("Invalid timestamp: '", F.col("timestamp").cast("string"),
+        .when(when.isNull(), text("Invalid timestamp: '", F.coalesce(F.col("timestamp").cast("string"), F.lit("")),
                                   "' cannot be parsed as a valid ISO-8601 or epoch date"))
     )
     given = F.nullif(F.trim(F.col("transaction_id").cast("string")), F.lit(""))
@@ -126,7 +152,9 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
     )
     late = F.col("reason").isNull() & (F.col("row_index") > F.col("first_row"))
     made = F.concat(F.lit("TX_"), F.hex(F.xxhash64("sender_id", "receiver_id", "amount", "ts", "row_index")))
-    out = tagged.join(repeated, "given_id", "left").withColumn(
+    # rows without an id get a key of their own that matches nothing, so they do not meet in one task
+    own = F.coalesce("given_id", F.concat(F.lit("\u0000"), F.col("row_index").cast("string")))
+    out = tagged.join(repeated.withColumnRenamed("given_id", "seen_id"), own == F.col("seen_id"), "left").withColumn(
         "error",
         F.coalesce(F.col("reason"), F.when(late, text("Duplicate transaction_id detected: '", F.col("given_id"), "'"))),
     )

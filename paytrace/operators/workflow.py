@@ -137,13 +137,14 @@ def verify_audit(log: DataFrame) -> DataFrame:
         F.coalesce(head.scalar(), F.lit(fixed.GENESIS_HASH)).alias("head_hash"))
 
 
-def list_audit(log: DataFrame, action: str | None = None, actor: str | None = None, limit: int = 200) -> DataFrame:
-    """The last ``limit`` matching entries, newest first."""
+def list_audit(log: DataFrame, action: str | None = None, actor: str | None = None, limit: int | None = None) -> DataFrame:
+    """Matching entries, newest first; the last ``limit`` if a caller asks for a page."""
     if action:
         log = log.where(F.col("action") == action)
     if actor:
         log = log.where(F.col("actor") == actor)
-    return log.orderBy(F.desc("seq")).limit(limit)
+    newest = log.orderBy(F.desc("seq"))
+    return newest if limit is None else newest.limit(limit)
 
 
 # ------------------------------------------------------------------------------------------ masking

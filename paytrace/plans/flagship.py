@@ -1,40 +1,20 @@
-"""The flagship query: raw transfers through validation, detectors and scoring to ranked reports."""
+"""The flagship query: raw transfers through the whole pipeline to ranked, explained reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behaviour, detectors, graph, report, scoring, validate
+from ..operators import validate
 from ..sources import views
 from ..sources.session import cut
+from . import pipeline
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Validate, detect bursts, pass-through and structuring, score and explain. Tables that several
-    steps read are written to the shared folder once."""
+    """Validated transfers, all detectors, anomaly and composite score, evidence; riskiest first."""
     tx = cut(validate.valid(validate.check(views.tx_raw(spark, folder))))
-    totals, degree = (cut(df) for df in behaviour.inputs(tx))
-    near, rapid = cut(detectors.structuring(tx)), cut(detectors.rapid_payments(tx))
-    flags = cut(detectors.flags({
-        "fan_in": detectors.fan_in(tx, degree), "fan_out": detectors.fan_out(tx, degree),
-        "rapid_movement": rapid, "structuring": near}))
-    pairs = graph.edge_pairs(tx)
-    none = spark.createDataFrame([], "account_id string, component_size bigint, cycle_count bigint, chain_length int")
-    features = behaviour.feature_vector(
-        behaviour.behaviour_features(totals, degree),
-        behaviour.graph_features(
-            degree, totals, none.select("account_id", "component_size"), graph.undirected(pairs), flags,
-            none.select("account_id", "cycle_count"), none.select("account_id", "chain_length"),
-            near.groupBy("account_id").agg(F.max("near_threshold_count").alias("near_threshold_tx_count"))))
-    rows = features.join(scoring.account_patterns(flags), "account_id", "left").withColumn(
-        "patterns", F.coalesce("patterns", F.array().cast("array<string>")))
-    rows = rows.withColumn("account_tier", scoring.infer_tier(F.col("account_id"))).withColumn(
-        "ml_anomaly_score", F.lit(0.0)).withColumn("supervised_probability", F.lit(None).cast("double")).withColumn(
-        "is_anomaly", F.lit(False))
-    scored = report.attach_details(scoring.composite(rows), {
-        "structuring": report.structuring_details(near),
-        "rapid_movement": report.rapid_details(detectors.rapid_movement(rapid))})
-    return scoring.risk_reports(scored).select(
-        "account_id", "risk_score", "risk_level", F.array_join("patterns", ",").alias("patterns"),
-        report.typology().alias("typology"), F.array_join(report.evidence(), " | ").alias("evidence"))
+    found, _ = pipeline.run(tx)
+    return found.select(
+        "account_id", "risk_score", "risk_level", F.array_join("patterns", ",").alias("patterns"), "typology",
+        F.array_join("evidence", " | ").alias("evidence"))

@@ -120,7 +120,8 @@ SELECT event_id AS row_index,
        CASE WHEN value < 0.5 THEN NULL WHEN value < 0.8 THEN '   ' ELSE ' U'||user_id||' ' END AS sender_id,
        CASE WHEN value > 300 THEN NULL ELSE 'U'||abs(user_id + k % 20 - 10) END AS receiver_id,
        CASE WHEN event_type <> 'error' THEN v WHEN value < 10 THEN 'NaN' WHEN value < 20 THEN 'Infinity' WHEN value < 30 THEN '-'||v
-            WHEN value < 35 THEN '0' WHEN value < 40 THEN 'abc' WHEN value > 200 THEN '5e9' ELSE v END AS amount,
+            WHEN value < 35 THEN '0' WHEN value < 40 THEN 'abc'
+            WHEN value < 42 THEN '5d' WHEN value < 44 THEN '7f' WHEN value < 46 THEN '0x1p3' WHEN value < 48 THEN '1_000' WHEN value > 200 THEN '5e9' ELSE v END AS amount,
        CASE WHEN event_type = 'click' AND value < 5 THEN 'not-a-date'
             WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
             WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')||'Z'
@@ -133,8 +134,8 @@ SELECT event_id AS row_index,
 FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k,
              CAST(CAST(round(value*200,2) AS DECIMAL(18,2)) AS VARCHAR) AS v FROM events)"""
 CTES["parsed"] = """
-SELECT *, TRY_CAST(trim(amount) AS DOUBLE) AS a,
-       CASE WHEN regexp_matches(ts_text, '^[0-9]+$') THEN CAST(ts_text AS BIGINT)
+SELECT *, TRY_CAST(replace(trim(amount), '_', '') AS DOUBLE) AS a,
+       CASE WHEN regexp_matches(ts_text, '^[0-9]+$') THEN NULL
             WHEN ts_text LIKE '%+06:00' THEN epoch_us(CAST(replace(ts_text, '+06:00', '') AS TIMESTAMP))//1000000 - 21600
             ELSE epoch_us(TRY_CAST(replace(ts_text, 'Z', '') AS TIMESTAMP))//1000000 END AS pt,
        trim(sender_id) AS s, trim(receiver_id) AS rr, nullif(trim(transaction_id), '') AS gid,
@@ -441,6 +442,9 @@ CTES["ev_flags"] = """
 SELECT account_id, 'fan_in' AS pattern FROM ev_fan_in UNION SELECT account_id, 'fan_out' FROM ev_fan_out
 UNION SELECT unnest(path), 'circular_flow' FROM ev_loops UNION SELECT account_id, 'rapid_movement' FROM ev_rapid10
 UNION SELECT account_id, 'structuring' FROM ev_str"""
+CTES["ev_strong"] = """
+SELECT a AS account_id, count(*) AS size FROM (SELECT x.a, x.b FROM ev_reach x JOIN ev_reach y ON x.a = y.b AND x.b = y.a
+UNION SELECT account_id, account_id FROM ev_nodes) GROUP BY a"""
 CTES["ev_joined"] = "SELECT node AS a, nbr AS b FROM ev_both UNION SELECT j.a, e.nbr FROM ev_joined j JOIN ev_both e ON e.node = j.b"
 CTES["ev_graph"] = """
 SELECT g.*, coalesce(c.cycle_count, 0) AS cycle_count, CASE WHEN c.cycle_count > 0 THEN 1 ELSE 0 END AS cycle_detected, 0 AS chain_length,
@@ -641,16 +645,19 @@ SELECT c.pattern, c.title, c.severity, count(f.account_id) AS affected_accounts,
 FROM catalog c LEFT JOIN ev_flags f USING (pattern) GROUP BY 1, 2, 3"""
 ORACLES["rp9_pattern_summary"] = sql("SELECT * FROM pattern_counts")
 CTES["ev_reach"] = "SELECT src AS a, dst AS b FROM ev_pairs UNION SELECT j.a, e.dst FROM ev_reach j JOIN ev_pairs e ON e.src = j.b"
+CTES["ev_joined"] = "SELECT node AS a, nbr AS b FROM ev_both UNION SELECT j.a, e.nbr FROM ev_joined j JOIN ev_both e ON e.node = j.b"
+CTES["ev_weak"] = """
+SELECT a AS account_id, min(b) AS component FROM (SELECT a, b FROM ev_joined UNION SELECT account_id, account_id FROM ev_nodes) GROUP BY a"""
 CTES["ev_multi"] = """
 SELECT count(DISTINCT m) AS c FROM (SELECT x.a, min(x.b) AS m FROM ev_reach x JOIN ev_reach y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1)"""
 ORACLES["rp10_global_stats"] = sql(f"""
 SELECT count(*) AS total_accounts, count(*) FILTER (risk_level IN ('HIGH','CRITICAL')) AS high_risk_accounts, count(*) FILTER (risk_level = 'MEDIUM') AS medium_risk_accounts,
        {r('avg(risk_score)', 1)} AS average_risk_score, (SELECT count(*) FROM ev) AS total_transactions,
        (SELECT count(*) FROM pattern_counts WHERE status = 'Detected') AS active_detection_patterns,
-       (SELECT c FROM ev_multi) + (SELECT count(*) FROM pattern_counts WHERE status = 'Detected') AS suspicious_networks FROM scored""")
-CTES["ev_strong"] = """
-SELECT a AS account_id, count(*) AS size FROM (SELECT x.a, x.b FROM ev_reach x JOIN ev_reach y ON x.a = y.b AND x.b = y.a
-UNION SELECT account_id, account_id FROM ev_nodes) GROUP BY a"""
+       (SELECT c FROM ev_multi) + (SELECT count(*) FROM pattern_counts WHERE status = 'Detected') AS suspicious_networks,
+       (SELECT round(e/(n*(n - 1)), 6) FROM (SELECT (SELECT count(*) FROM ev_nodes) AS n, (SELECT count(*) FROM ev_pairs) AS e)) AS density,
+       (SELECT count(DISTINCT component) FROM ev_weak) AS weakly_connected_components,
+       (SELECT CAST(round(sum(1.0/size)) AS BIGINT) FROM ev_strong) AS strongly_connected_components FROM scored""")
 ORACLES["fs15_topology"] = sql(f"""
 SELECT n.account_id, {r('mutual/u', 4)} AS reciprocity, {r('v*(SELECT count(*) FROM ev_nodes)', 4)} AS pagerank, {d('z.size')} AS scc_size,
        {d('coalesce(t.c, 0)')} AS triad_cycles, {d('coalesce(f, 0)')} AS two_hop_out, {d('coalesce(g, 0)')} AS two_hop_in, {r('m.a', 4)} AS avg_neighbor_degree

@@ -11,8 +11,6 @@ from ..functions import fixed
 from ..operators import behaviour, context, detectors, flow, graph, models, report, scoring, store, topology
 from ..sources.session import cut
 
-TEMPORAL_ABOVE = 2000  # accounts; beyond it loops and chains come from flow tracing
-
 
 @dataclass
 class Network:
@@ -47,18 +45,16 @@ def trace_all(tx: DataFrame) -> dict[int, dict[str, DataFrame]]:
 
 
 def analyse(tx: DataFrame, tiers: DataFrame | None = None, risk_areas: DataFrame | None = None,
-            temporal: bool | None = None) -> Network:
+            temporal: bool = True) -> Network:
     """Graph, detectors and context detectors of one validated transfer table.
 
-    ``temporal=None`` searches loops and chains exhaustively up to 2,000 accounts and by flow tracing
-    beyond.
+    Loops and chains come from flow tracing, whatever the size. ``temporal=False`` searches them
+    exhaustively, which is meant for small networks.
     """
     tx = cut(tx)
     pairs = cut(graph.edge_pairs(tx))
     totals, degree = (cut(df) for df in behaviour.inputs(tx))
     weak, strong = topology.weak_components(pairs), topology.strong_components(pairs)
-    if temporal is None:
-        temporal = degree.count() > TEMPORAL_ABOVE
     traced = trace_all(tx)
     if temporal:
         fast, slow = traced[fixed.FAST_WINDOW], traced[fixed.SLOW_WINDOW]
@@ -140,17 +136,6 @@ def feature_vector(net: Network) -> DataFrame:
     return behaviour.feature_vector(behaviour_part, graph_part)
 
 
-VECTOR = (
-    "transaction_count", "sent_count", "received_count", "total_incoming", "total_outgoing", "net_flow",
-    "average_transaction_amount", "maximum_transaction_amount", "std_transaction_amount", "unique_senders",
-    "unique_receivers", "incoming_outgoing_ratio", "transaction_velocity", "counterparty_diversity",
-    "passthrough_ratio", "amount_volatility", "flow_imbalance_magnitude", "in_degree", "out_degree", "total_degree",
-    "degree_ratio", "weighted_in_degree", "weighted_out_degree", "net_weight_flow", "unique_counterparties",
-    "fan_in_score", "fan_out_score", "cycle_detected", "cycle_count", "chain_length", "structuring_detected",
-    "near_threshold_tx_count", "network_size", "suspicious_neighbor_count",
-)
-
-
 def feature_store(tx: DataFrame, tiers: DataFrame | None = None, traced=None, pairs: DataFrame | None = None,
                   strong: DataFrame | None = None) -> DataFrame:
     """The 83-column account feature store of a transfer table."""
@@ -193,17 +178,16 @@ def recent_day(tx: DataFrame) -> DataFrame:
     return tx.where(F.floor(F.col("t") / fixed.DAY) == F.floor(last / fixed.DAY))
 
 
-def run(tx: DataFrame, tiers: DataFrame | None = None, risk_areas: DataFrame | None = None, temporal: bool | None = None,
-        classifier: models.Classifier | None = None, contamination: float = 0.1, trees: int = 150,
-        explain: int = 500) -> tuple[DataFrame, Network]:
+def run(tx: DataFrame, tiers: DataFrame | None = None, risk_areas: DataFrame | None = None, temporal: bool = True,
+        classifier: models.Classifier | None = None, contamination: float = 0.1, trees: int = 150) -> tuple[DataFrame, Network]:
     """Validated transfers to risk reports, riskiest first.
 
     With a classifier the ML component becomes the stronger of anomaly score and probability, scores
-    become tier-aware and the ``explain`` most suspicious accounts get model drivers.
+    become tier-aware and every account above its threshold gets model drivers.
     """
     net = analyse(tx, tiers, risk_areas, temporal)
     vector = cut(feature_vector(net))
-    forest = models.IsolationForest(VECTOR, trees=trees, contamination=contamination).fit(vector)
+    forest = models.IsolationForest(fixed.VECTOR, trees=trees, contamination=contamination).fit(vector)
     raw = cut(forest.decision(vector))
     _, mad = scoring.spread(raw)
     rows = vector.join(scoring.calibrate(raw, mad), "account_id")
@@ -222,8 +206,7 @@ def run(tx: DataFrame, tiers: DataFrame | None = None, risk_areas: DataFrame | N
     scored = report.attach_details(scored, net.details).join(report.related_accounts(net.members), "account_id", "left")
     out = report.briefed(scored)
     if classifier is not None:
-        flagged = rows.where(F.col("supervised_probability") >= classifier.threshold).orderBy(
-            F.desc("supervised_probability"), "account_id").limit(explain)
+        flagged = rows.where(F.col("supervised_probability") >= classifier.threshold)
         drivers = cut(models.drivers(classifier, features, flagged))
         out = report.with_classifier_sentence(out, classifier.threshold, drivers)
     return scoring.risk_reports(out), net

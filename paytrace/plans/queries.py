@@ -373,30 +373,37 @@ def _(spark, folder):
     return both.select("window", "tx", "funded_by", "depth", "wait")
 
 
+def _both_windows(spark: SparkSession, folder: str, part: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One traced table of the fast and the slow window, told apart by ``window``."""
+    traced = ev_traced(spark, folder)
+    tables = [change(traced[w][part]).withColumn("window", F.lit(w)) for w in (fixed.FAST_WINDOW, fixed.SLOW_WINDOW)]
+    return tables[0].unionByName(tables[1])
+
+
 @query("fl3_paths")
 def _(spark, folder):
-    return ev_traced(spark, folder)[fixed.SLOW_WINDOW]["paths"].select("tx", "depth", F.array_join("members", ">").alias("path"))
+    return _both_windows(spark, folder, "paths", lambda df: df.select("tx", "depth", F.array_join("members", ">").alias("path")))
 
 
-def _flow_accounts(window: int, *names: str) -> Query:
-    return lambda spark, folder: rounded(ev_traced(spark, folder)[window]["accounts"].select("account_id", *names))
+def _flow_accounts(*names: str) -> Query:
+    return lambda spark, folder: rounded(_both_windows(spark, folder, "accounts", lambda df: df.select("account_id", *names)))
 
 
-QUERIES["fl4_chain_length"] = _flow_accounts(fixed.SLOW_WINDOW, "chain_length")
-QUERIES["fl5_loop_counts"] = _flow_accounts(fixed.SLOW_WINDOW, "cycle_count")
-QUERIES["fl6_forwards"] = _flow_accounts(fixed.SLOW_WINDOW, "forward_count", "forwarded_amount")
-QUERIES["fl7_dwell"] = _flow_accounts(fixed.SLOW_WINDOW, "dwell_mean")
+QUERIES["fl4_chain_length"] = _flow_accounts("chain_length")
+QUERIES["fl5_loop_counts"] = _flow_accounts("cycle_count")
+QUERIES["fl6_forwards"] = _flow_accounts("forward_count", "forwarded_amount")
+QUERIES["fl7_dwell"] = _flow_accounts("dwell_mean")
 
 
 @query("fl5_loops")
 def _(spark, folder):
-    return ev_traced(spark, folder)[fixed.SLOW_WINDOW]["loops"].withColumn("nodes", F.array_join("nodes", ">"))
+    return _both_windows(spark, folder, "loops", lambda df: df.withColumn("nodes", F.array_join("nodes", ">")))
 
 
 @query("fl8_chain_details")
 def _(spark, folder):
-    return flow.chain_details(ev_traced(spark, folder)[fixed.SLOW_WINDOW]["paths"]).withColumn(
-        "chain_path", F.array_join("chain_path", ">"))
+    return _both_windows(spark, folder, "paths", lambda df: flow.chain_details(df).withColumn(
+        "chain_path", F.array_join("chain_path", ">")))
 
 
 # ---------------------------------------------------------------------------- context detectors
@@ -764,8 +771,9 @@ QUERIES["rp9_pattern_summary"] = _pattern_summary
 @query("rp10_global_stats")
 def _(spark, folder):
     strong = once(spark, folder, "ev_strong", lambda: cut(topology.strong_components(ev_pairs(spark, folder))))
+    weak = once(spark, folder, "ev_weak", lambda: cut(topology.weak_components(ev_pairs(spark, folder))))
     return report.global_stats(ev(spark, folder), _scored(spark, folder), topology.multi_account_components(strong),
-                               _pattern_summary(spark, folder))
+                               _pattern_summary(spark, folder), graph.summary(ev(spark, folder), weak, strong))
 
 
 QUERIES["rp11_volume_timeline"] = lambda spark, folder: report.volume_timeline(ev(spark, folder))
@@ -887,19 +895,26 @@ def _labelled(spark, folder):
     return once(spark, folder, "labelled", build)
 
 
+def _split(spark, folder, part: str) -> DataFrame:
+    """Accounts by a hash: six tenths train, two choose the threshold, two test."""
+    slot = F.pmod(F.xxhash64("account_id"), F.lit(10))
+    wanted = {"train": slot < 6, "choose": (slot >= 6) & (slot < 8), "test": slot >= 8}
+    return _labelled(spark, folder).where(wanted[part])
+
+
 MODEL_ROUNDS = 20
 
 
 def _boosted(spark, folder):
     def build():
-        rows = _labelled(spark, folder)
-        return models.with_best_threshold(models.fit_boosting(rows, iterations=MODEL_ROUNDS, depth=4), rows)
+        model = models.fit_boosting(_split(spark, folder, "train"), iterations=MODEL_ROUNDS, depth=4)
+        return models.with_best_threshold(model, _split(spark, folder, "choose"))
 
     return once(spark, folder, "boosted", build)
 
 
 def _forest(spark, folder):
-    return once(spark, folder, "isolation", lambda: models.IsolationForest(pipeline.VECTOR).fit(_vector(spark, folder)))
+    return once(spark, folder, "isolation", lambda: models.IsolationForest(fixed.VECTOR).fit(_vector(spark, folder)))
 
 
 @query("ml2_isolation_forest")
@@ -914,7 +929,7 @@ def _(spark, folder):
 
 @query("ml7_random_forest")
 def _(spark, folder):
-    forest = once(spark, folder, "random_forest", lambda: models.fit_forest(_labelled(spark, folder), trees=MODEL_ROUNDS, depth=6))
+    forest = once(spark, folder, "random_forest", lambda: models.fit_forest(_split(spark, folder, "train"), trees=MODEL_ROUNDS, depth=6))
     return rounded(forest.score(_labelled(spark, folder)).select("account_id", "label", "probability"))
 
 
@@ -932,21 +947,21 @@ def _(spark, folder):
 
 @query("ev9_ablation")
 def _(spark, folder):
-    rows = _labelled(spark, folder)
-    return rounded(models.ablation(rows, rows, lambda df, columns: models.fit_boosting(df, columns=columns, iterations=5, depth=3)))
+    train, test = _split(spark, folder, "train"), _split(spark, folder, "test")
+    return rounded(models.ablation(train, test, lambda df, columns: models.fit_boosting(df, columns=columns, iterations=5, depth=3)))
 
 
 @query("ev10_permutation_importance")
 def _(spark, folder):
-    found = models.permutation_importance(_boosted(spark, folder), _labelled(spark, folder), columns=(
+    found = models.permutation_importance(_boosted(spark, folder), _split(spark, folder, "test"), columns=(
         "max_tx_per_hour", "near_threshold_out", "same_day_turnover", "pagerank"))
     return rounded(found)
 
 
 @query("ev11_leave_one_out")
 def _(spark, folder):
-    rows = _labelled(spark, folder)
-    return rounded(models.leave_one_out(rows, rows, ("structuring", "passthrough"),
+    train, test = _split(spark, folder, "train"), _split(spark, folder, "test")
+    return rounded(models.leave_one_out(train, test, ("structuring", "passthrough", "other"),
                                         lambda df: models.fit_boosting(df, iterations=5, depth=3)))
 
 

@@ -10,12 +10,16 @@ from .session import prepare
 
 RAW_SCHEMA = (
     "transaction_id string, tx_id string, sender_id string, sender string, receiver_id string, receiver string, "
-    "amount string, timestamp string, tx_type string, location string, device_id string, _corrupt_record string"
+    "amount variant, timestamp variant, tx_type string, location string, device_id string, _corrupt_record string"
 )
 
 
 def read_transfers(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
-    """Raw transfers as text columns; records that do not parse keep their text in ``_corrupt_record``.
+    """Raw transfers; records that do not parse keep their text in ``_corrupt_record``.
+
+    JSON keeps whether an amount or a time was a number, a text or something else; everything else is text.
+    CSV has the same columns, all text, and keeps broken lines as well.
+
 
     JSON may be one record per line or, with ``multiLine="true"``, an array. Parquet keeps its types.
     """
@@ -26,8 +30,9 @@ def read_transfers(spark: SparkSession, path: str, fmt: str = "json", **options:
         return spark.read.options(**options).orc(path)
     reader = spark.read.schema(RAW_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if fmt == "csv":
-        header = spark.read.option("header", "true").options(**options).csv(path)
-        return header
+        names = spark.read.option("header", "true").options(**options).csv(path).columns
+        return spark.read.schema(", ".join(f"`{c}` string" for c in [*names, "_corrupt_record"])).option("header", "true").option(
+            "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").options(**options).csv(path)
     return reader.options(**options).json(path)
 
 

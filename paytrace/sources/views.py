@@ -91,7 +91,8 @@ SELECT event_id AS row_index,
        CASE WHEN value > 300 THEN NULL ELSE concat('U', abs(user_id + k % 20 - 10)) END AS receiver_id,
        CASE WHEN event_type <> 'error' THEN v
             WHEN value < 10 THEN 'NaN' WHEN value < 20 THEN 'Infinity' WHEN value < 30 THEN concat('-', v)
-            WHEN value < 35 THEN '0' WHEN value < 40 THEN 'abc' WHEN value > 200 THEN '5e9' ELSE v END AS amount,
+            WHEN value < 35 THEN '0' WHEN value < 40 THEN 'abc'
+            WHEN value < 42 THEN '5d' WHEN value < 44 THEN '7f' WHEN value < 46 THEN '0x1p3' WHEN value < 48 THEN '1_000' WHEN value > 200 THEN '5e9' ELSE v END AS amount,
        CASE WHEN event_type = 'click' AND value < 5 THEN 'not-a-date'
             WHEN event_type = 'click' THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss')
             WHEN event_type = 'view' THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), 'Z')

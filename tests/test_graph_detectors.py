@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
+
 from .conftest import accounts
 
 from paytrace.operators import behaviour, detectors, graph, topology
@@ -179,4 +181,6 @@ def test_ego_networks(spark):
     assert [r.node for r in two.where("is_target").collect()] == ["a"]
     counts = graph.ego_counts(two, graph.ego_edges(pairs, two)).first()
     assert (counts.node_count, counts.edge_count) == (3, 2)
-    assert graph.ego_nodes(pairs, targets, 9).count() == 4  # three hops at most
+    assert graph.ego_nodes(pairs, targets, 3).count() == 4
+    with pytest.raises(ValueError):
+        graph.ego_nodes(pairs, targets, 9)

@@ -57,3 +57,10 @@ def test_entry_points(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(oracles) > 130
     assert entry.entry(spark).count() > 0
+
+
+def test_draws_do_not_vanish_at_scale():
+    for n in (100, 10**6, 10**9, 10**12):
+        limit = models.draw_limit(512, n)
+        share = (limit + (1 << 63)) / (1 << 64)
+        assert abs(share - min(1, 512 / n)) <= 1e-9 * share

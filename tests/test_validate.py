@@ -69,6 +69,23 @@ def test_times_aliases_and_context(spark, tmp_path):
     assert len(rows["b"].device_id) == 64
 
 
+def test_only_plain_numbers_are_amounts_and_only_numbers_are_epochs(spark, tmp_path):
+    errors = _errors(
+        spark, tmp_path, dict(amount="5d"), dict(amount="7f"), dict(amount="0x1p3"), dict(amount=True), dict(amount=[1]),
+        dict(timestamp="1704067200"), dict(timestamp=True), dict(amount="1_000"), dict(amount=12.5), dict(timestamp=1704067200),
+        dict(timestamp="20240101T000000"), dict(timestamp="2024-01-01T00:00:00,5"))
+    assert [e.split(":")[0] if e else None for e in errors] == [
+        *["Invalid amount format"] * 3, *["Invalid amount type"] * 2, *["Invalid timestamp"] * 2, *[None] * 5]
+    assert errors[3] == "Invalid amount type: bool"
+
+
+def test_broken_csv_lines_are_kept(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("sender_id,receiver_id,amount,timestamp\nA,B,10,2024-01-01\nA,B,10\n")
+    raw = io.read_transfers(spark, str(path), "csv").cache()
+    assert io.malformed(raw).count() == 1
+
+
 def test_booleans_numbers_and_strict_mode(spark):
     flags = spark.createDataFrame([("A", "B", True, "2026-03-01")], "sender_id string, receiver_id string, amount boolean, timestamp string")
     assert validate.check(flags).first().error == "Invalid amount type: bool"
