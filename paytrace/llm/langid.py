@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, fold, mix, per_doc
+from paytrace.llm.common import blocks, fold, mix, per_doc, stored
 
 GRAM = 5  # bytes, over letters and single spaces
 CELLS = 1 << 20
@@ -135,8 +135,13 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return np.where(total > 0, best, model.default), share
 
 
+def _row_key() -> Column:
+    """One number for doc_id and text, null or not."""
+    return F.xxhash64("doc_id", "text", F.col("text").isNull())
+
+
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and the columns of ``documents`` behind them as struct ``row``.
+    """doc_id, held_out, lang_pred, score and a key of the row, per row.
 
     Null text and text without a letter give ``und`` with score 0; so does everything if no label was learned.
     Ties go to the language first in code point order; a text without a known n-gram gets the most frequent
@@ -145,35 +150,32 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or train(documents)
     held = documents.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").alias("t"),
-                             F.col("doc_id").cast("long").alias("doc_id"),
-                             (F.coalesce(fold(), F.lit(0)) == 2).alias("held_out"), letters.alias("letters"))
+    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(fold(), F.lit(0)) == 2).alias("held_out"),
+                             _row_key().alias("key"), letters.alias("letters"), "text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.langs, UNKNOWN], object)
         for batch in batches:
-            has = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            for row, end, data, offsets in blocks(batch.column(1)):
+            has = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            for row, end, data, offsets in blocks(batch.column(4)):
                 best, share = score_block(m, data, offsets)
                 part, known = batch.slice(row, end - row), has[row:end]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(3), pa.array(names[np.where(known, best, -1)], pa.string()),
-                     pa.array(np.where(known, share, 0.0)), part.column(0)],
-                    names=["doc_id", "held_out", "lang_pred", "score", "row"])
+                    [part.column(0), part.column(1), pa.array(names[np.where(known, best, -1)], pa.string()),
+                     pa.array(np.where(known, share, 0.0)), part.column(2)],
+                    names=["doc_id", "held_out", "lang_pred", "score", "key"])
 
-    schema = given.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), "row").schema
-    return given.mapInArrow(predict, schema)
+    return given.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, key long")
 
 
 def languages(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score per row."""
-    narrow = documents.select("doc_id", "text", "lang")
-    model = train(narrow)
-    return identify(narrow.select("doc_id", "text"), model).drop("row")
+    """doc_id, held_out, lang_pred and score per row. An empty table gives an empty result."""
+    return identify(documents.select("doc_id", "text", "lang")).drop("key")
 
 
 def keep(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose text has a language with a score of ``min_score`` at least, all columns as they were."""
-    sure = identify(documents).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return sure.select("row.*")
+    unsure = identify(documents).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score))
+    rejected = stored(unsure.select(F.col("key").alias("__key")).distinct(), "rejected")
+    return documents.withColumn("__row", _row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
