@@ -6,9 +6,12 @@ Jaccard similarity of a pair, and pairs that may reach the limit are settled on
 
 Nothing is lost to hot lists. Two sets at the limit share at least ``least_shared`` retained values (but
 for a chance below 1e-6), so it is enough to look a document up under its rarest values, that many fewer
-than all; passages that thousands of documents share are among the frequent ones. Inside a list only
-comparisons with a hub are made, in rounds: first with the smallest id, then with more hubs each round,
-and never between documents that are known to be connected.
+than all; passages that thousands of documents share are among the frequent ones. Documents that meet
+nobody in the lists of the small sketch are done. The others are looked up once more with a sketch of
+``WIDE`` values, for most of them the whole set, which also tells how much a document can share with
+anybody: copies with too many edits of their own leave the lists of their group. Inside a list only
+comparisons with a hub are made: first with its most typical member, then with members that are not
+connected to the rest yet, more of them each round.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ WORDS = 5
 PERCENT = 85
 K = 32
 SHARED_AT_K = 15  # of 32 union values, each in both sets with chance 0.85, fewer are in both with chance 1e-7
-PAIRS_PER_ROW = 16  # comparisons per list row up to which the rest is compared in one round
+WIDE = 1_024
+SHARED_AT_WIDE = 810  # the same for 1,024
+LONG_LIST = 2_000  # comparisons left in a list from which what its members share with the first hub is counted
+PAIRS_PER_ROW = 32  # comparisons per list row up to which the rest is compared in one round
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,30 +85,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists(values, first)], names=["id", "full"])
 
 
-def least_shared(n: Column) -> Column:
+def least_shared(n: Column, k: int, shared_at_k: int) -> Column:
     """Retained values that a document of ``n`` shingles shares at least with any other at the limit.
 
-    Up to ``K * PERCENT / 100`` shingles, no partner has more than ``K`` and both sketches are whole sets.
+    Up to ``k * PERCENT / 100`` shingles, no partner has more than ``k`` and both sketches are whole sets.
     """
     whole = F.ceil(n * PERCENT / 100)
-    return F.when(n <= math.floor(K * PERCENT / 100), whole).otherwise(F.lit(SHARED_AT_K)).cast("int")
+    return F.when(n <= math.floor(k * PERCENT / 100), whole).otherwise(F.lit(shared_at_k)).cast("int")
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _lookups(nodes: DataFrame, k: int, shared_at_k: int) -> DataFrame:
+    """(value, id, n, met, common): each node under its rarest retained values, values of a single node left out.
 
-
-def _lookups(nodes: DataFrame) -> DataFrame:
-    """(value, id, n): each node under its rarest retained values, values of a single node left out."""
+    ``met`` is the number of retained values that other nodes have too. ``common`` adds up how many nodes
+    share each of them: in a group of copies it is largest for the original.
+    """
     each = nodes.select("id", "n", F.explode("sketch").alias("value"))
     often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("value", "v")
     known = each.join(often, F.col("v") == F.col("value")).groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # K at most
-    retained = F.least(F.col("n"), F.lit(K))
-    alone = retained - F.size("values")  # values that no other node has are the rarest
-    looked_up = (retained - least_shared(F.col("n")) + 1 - alone).cast("int")
-    picked = known.where(looked_up > 0).select("id", "n", F.explode(F.slice("values", F.lit(1), looked_up)).alias("s"))
-    return picked.select(F.col("s.value").alias("value"), "id", "n")
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # k at most
+    met, least = F.size("values"), least_shared(F.col("n"), k, shared_at_k)
+    # values that no other node has are the rarest
+    looked_up = (met - least + 1).cast("int")
+    common = F.aggregate("values", F.lit(0).cast("long"), lambda total, v: total + v["df"])
+    picked = known.where(looked_up > 0).select(
+        "id", "n", met.alias("met"), common.alias("common"), F.explode(F.slice("values", F.lit(1), looked_up)).alias("s"))
+    return picked.select(F.col("s.value").alias("value"), "id", "n", "met", "common")
+
+
+def _may_share(n: Column, met: Column, other_n: Column) -> Column:
+    """Whether a node can share enough with one of ``other_n`` shingles, as far as its own sketch tells."""
+    small = math.floor(WIDE * PERCENT / 100)
+    exact = met * (100 + PERCENT) >= (n + other_n) * PERCENT
+    return F.when((n <= small) & (other_n <= small), exact).otherwise(met >= SHARED_AT_WIDE) & (
+        F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT)
+
+
+def _compare(rows: DataFrame, hubs: DataFrame, allowed: Column) -> DataFrame:
+    """Distinct pairs (a, b) of list members with the hubs of their list, where both can share enough.
+
+    Two sets share at most what each has of the list's first hub, and outside of it what others have too.
+    """
+    fits = _may_share(F.col("n"), F.col("met"), F.col("hn")) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"))
+    small = math.floor(WIDE * PERCENT / 100)
+    most = F.least("of_first", "hof_first") + F.least(F.col("met") - F.col("of_first"), F.col("hmet") - F.col("hof_first"))
+    known = (F.col("n") <= small) & (F.col("hn") <= small) & F.col("of_first").isNotNull() & F.col("hof_first").isNotNull()
+    fits &= ~known | (most * (100 + PERCENT) >= (F.col("n") + F.col("hn")) * PERCENT)
+    return rows.join(hubs, (F.col("v") == F.col("value")) & (F.col("id") != F.col("hid")) & allowed & fits).select(
+        F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,21 +152,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """A smaller id that each node is known to be connected with; a hint that only saves comparisons."""
-    both = links.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(
-        links.select(F.col("a").alias("id"), F.col("a").alias("label")))
+    """The smallest label within two links of each node; nodes of one label are connected, which saves comparisons."""
+    ways = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("next")),
+                                          F.struct(F.col("b").alias("id"), F.col("a").alias("next")))).alias("w")).select("w.*")
+    own = ways.select("id").distinct().withColumn("label", F.col("id"))
     if labels is not None:
-        both = both.unionByName(labels)
-    best = both.groupBy("id").agg(F.min("label").alias("label"))
-    up = best.select(F.col("id").alias("label"), F.col("label").alias("above"))
-    return stored(best.join(up, "label", "left").select("id", F.coalesce("above", "label").alias("label")), "labels")
+        own = own.unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
+    for _ in range(2):
+        heard = ways.join(own.withColumnRenamed("id", "next"), "next").select("id", "label")
+        own = own.unionByName(heard).groupBy("id").agg(F.min("label").alias("label"))
+    return stored(own, "labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists whose members have several labels: value, id, n, met, first, u, stray, strays, members.
+
+    In each list the members of its most frequent label are connected already, so whatever is left to
+    compare has a member with another label, a stray, on one side. ``u`` is a hash that orders them.
+    """
+    left = _labelled(rows.select("value", "id", "n", "met", F.col("hid").alias("first")), labels)
+    counts = left.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy(F.col("value").alias("v")).agg(
+        F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("members"))
+    counts = counts.withColumn("strays", F.col("members") - F.col("main.c")).where("strays > 0")
+    u = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return left.join(counts, F.col("v") == F.col("value")).select(
+        "value", "id", "n", "met", "first", u.alias("u"), (F.col("label") != F.col("main.label")).alias("stray"), "strays", "members")
 
 
-def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_lists = named.groupBy(F.col("value").alias("v")).agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high")
-    return named.join(open_lists.select("v", "members"), F.col("v") == F.col("value")).drop("v")
+def _with_first_hub(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``of_first``, the shingles shared with the list's first hub, in lists where many comparisons are left."""
+    asked = left.where(F.col("strays") * F.col("members") > LONG_LIST).select("id", "first").distinct()
+    both = asked.join(sets, "id").join(sets.withColumnsRenamed({"id": "first", "full": "hub"}), "first")
+    shared = both.select("id", "first", F.size(F.array_intersect("full", "hub")).alias("of_first"))
+    return left.join(shared, ["id", "first"], "left")
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -144,44 +196,49 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``nodes``: id, n, sketch. ``texts``: id, text.
     """
-    rows = stored(_lookups(nodes), "lists")
-    hubs = rows.groupBy(F.col("value").alias("v")).agg(
-        F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    starred = stored(rows.join(hubs, F.col("v") == F.col("value")).select(
-        "value", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "starred")
-    needed = starred.select("id").distinct()
-    sets = stored(texts.join(needed, "id", "left_semi").select("id", "text").mapInArrow(
+    first = _lookups(nodes, K, SHARED_AT_K).select("value", "id")
+    meet = first.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("members")).where("members > 1")
+    suspects = stored(first.join(meet, F.col("v") == F.col("value")).select("id").distinct(), "suspects")
+    sets = stored(texts.join(suspects, "id", "left_semi").select("id", "text").mapInArrow(
         _sets, "id long, full array<long>"), "sets")
-    pairs = starred.where("hub < id").where(_sizes_fit("n", "hub_n")).select(
-        F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    wide = sets.select("id", F.size("full").cast("long").alias("n"), F.slice("full", 1, WIDE).alias("sketch"))
+    rows = stored(_lookups(wide, WIDE, SHARED_AT_WIDE), "lists")
+    hub = rows.groupBy(F.col("value").alias("v")).agg(
+        F.max(F.struct("common", "id", "n", "met")).alias("h"), F.min("n").alias("low"), F.count("*").alias("members"))
+    hub = hub.where("members > 1").select(
+        "v", F.col("h.id").alias("hid"), F.col("h.n").alias("hn"), F.col("h.met").alias("hmet"), "low")
+    # members that cannot share enough even with the smallest that fits leave the list
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * PERCENT / 100))
+    starred = stored(rows.join(hub, F.col("v") == F.col("value")).where(
+        _may_share(F.col("n"), F.col("met"), smallest) | (F.col("id") == F.col("hid"))).drop("v", "low"), "starred")
+    fits = _may_share(F.col("n"), F.col("met"), F.col("hn")) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"))
+    pairs = starred.where((F.col("id") != F.col("hid")) & fits).select(
+        F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
     found = stored(_verified(pairs, nodes, sets), "links")
     labels = _relabel(None, found)
-    left = starred.where("hub <> id").select("value", "id", "n")
-    whole = left.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("of"))
-    left = stored(left.join(whole, F.col("v") == F.col("value")).drop("v").withColumn(
-        "u", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))), "left")
-    done, hubs_a_list = 0, 2
+    left = stored(_open_lists(starred.where("id <> hid"), labels), "open")
+    left = stored(_with_first_hub(left, sets), "open")
+    done, hubs_a_list = 0, 4
     while True:
-        # lists whose members have all been hubs are finished, and so are lists inside one component
-        rows = stored(_with_labels(left.where(F.col("of") > done), labels), "open")
-        work = rows.select("value", "members").distinct().agg(
-            F.sum(F.col("members") * F.col("members")).alias("pairs"), F.sum("members").alias("rows")).first()
+        rows = left.where(F.col("strays") > done)  # a list is finished when all its strays have been hubs
+        work = rows.agg(F.sum("strays").alias("pairs"), F.count("*").alias("rows")).first()  # each row meets its list's strays
         if not work["rows"]:
             return found
-        rest_now = work["pairs"] <= 2 * PAIRS_PER_ROW * work["rows"]
-        # hubs of this round: a slice of the hash range; a pair is compared when its earlier member is a hub
-        start, until = F.lit(float(done)) / F.col("of"), F.lit(1.0) if rest_now else F.lit(float(hubs_a_list)) / F.col("of")
-        hub = rows.where((F.col("u") >= start) & (F.col("u") < until)).select(
-            "value", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"))
-        later = (F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("id") > F.col("hid")))
-        pairs = rows.join(hub, "value").where(later & (F.col("label") != F.col("hl")) & _sizes_fit("n", "hn")).select(
-            F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
-        new = stored(_verified(pairs, nodes, sets), "links")
+        rest_now = work["pairs"] <= PAIRS_PER_ROW * work["rows"]
+        rows = _labelled(rows, labels)
+        # hubs of this round: strays in a slice of the hash range; of two strays the earlier one is the hub
+        start, until = F.lit(float(done)) / F.col("strays"), F.lit(1.0) if rest_now else F.lit(float(hubs_a_list)) / F.col("strays")
+        hubs = rows.where(F.col("stray") & (F.col("u") >= start) & (F.col("u") < until)).select(
+            F.col("value").alias("v"), F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("met").alias("hmet"),
+            F.col("of_first").alias("hof_first"),
+            F.col("u").alias("hu"), F.col("label").alias("hl"))
+        later = ~F.col("stray") | (F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("id") > F.col("hid")))
+        new = stored(_verified(_compare(rows, hubs, later & (F.col("label") != F.col("hl"))), nodes, sets), "links")
         found = found.unionByName(new)
         if rest_now:
             return found
         labels = _relabel(labels, new)
-        done, hubs_a_list = hubs_a_list, hubs_a_list * 4
+        done, hubs_a_list = hubs_a_list, hubs_a_list * 8
 
 
 def components(documents: DataFrame) -> DataFrame:
