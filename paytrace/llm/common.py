@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from paytrace.sources.session import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

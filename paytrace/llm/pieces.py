@@ -24,8 +24,8 @@ from paytrace.llm.common import mix, span_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"  # stands for a space
 GAP_CODE = ord(GAP)
-CHARS = 3_000_000  # characters whose words are looked up together, unless one text alone is longer
-CACHE = 600_000  # words whose pieces a task remembers
+CHARS = 1_000_000  # characters whose words are looked up together, unless one text alone is longer
+CACHE = 200_000  # words whose pieces a task remembers
 DIRECT = 1 << 10  # code points below are looked up in square tables
 SIEVE = 1 << 20
 MEMO = 1 << 21
