@@ -25,10 +25,10 @@ from paytrace.sources.session import shared_folder
 LINKS = 24
 BACK = 24  # links towards a node that take part in a round
 OFFERS = 4  # best new partners that one meeting offers a node
-ROUNDS = 10
+ROUNDS = 6
 SETTLED = 0.03  # stop when fewer links than this share changed
 POOL = 448
-WIDTH = 96
+WIDTH = 160
 HOPS = 24
 EXACT = 48  # nodes of a query that are scored exactly
 
@@ -128,14 +128,13 @@ def graph(codes: DataFrame, nodes: int) -> DataFrame:
         known = codes.join(weakest, F.col("a") == F.col("node")).select("node", "code", "weakest")
         back = _backward(links, BACK, F.xxhash64(F.lit(number), "a", "b"))
         meets = links.select(F.col("a").alias("at"), F.col("b").alias("member"), "fresh").unionByName(
-            back.select(F.col("b").alias("at"), F.col("a").alias("member"), "fresh")).groupBy("at", "member").agg(
-            F.max("fresh").alias("fresh"))
+            back.select(F.col("b").alias("at"), F.col("a").alias("member"), "fresh"))
         meets = meets.join(known, F.col("node") == F.col("member")).groupBy("at").agg(
-            F.collect_list(F.struct("member", "fresh", "weakest", "code")).alias("members"))  # LINKS + BACK at most
+            F.collect_set(F.struct("member", "fresh", "weakest", "code")).alias("members"))  # LINKS + BACK at most
         offers = meets.where(F.exists("members", lambda m: m["fresh"])).select("members").mapInArrow(_meet, "a long, b long, s float")
         # the random links of the start have not been compared; they give way to any offer
         both = links.select("a", "b", "s", F.lit(True).alias("old")).unionByName(offers.withColumn("old", F.lit(False)))
-        merged = both.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("old").alias("old"))
+        merged = both.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("old").alias("old"))
         kept = _best(merged, LINKS).select("a", "b", "s", (~F.col("old")).alias("fresh"))
         links = stored(kept, "links")
         changed = links.agg(F.avg(F.col("fresh").cast("double"))).first()[0]
