@@ -88,10 +88,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def least_shared(n: Column, k: int, shared_at_k: int) -> Column:
     """Retained values that a document of ``n`` shingles shares at least with any other at the limit.
 
-    Up to ``k * PERCENT / 100`` shingles, no partner has more than ``k`` and both sketches are whole sets.
+    A union of at most ``k`` shingles is retained as a whole, with ``PERCENT`` % of ``n`` in both sets; the chance
+    bound ``shared_at_k`` holds for larger unions only.
     """
     whole = F.ceil(n * PERCENT / 100)
-    return F.when(n <= math.floor(k * PERCENT / 100), whole).otherwise(F.lit(shared_at_k)).cast("int")
+    return F.when(n <= math.floor(k * PERCENT / 100), whole).otherwise(F.least(whole, F.lit(shared_at_k))).cast("int")
 
 
 def _lookups(nodes: DataFrame, k: int, shared_at_k: int) -> DataFrame:
@@ -117,7 +118,7 @@ def _may_share(n: Column, met: Column, other_n: Column) -> Column:
     """Whether a node can share enough with one of ``other_n`` shingles, as far as its own sketch tells."""
     small = math.floor(WIDE * PERCENT / 100)
     exact = met * (100 + PERCENT) >= (n + other_n) * PERCENT
-    return F.when((n <= small) & (other_n <= small), exact).otherwise(met >= SHARED_AT_WIDE) & (
+    return F.when((n <= small) & (other_n <= small), exact).otherwise(exact | (met >= SHARED_AT_WIDE)) & (
         F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT)
 
 

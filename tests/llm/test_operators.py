@@ -79,6 +79,21 @@ def test_lists_of_unlike_members_end(docs, monkeypatch):
     assert set(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == groups_of(rows)
 
 
+def test_near_duplicates_about_as_wide_as_the_sketch(docs):
+    draw, rows = random.Random(8), []
+    for n in (740, 780, 830, 871, 900, 925, 952, 1_000, 1_060, 1_100):
+        for share in (0.853, 0.867, 0.89, 0.93):
+            text = words(len(rows) + 900, n + 4, 1 << 30)
+            rows.append((len(rows), " ".join(text)))
+            rows.append((len(rows), " ".join(text[:math.ceil(n * share) + 4])))  # a cut copy
+            edited = list(text)  # and one of equal length, each edit changes up to five shingles
+            for at in draw.sample(range(n), int(n * (1 - share) / 10)):
+                edited[at] = f"e{at}"
+            rows.append((len(rows), " ".join(edited)))
+    got = neardup.components(docs(rows))
+    assert set(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == groups_of(rows)
+
+
 def test_near_duplicates_odd(odd, nothing):
     got = neardup.components(odd)
     assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} >= {(None, None, True), (1, 1, True), (4, 4, True), (5, 4, False)}
