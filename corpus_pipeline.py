@@ -15,7 +15,7 @@ from paytrace.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted by lines their source repeats go."""
+    """Documents that fail the base rules or are depleted by lines their source repeats go; the others lose these lines."""
     return quality.keep(docs)
 
 

@@ -1,7 +1,8 @@
 """Quality rules: base counts per document and line frequency across the documents of a source.
 
 A line's normal form is its lower-cased words. Lines that too many different texts of one source share
-are removed; a document with too few words left is rejected.
+are removed; a document with too few words left is rejected. ``judge`` gives the verdicts, ``keep`` the
+documents that stay, without these lines.
 """
 
 from __future__ import annotations
@@ -116,14 +117,8 @@ def common_lines(measured: DataFrame, docs: int = LINE_DOCS, share: int = LINE_S
         F.col("docs") * 100 > F.col("texts") * share).select("source", "line", "docs", "texts")
 
 
-def judge(documents: DataFrame, docs: int = LINE_DOCS, share: int = LINE_SHARE_PERCENT) -> DataFrame:
-    """Per row: doc_id, the counts, words_removed, base_failed and kept.
-
-    A document that passes the base rules is rejected if its common lines leave fewer than ``MIN_WORDS``
-    words or ``MIN_LEFT_PERCENT`` % of its words. Null or empty text has no words and fails the base rules; null is a
-    source of its own; repeated rows get equal verdicts; an empty table gives an empty result; only
-    doc_id, source and text are read.
-    """
+def _verdicts(documents: DataFrame, docs: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """What ``judge`` gives; key and place of each common line (counted over lines with words) and its words."""
     given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                              "text", row_key().alias("key"), F.xxhash64("text").alias("text_hash"))
     measured = stored(given.mapInArrow(_measures, _SCHEMA), "measured")
@@ -131,18 +126,61 @@ def judge(documents: DataFrame, docs: int = LINE_DOCS, share: int = LINE_SHARE_P
     each = measured.select("key", "source", F.posexplode(F.arrays_zip("lines", "line_words")).alias("at", "l")).select(
         "key", "source", "at", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     hit = each.join(common, F.col("s").eqNullSafe(F.col("source")) & (each["line"] == common["line"]))
-    removed = hit.select("key", "at", "words").distinct().groupBy("key").agg(F.sum("words").alias("words_removed"))
+    hits = stored(hit.select("key", "at", "words").distinct(), "hits")
+    removed = hits.groupBy("key").agg(F.sum("words").alias("words_removed"))
     left = F.col("n_words") - F.col("words_removed")
     depleted = (left < MIN_WORDS) | (left * 100 < F.col("n_words") * MIN_LEFT_PERCENT)
-    return (
+    verdicts = (
         measured.join(removed, "key", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ((F.col("words_removed") == 0) | ~depleted))
         .select("doc_id", *_MEASURES, "base_failed", "kept", "words_removed", "key")
     )
+    return verdicts, hits
+
+
+def judge(documents: DataFrame, docs: int = LINE_DOCS, share: int = LINE_SHARE_PERCENT) -> DataFrame:
+    """Per row: doc_id, the counts, words_removed, base_failed and kept.
+
+    A document that passes the base rules is rejected if its common lines leave fewer than ``MIN_WORDS``
+    words or ``MIN_LEFT_PERCENT`` % of its words. Null or empty text has no words and fails the base rules; null is a
+    source of its own; repeated rows get equal verdicts; an empty table gives an empty result; only
+    doc_id, source and text are read.
+    """
+    return _verdicts(documents, docs, share)[0]
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines at these places, counted over lines with words."""
+    left, at = [], 0
+    for line in text.split("\n"):
+        used = bool(line.strip(" \t\n\v\f\r"))
+        if not used or at not in gone:
+            left.append(line)
+        at += used
+    return "\n".join(left)
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = [without_lines(t.as_py(), set(g.as_py())) for t, g in zip(batch.column(at), batch.column("__gone"))]
+        names = [c for c in batch.schema.names if c != "__gone"]
+        columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, batch.schema.field(at).type)}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that pass, all columns as they were."""
-    rejected = stored(judge(documents).where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected")
-    return documents.withColumn("__row", row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
+    """The rows of ``documents`` that pass, their common lines removed from ``text``, other columns as they were.
+
+    ``n_chars``, where there is one, follows the text. Only rows that lose lines go through Python.
+    """
+    verdicts, hits = _verdicts(documents, LINE_DOCS, LINE_SHARE_PERCENT)
+    rejected = stored(verdicts.where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected")
+    gone = stored(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__gone")), "gone")
+    passed = documents.withColumn("__row", row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti")
+    same = passed.join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
+    less = passed.join(gone, F.col("__row") == F.col("__key")).drop("__row", "__key")
+    return same.unionByName(less.mapInArrow(_cleaned, documents.schema))

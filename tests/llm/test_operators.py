@@ -174,6 +174,16 @@ def test_quality_counts(docs, odd, nothing):
     assert rows_of(kept, "doc_id") == sorted([(None,), (4,), (4,), (5,), (7,)], key=repr)
 
 
+def test_common_lines_leave_the_text(docs):
+    line = "Copyright all rights reserved"
+    rows = [(i, "\n".join([" ".join(words(i, 15)), f" {line.upper()}", "", f"Own {i}", line, " ".join(words(i + 99, 15))])) for i in range(40)]
+    rows += [(40, " ".join(words(300, 30)) + "\nno such\tline\n"), rows[0]]
+    got = quality.keep(docs(rows)).collect()
+    want = [(i, "\n".join(x for x in text.split("\n") if x.strip().lower() != line.lower())) for i, text in rows]
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_language_held_out(spark, odd, nothing):
     got = langid.languages(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
