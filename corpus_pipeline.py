@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a clear language go; the languages are learned from ``lang``."""
+    """Documents whose text is in no language that ``lang`` teaches go, unless their own label was hardly learned."""
     return langid.keep(docs)
 
 

@@ -20,12 +20,11 @@ from paytrace.llm.common import blocks, fold, mix, per_doc, stored
 GRAM = 5  # bytes, over letters and single spaces
 CELLS = 1 << 20
 PROBES = 3
-MAX_LANGS = 256  # the most frequent ones are learned
 DOCS_PER_LANG = 2_000  # bound of the labelled sample
 MIN_COUNT = 3
 MIN_RATIO = 0.1  # a language contains an n-gram at least so often, against the language that has it most often
 UNKNOWN = "und"
-MIN_SCORE = 0.3  # texts below are rejected by ``keep``
+MIN_COVERAGE = 0.3  # texts with less of what their language reaches are rejected by ``keep``
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -39,6 +38,7 @@ class Model:
     cells: np.ndarray  # (CELLS, words) of 64 languages each
     false_rate: np.ndarray
     default: int
+    reach: np.ndarray  # share of a language's own n-grams that it would still hold without one occurrence of them
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +82,16 @@ def train(documents: DataFrame) -> Model:
     """Learns from ``text`` and non-null ``lang`` outside the held-out fold.
 
     About ``DOCS_PER_LANG`` documents a language, chosen by a hash of doc_id, bound the fit; what reaches the
-    driver is one row per cell and 64 languages.
+    driver is one row per cell and 64 languages. Every label is learned.
     """
     spark = documents.sparkSession
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(0)) != 2))
-    found = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    found = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     sizes = {r["lang"]: r["n"] for r in sorted(found, key=lambda r: r["lang"])}
     langs = list(sizes)
     words = (len(langs) + 63) // 64
     cells = np.zeros((CELLS, max(words, 1)), np.uint64)
+    reach = np.zeros(len(langs))
     if langs:
         share = spark.createDataFrame([(lang, i, min(1.0, DOCS_PER_LANG / sizes[lang])) for i, lang in enumerate(langs)],
                                       "lang string, lang_no int, rate double")
@@ -100,8 +101,10 @@ def train(documents: DataFrame) -> Model:
         total = counts.groupBy(F.col("lang_no").alias("no")).agg(F.sum("n").alias("total"))
         rated = counts.join(F.broadcast(total), F.col("no") == F.col("lang_no")).withColumn("f", F.col("n") / F.col("total"))
         most = rated.groupBy(F.col("gram").alias("g")).agg(F.max("f").alias("most"))
-        held = rated.join(most, F.col("g") == F.col("gram")).where(
-            (F.col("n") >= MIN_COUNT) & (F.col("f") >= MIN_RATIO * F.col("most")))
+        held = stored(rated.join(most, F.col("g") == F.col("gram")).where(
+            (F.col("n") >= MIN_COUNT) & (F.col("f") >= MIN_RATIO * F.col("most"))).select("gram", "lang_no", "n", "f"), "held")
+        for r in held.where(F.col("n") > MIN_COUNT).groupBy("lang_no").agg(F.sum("f").alias("reach")).collect():
+            reach[r["lang_no"]] = r["reach"]
         step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("long"))
         probes = F.array(*[(F.col("gram") + F.lit(i).cast("long") * step).bitwiseAND(F.lit(CELLS - 1).cast("long"))
                            for i in range(PROBES)])
@@ -111,15 +114,15 @@ def train(documents: DataFrame) -> Model:
         cells[rows["cell"].to_numpy(np.int64), rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([np.mean((cells[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(langs))])
     default = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i), default=-1)
-    return Model(langs, cells, fill ** PROBES, default)
+    return Model(langs, cells, fill ** PROBES, default, reach)
 
 
-def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the language and its share of the corrected counts, per document."""
+def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language, its share of the corrected counts and of the text's n-grams, per document."""
     grams, first = _grams(data, offsets)
     docs = len(offsets) - 1
     if not model.langs:
-        return np.full(docs, -1), np.zeros(docs)
+        return np.full(docs, -1), np.zeros(docs), np.zeros(docs)
     where = _probes(grams)
     masks = model.cells[where[0]]
     for cell in where[1:]:
@@ -132,50 +135,63 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     best = counts.argmax(axis=1)
     total = counts.sum(axis=1)
     share = np.divide(counts.max(axis=1), total, out=np.zeros(docs), where=total > 0)
-    return np.where(total > 0, best, model.default), share
+    coverage = np.divide(counts.max(axis=1), n, out=np.zeros(docs), where=n > 0)
+    return np.where(total > 0, best, model.default), share, coverage
 
 
 def _row_key() -> Column:
-    """One number for doc_id and text, null or not."""
-    return F.xxhash64("doc_id", "text", F.col("text").isNull())
+    """One number for doc_id, text and lang, null or not."""
+    return F.xxhash64("doc_id", "text", F.col("text").isNull(), "lang", F.col("lang").isNull())
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and a key of the row, per row.
+    """doc_id, held_out, lang_pred, score, a key of the row, coverage and the reach it is held against, per row.
 
     Null text and text without a letter give ``und`` with score 0; so does everything if no label was learned.
     Ties go to the language first in code point order; a text without a known n-gram gets the most frequent
-    language with score 0. Null doc_id counts as not held out. Repeated rows get equal results.
+    language with score 0. Null doc_id counts as not held out. Repeated rows get equal results. ``coverage`` is the
+    share of the text's n-grams that its language holds; ``reach`` is that of the label's own texts, 0 for a label that
+    was not learned, and without a label that of the language found.
     """
     model = model or train(documents)
     held = documents.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(fold(), F.lit(0)) == 2).alias("held_out"),
-                             _row_key().alias("key"), letters.alias("letters"), "text")
+                             _row_key().alias("key"), letters.alias("letters"), "text",
+                             F.col("lang").cast("string").alias("lang"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.langs, UNKNOWN], object)
+        reach = dict(zip(m.langs, m.reach))
         for batch in batches:
             has = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for row, end, data, offsets in blocks(batch.column(4)):
-                best, share = score_block(m, data, offsets)
+                best, share, coverage = score_block(m, data, offsets)
                 part, known = batch.slice(row, end - row), has[row:end]
+                labels = [names[i] if label is None else label for i, label in zip(best, part.column(5).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(names[np.where(known, best, -1)], pa.string()),
-                     pa.array(np.where(known, share, 0.0)), part.column(2)],
-                    names=["doc_id", "held_out", "lang_pred", "score", "key"])
+                     pa.array(np.where(known, share, 0.0)), part.column(2), pa.array(np.where(known, coverage, 0.0)),
+                     pa.array([float(reach.get(label, 0.0)) for label in labels])],
+                    names=["doc_id", "held_out", "lang_pred", "score", "key", "coverage", "reach"])
 
-    return given.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, key long")
+    return given.mapInArrow(
+        predict, "doc_id long, held_out boolean, lang_pred string, score double, key long, coverage double, reach double")
 
 
 def languages(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score per row. An empty table gives an empty result."""
-    return identify(documents.select("doc_id", "text", "lang")).drop("key")
+    return identify(documents.select("doc_id", "text", "lang")).drop("key", "coverage", "reach")
 
 
-def keep(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose text has a language with a score of ``min_score`` at least, all columns as they were."""
-    unsure = identify(documents).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score))
+def keep(documents: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows whose text is in a language, all columns as they were.
+
+    The best language has to hold ``min_coverage`` times the share of the text's n-grams that the texts of its label
+    reach. How many other languages hold them too does not count, and texts under a label with few or no
+    n-grams learned stay, as nothing speaks against them; texts without a letter go.
+    """
+    unsure = identify(documents).where((F.col("lang_pred") == UNKNOWN) | (F.col("coverage") < min_coverage * F.col("reach")))
     rejected = stored(unsure.select(F.col("key").alias("__key")).distinct(), "rejected")
     return documents.withColumn("__row", _row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti").drop("__row")

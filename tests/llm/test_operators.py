@@ -198,6 +198,15 @@ def test_language_held_out(spark, odd, nothing):
     assert langid.keep(odd).columns == odd.columns
 
 
+def test_language_keeps_like_and_rare_labels(docs):
+    labels = ["en", "en-AU", "en-GB", "en-NZ", "en-US", "en-ZA"]  # one language under six names
+    rows = [(i, " ".join(f"{w}lish" for w in words(i, 40, 300)), labels[i % 6]) for i in range(300)]
+    rows += [(300 + i, f"слово{i} текст{i}", f"rare{i}") for i in range(300)]  # more labels than 256, of one short text each
+    rows += [(600, "".join(random.Random(9).choices("abcdefghijkmnopqrtuvxyz ", k=400)), "en"), (601, "12 -- 34", "en")]
+    assert rows_of(langid.keep(docs(rows)), "doc_id") == sorted([(i,) for i in range(600)], key=repr)
+    assert len(langid.train(docs(rows)).langs) > 200
+
+
 def test_toxicity_held_out(docs, spark, nothing):
     draw = random.Random(2)
     rows, labels = [], []
