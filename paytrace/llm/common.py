@@ -26,7 +26,16 @@ _LOWER[65:91] += 32
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _BYTE = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+SECTION = 1 << 16
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(SECTION + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_RADIX), _powers(_INVERSE)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -87,22 +96,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((_RADIX, _INVERSE)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``values`` (bytes or 64-bit hashes); equal spans hash alike wherever they stand."""
+    """64-bit hash of each span of ``values`` (bytes or 64-bit hashes); equal spans hash alike wherever they stand.
+
+    Spans must begin in rising order. They are hashed in runs that cover at most ``SECTION`` values, a longer span
+    section by section, so what is held besides the result does not grow with the length of a text.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        until = max(at + 1, int(np.searchsorted(starts, low + SECTION, "right")))
+        fits = np.flatnonzero(ends[at:until] > low + SECTION)
+        if len(fits) and fits[0] == 0:
+            out[at] = _long_span(values, low, int(ends[at]))
+            at += 1
+            continue
+        until = at + int(fits[0]) if len(fits) else until
+        first, last = starts[at:until] - low, ends[at:until] - low
+        total = _totals(values[low:low + int(last.max(initial=0))])
+        out[at:until] = (total[last] - total[first]) * _DOWN[first]
+        at = until
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _totals(values: np.ndarray) -> np.ndarray:
     terms = _BYTE[values] if values.dtype == np.uint8 else values
-    up, down = _power(max(len(terms), 1))
     total = np.zeros(len(terms) + 1, np.uint64)
-    np.cumsum(terms * up[:len(terms)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(terms * _UP[:len(terms)], out=total[1:])
+    return total
+
+
+def _long_span(values: np.ndarray, start: int, end: int) -> np.uint64:
+    total, scale = 0, 1
+    for low in range(start, end, SECTION):
+        part = _totals(values[low:min(low + SECTION, end)])
+        total = (total + int(part[-1]) * scale) % (1 << 64)
+        scale = scale * int(_UP[SECTION]) % (1 << 64)
+    return np.uint64(total)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -112,15 +143,20 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (one more at the end)."""
-    solid = ~space[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = solid[:-1]
-    after = np.zeros(len(data), bool)
-    after[:-1] = solid[1:]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts = np.flatnonzero(solid & ~before)
-    ends = np.flatnonzero(solid & ~after) + 1
+    cut = np.zeros(min(len(data), BLOCK) + 1, bool)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(data), BLOCK):
+        high = min(low + BLOCK, len(data))
+        cut[:] = False  # a document ends before this byte
+        cut[offsets[np.searchsorted(offsets, low):np.searchsorted(offsets, high, "right")] - low] = True
+        solid = np.zeros(high - low + 2, bool)  # with the byte before and the one behind
+        solid[1:-1] = ~space[data[low:high]]
+        solid[0] = low > 0 and not space[data[low - 1]]
+        solid[-1] = high < len(data) and not space[data[high]]
+        n = high - low
+        starts.append(np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:n])) + low)
+        ends.append(np.flatnonzero(solid[1:-1] & (~solid[2:] | cut[1:n + 1])) + low + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paytrace.llm import neardup, quality, shards
+from paytrace.llm import neardup, quality, shards, spans, variants
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,8 +85,45 @@ def _near_duplicates() -> str:
     FROM s LEFT JOIN best ON best.id = s.doc_id"""
 
 
+def _variants() -> str:
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(concat(coalesce(doc_id::VARCHAR, ''), ':', run))), '..'), "
+           "lambda p: ('0x' || p)::BIGINT)), lambda x, y: xor(x >> 8, tbl[(xor(x, y) & 255) + 1])), 4294967295)")
+    return f"""WITH RECURSIVE tab AS (SELECT {_crc_table()} AS tbl),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL),
+    each AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY 1, 2),
+    hashed AS (SELECT run, c, {crc} AS h FROM each, tab WHERE length(run) >= {variants.MIN_LENGTH}),
+    left_over AS (SELECT CASE WHEN h % {variants.EVERY} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
+    w AS (SELECT word, sum(c)::BIGINT AS n FROM left_over WHERE length(word) >= {variants.MIN_LENGTH} GROUP BY 1 HAVING sum(c) >= {variants.MIN_COUNT}),
+    d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY 1),
+    pick AS (SELECT near.word, min(near.near) AS near FROM near JOIN best ON best.word = near.word AND near.near_n = best.top GROUP BY 1),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {variants.TWICE} * w.n THEN near END AS form,
+      CASE WHEN top >= {variants.TWICE} * w.n THEN top END AS form_n FROM w LEFT JOIN best ON best.word = w.word LEFT JOIN pick ON pick.word = w.word),
+    walk AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+    ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+    SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends ON ends.word = f.word"""
+
+
+def _spans() -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+    win AS (SELECT rid, doc_id, pos, w[pos:pos + {spans.WINDOW - 1}] AS g FROM (
+      SELECT rid, doc_id, w, unnest(range(1, len(w) - {spans.WINDOW - 2})) AS pos FROM d WHERE len(w) >= {spans.WINDOW})),
+    earliest AS (SELECT g, min(doc_id) AS m FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(pos, pos + {spans.WINDOW})) AS p
+      FROM win JOIN earliest USING (g) WHERE win.doc_id > earliest.m)),
+    stay AS (SELECT a.rid, string_agg(a.x, ' ' ORDER BY a.p) AS kept, count(*) AS n FROM (
+      SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) a
+      LEFT JOIN gone ON gone.rid = a.rid AND gone.p = a.p WHERE gone.rid IS NULL GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(stay.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN stay ON stay.rid = d.rid"""
+
+
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": _near_duplicates(),
     "op3_shards": _shards(),
     "op5_quality": _quality(),
+    "op11_variants": _variants(),
+    "op13_spans": _spans(),
 }

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytrace.llm import extract, langid, masked_lm, mixing, neardup, neighbours, pieces, quality, shards, toxicity
+from paytrace.llm import (
+    extract, langid, masked_lm, mixing, neardup, neighbours, pieces, quality, shards, spans, toxicity, variants, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(_table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.dedup(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_main_text": op2_main_text,
@@ -67,4 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
+    "op11_variants": op11_variants,
+    "op12_whitening": op12_whitening,
+    "op13_spans": op13_spans,
 }
