@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.exprs import bucket, dbl, fundable, near_threshold, postings
+from ..functions.dominance import count_in_ranges
 from ..functions.order import timeline_totals
+from ..sources.session import cut
 from . import graph
 
+DENSE_PAIRS = 1 << 16  # pairs of one (account, time slice, amount cell) beyond which they are counted, not joined
+
 
 # ------------------------------------------------------------------ distinct in a sliding window
 def max_distinct_in_window(events: DataFrame, window: int = fixed.TWO_HOURS) -> DataFrame:
@@ -121,11 +125,77 @@ def funding_links(tx: DataFrame, window: int, strict: bool, min_amount=fixed.FLO
     )
 
 
+def _units(amount: Column) -> Column:
+    """Amount in 1/10,000 units, so that the ratio test is exact integer arithmetic."""
+    return (amount * 10000).cast("bigint")
+
+
+def _split_dense(points: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points and probes of calm cells, then those of cells in which a join would compare too many pairs."""
+    key = ["account_id", "slice", "cell"]
+    load = points.groupBy(*key).agg(F.count("*").alias("n")).join(probes.groupBy(*key).agg(F.count("*").alias("m")), key)
+    dense = cut(load.where(F.col("n") * F.col("m") > DENSE_PAIRS).select(*key))
+    if dense.isEmpty():
+        return points, probes, points.limit(0), probes.limit(0)
+    return (points.join(dense, key, "left_anti"), probes.join(dense, key, "left_anti"),
+            points.join(dense, key, "left_semi"), probes.join(dense, key, "left_semi"))
+
+
+def _matched(points: DataFrame, probes: DataFrame, ids: list[str], window: int, strict: bool, before: bool) -> DataFrame:
+    """(*ids, hits, newest, oldest): points with a value in [lo, hi] at most ``window`` seconds before (or after) each probe.
+
+    ``points``: account_id, v, t; ``probes``: account_id, ids, lo, hi, t. An equi-join on (account, time slice, amount cell)
+    where few pairs meet; cells that many meet in are counted by ranks and running totals, no pair is listed.
+    """
+    span = float(fixed.FLOW_MAX_RATIO / fixed.FLOW_MIN_RATIO)
+    gap = 1 if strict else 0
+    placed = points.select("account_id", bucket("t", window).alias("slice"), _cell(F.col("v"), span).alias("cell"), "v", "t")
+    here = bucket("t", window)
+    # in its own slice the probe's time decides, in the neighbouring one the far end of the window
+    near, far = ((F.col("t") - gap, F.col("t") - window) if before else (F.col("t") + gap, F.col("t") + window))
+    ends = F.explode(F.array(
+        F.struct(here.alias("slice"), near.alias("edge"), F.lit(before).alias("upto")),
+        F.struct((here - 1 if before else here + 1).alias("slice"), far.alias("edge"), F.lit(not before).alias("upto"))))
+    asked = probes.where("lo <= hi").select("*", ends.alias("e")).select(
+        "account_id", *[c for c in ids if c != "account_id"], "lo", "hi", F.col("e.slice").alias("slice"), F.col("e.edge").alias("t"), F.col("e.upto").alias("upto"),
+        _cells(F.col("lo"), F.col("hi"), span).alias("cell"))
+    calm, calm_asked, dense, dense_asked = _split_dense(placed, asked)
+    pairs = calm_asked.withColumnRenamed("t", "edge").join(calm, ["account_id", "slice", "cell"]).where(
+        F.col("v").between(F.col("lo"), F.col("hi")) & F.when(F.col("upto"), F.col("t") <= F.col("edge")).otherwise(F.col("t") >= F.col("edge")))
+    counted = count_in_ranges(dense, dense_asked, ["account_id", "slice", "cell"], ids)
+    return pairs.select(*ids, F.lit(1).cast("bigint").alias("hits"), F.col("t").alias("newest"), F.col("t").alias("oldest")).unionByName(counted).groupBy(*ids).agg(
+        F.sum("hits").alias("hits"), F.max("newest").alias("newest"), F.min("oldest").alias("oldest"))
+
+
+def _flows(tx: DataFrame, min_amount) -> tuple[DataFrame, DataFrame]:
+    """Receipts that count and payments large enough to pass one on, in exact units."""
+    receipts = tx.where(F.col("amount") >= F.lit(min_amount)).select(
+        F.col("receiver_id").alias("account_id"), F.col("sender_id").alias("payer"), _units(F.col("amount")).alias("units"), "t")
+    payments = tx.where(F.col("amount") >= F.lit(fixed.FLOW_MIN_RATIO * min_amount)).select(
+        F.col("sender_id").alias("account_id"), F.col("transaction_id").alias("payment_id"), F.col("receiver_id").alias("payee"),
+        F.col("t").alias("payment_t"), F.col("amount").alias("payment_amount"), _units(F.col("amount")).alias("units"))
+    return receipts, payments
+
+
+def funded_payments(tx: DataFrame, window: int, strict: bool, min_amount=fixed.FLOW_MIN_AMOUNT) -> DataFrame:
+    """Payments that receipts of the ``window`` seconds before could fund: how many, the shortest and the longest wait.
+
+    The counts of ``funding_links`` without its pairs: an account with very many receipts and payments of like amounts in
+    one slice costs n log n.
+    """
+    receipts, payments = _flows(tx, min_amount)
+    ids = ["account_id", "payment_id", "payee", "payment_t", "payment_amount"]
+    low, high = (int(10 * r) for r in (fixed.FLOW_MIN_RATIO, fixed.FLOW_MAX_RATIO))
+    asked = payments.withColumn("t", F.col("payment_t")).withColumn("lo", F.ceil(F.col("units") * 10 / F.lit(high).cast("decimal(10,0)")).cast("bigint")).withColumn(
+        "hi", F.floor(F.col("units") * 10 / F.lit(low).cast("decimal(10,0)")).cast("bigint"))
+    found = _matched(receipts.select("account_id", F.col("units").alias("v"), "t"), asked.drop("units"), ids, window, strict, True)
+    return found.select(*ids, (F.col("payment_t") - F.col("newest")).alias("latency"), F.col("hits").alias("matches"),
+                        (F.col("payment_t") - F.col("oldest")).alias("longest"))
+
+
 def rapid_payments(tx: DataFrame, window: int = fixed.HOUR, min_amount=fixed.FLOW_MIN_AMOUNT) -> DataFrame:
     """Payments that pass a receipt on within the window, with the shortest wait and receipts matched."""
-    return funding_links(tx, window, strict=False, min_amount=min_amount).groupBy(
-        "account_id", "payment_id", "payee", "payment_t", "payment_amount"
-    ).agg(F.min("latency").alias("latency"), F.count("*").alias("matches"))
+    return funded_payments(tx, window, strict=False, min_amount=min_amount).drop("longest")
 
 
 def rapid_movement(payments: DataFrame) -> DataFrame:
@@ -138,10 +208,17 @@ def rapid_movement(payments: DataFrame) -> DataFrame:
         F.count("*").alias("destinations"), F.min("fastest").alias("fastest_latency_seconds"))
 
 
-def rapid_members(tx: DataFrame, window: int = fixed.HOUR) -> DataFrame:
+def rapid_members(tx: DataFrame, window: int = fixed.HOUR, min_amount=fixed.FLOW_MIN_AMOUNT) -> DataFrame:
     """Payers and payees of the matched receipts and payments, in long form."""
-    ends = F.explode(F.array("payer", "payee")).alias("member")
-    return funding_links(tx, window, strict=False).select("account_id", ends).distinct()
+    receipts, payments = _flows(tx, min_amount)
+    low, high = (int(10 * r) for r in (fixed.FLOW_MIN_RATIO, fixed.FLOW_MAX_RATIO))
+    asked = receipts.groupBy("account_id", "payer", "units", "t").agg(
+        F.ceil(F.col("units") * low / F.lit(10).cast("decimal(10,0)")).cast("bigint").alias("lo"),
+        F.floor(F.col("units") * high / F.lit(10).cast("decimal(10,0)")).cast("bigint").alias("hi"))
+    points = payments.select("account_id", F.col("units").alias("v"), F.col("payment_t").alias("t"))
+    paid = _matched(points, asked, ["account_id", "payer"], window, False, False).select("account_id", F.col("payer").alias("member"))
+    sent = funded_payments(tx, window, False, min_amount).select("account_id", F.col("payee").alias("member"))
+    return paid.unionByName(sent).distinct()
 
 
 # -------------------------------------------------------------------------------- structuring

@@ -5,10 +5,13 @@ newest on ties), and uses it up. Its choice depends on chains that were built el
 network is one sequence; but it depends only on strictly earlier transfers, so repeating the
 per-account step until nothing changes ends in the one right answer.
 
-Spark holds the transfers keyed by (account, chunk). A round replays the chunks whose receipts or
-opening inbox changed, and passes on changed chain lengths. A chunk is at most about ``chunk_rows``
-rows of one account's timeline, so a hot account is many tasks; its inbox (64 receipts at most) is
-handed from chunk to chunk the same way a chain length is handed from account to account.
+Accounts are dealt into parts of about ``task_rows`` events. A part is replayed in one pass over its events in time
+order, with one inbox per account, so a chain inside a part is followed at once. What a part cannot see is the
+chain length of a receipt whose payer lives in another part. Payers announce it; a part is replayed again when an
+announcement for it changed. Events are written once, partitioned by part; a round reads the parts that heard something
+new and appends its announcements and results, so its cost follows what changed. An account's timeline beyond
+``chunk_rows`` is cut into chunks, each placed on its own; its inbox (64 receipts at most) is announced from chunk
+to chunk in the same way.
 """
 
 from __future__ import annotations
@@ -21,17 +24,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.exprs import bucket, dbl
-from ..sources.session import cut
+from ..sources.session import cut, drop_folder, new_folder
 
 CHUNK_ROWS = 200_000
+TASK_ROWS = 100_000
 BOX = "array<struct<t:bigint,units:bigint,tx:string,depth:int>>"
-MOVED = (
-    "window int, tx string, account string, chunk int, counts boolean, depth int, funded_by string, wait bigint, "
-    f"box {BOX}"
-)
-COLUMNS = ["window", "tx", "account", "chunk", "counts", "depth", "funded_by", "wait", "box"]
-GROUP = ["window", "account", "chunk"]
-EVENT = [*GROUP, "kind", "t", "other", "units", "tx", "other_chunk", "depth", "funded_by", "box"]
+EVENT = ["t", "sender", "receiver", "units", "tx", "kind", "account", "chunk", "to", "window", "depth", "box", "turn", "part"]
+EVENT_SCHEMA = ("t bigint, sender string, receiver string, units bigint, tx string, kind int, account string, chunk int, to int, "
+                f"window int, depth int, box {BOX}, turn int, part int")
+ORDER = ["part", "t", "sender", "receiver", "units", "tx", "kind", "turn"]
+OUT = ["t", "sender", "receiver", "units", "tx", "kind", "account", "chunk", "window", "depth", "box", "turn", "heard", "funded_by", "wait", "sort", "part"]
+OUT_SCHEMA = ("t bigint, sender string, receiver string, units bigint, tx string, kind int, account string, chunk int, "
+              f"window int, depth int, box {BOX}, turn int, heard boolean, funded_by string, wait bigint, sort string, part int")
+OPENING, KNOWN, PAYMENT, RECEIPT, CLOSING = range(-1, 4)  # kinds of rows, in the order in which rows of one transfer are read
+FIRST, LAST = -(1 << 62), 1 << 62
 
 
 def _units(amount: Column) -> Column:
@@ -58,97 +64,109 @@ class _Inbox:
 
     A payment is served from the deepest level down, each level from its newest end, and stops at the first
     fit; a level is left as soon as its receipts are older than the window. Beyond ``room`` receipts the
-    oldest leaves.
+    oldest leaves. Levels are linked lists by key: a receipt is taken out anywhere in constant time.
     """
 
-    def __init__(self, room: int):
-        self.room, self.levels, self.waiting = room, {}, OrderedDict()
+    def __init__(self, room: int, held=()):
+        self.room, self.levels, self.waiting, self.count = room, {}, OrderedDict(), 0
+        for receipt in held:
+            self.put(*receipt)
 
     def put(self, t: int, units: int, tx: str, depth: int) -> None:
-        key = len(self.levels.setdefault(depth, []))
-        self.levels[depth].append((t, units, tx))
-        self.waiting[depth, key] = None
+        self.count += 1
+        self.levels.setdefault(depth, OrderedDict())[self.count] = (t, units, tx)
+        self.waiting[self.count] = depth
         if len(self.waiting) > self.room:
-            (level, at), _ = self.waiting.popitem(last=False)
-            self._clear(level, at)
+            self._take(next(iter(self.waiting)))
 
-    def _clear(self, level: int, at: int) -> None:
+    def _take(self, key: int) -> None:
+        level = self.waiting.pop(key)
         shelf = self.levels[level]
-        shelf[at] = None
-        while shelf and shelf[-1] is None:
-            shelf.pop()
+        del shelf[key]
         if not shelf:
             del self.levels[level]
 
     def serve(self, t: int, units: int, window: int) -> tuple[int, str | None, int | None]:
         """Depth, id and waiting time of the receipt that funds a payment; depth 0 if none does."""
         for level in sorted(self.levels, reverse=True):
-            shelf = self.levels[level]
-            for at in reversed(range(len(shelf))):
-                if shelf[at] is None:
-                    continue
-                came, size, tx = shelf[at]
+            for key, (came, size, tx) in reversed(self.levels[level].items()):
                 if t - came > window:
                     break
                 if came < t and 7 * size <= 10 * units <= 11 * size:
-                    del self.waiting[level, at]
-                    self._clear(level, at)
+                    self._take(key)
                     return level, tx, t - came
         return 0, None, None
 
-    def rest(self) -> list[dict]:
+    def rest(self) -> list[tuple[int, int, str, int]]:
         """What is left, oldest first."""
-        held = ((*self.levels[level][at], level) for level, at in self.waiting)
-        return [dict(t=t, units=units, tx=tx, depth=level) for t, units, tx, level in held]
+        return [(*self.levels[level][key], level) for key, level in self.waiting.items()]
 
 
-def _replay(min_units: int, max_inbox: int):
-    """Replays sorted chunks as they stream by and emits what changed.
+def _box(held) -> list[tuple[int, int, str, int]]:
+    return [(int(h["t"]), int(h["units"]), h["tx"], int(h["depth"])) for h in held]
 
-    Holds the inbox of the current account only. Row kinds: 0 opening inbox, 1 receipt, 2 payment,
-    3 end of a chunk that hands its inbox on.
+
+def _replay(windows: list[int], min_units: int, max_inbox: int, turn: int):
+    """Replays parts in time order as they stream by; emits funded payments and announcements that changed.
+
+    Holds the inboxes of one part. An announcement is written twice: to the part that has to hear it and, to be
+    compared with in a later replay, to the part that made it.
     """
-    floor_units = min_units * 7 // 10
 
     def step(batches):
-        group, box = None, _Inbox(max_inbox)
+        part, shelves, current, known, here = None, {}, None, {}, None
         for rows in batches:
             out = []
-            for window, account, chunk, kind, t, other, units, tx, other_chunk, depth, funded_by, opening in zip(
-                *(rows[c].tolist() for c in EVENT)
-            ):
-                if group != (window, account, chunk):
-                    group, box = (window, account, chunk), _Inbox(max_inbox)
-                if kind == 1:
-                    box.put(t, units, tx, depth)
-                elif kind == 0:
-                    for held in opening:
-                        box.put(int(held["t"]), int(held["units"]), held["tx"], int(held["depth"]))
-                elif kind == 3:
-                    out.append((window, f"carry {chunk + 1} {account}", account, chunk + 1, True, None, None, None, box.rest()))
+            for t, sender, receiver, units, tx, kind, account, chunk, to, window, depth, box, _, at in zip(*(rows[c].tolist() for c in EVENT)):
+                if at != part:
+                    part, shelves, current = at, {}, None
+                if tx != current:
+                    current, known, here = tx, {}, None
+                event = (t, sender, receiver, units, tx)
+                if kind == KNOWN:
+                    known[int(window)] = int(depth) if box is None else _box(box)
+                elif kind == OPENING:
+                    shelves[int(window), account, chunk] = _Inbox(max_inbox, _box(box))
+                elif kind == PAYMENT:
+                    here = {}
+                    for w in windows:
+                        shelf = shelves.get((w, account, chunk))
+                        behind, source, wait = shelf.serve(t, units, w) if shelf else (0, None, None)
+                        here[w] = behind + 1
+                        if source is not None:
+                            out.append((*event, PAYMENT, account, chunk, w, behind + 1, None, turn, False, source, wait, "result", part))
+                        if to >= 0 and to != part and behind + 1 != known.get(w, 1):
+                            for heard, where in ((False, part), (True, to)):
+                                out.append((*event, KNOWN, account, chunk, w, behind + 1, None, turn, heard, None, None, "said", where))
+                elif kind == RECEIPT:
+                    for w in windows:
+                        length = here[w] if here is not None else known.get(w, 1)
+                        shelf = shelves.get((w, account, chunk))
+                        if shelf is None:
+                            shelf = shelves[w, account, chunk] = _Inbox(max_inbox)
+                        shelf.put(t, units, tx, length)
                 else:
-                    behind, source, wait = box.serve(t, units, window) if units >= floor_units else (0, None, None)
-                    if behind + 1 != depth or source != funded_by:
-                        out.append((window, tx, other, other_chunk, units >= min_units, behind + 1, source, wait, None))
-            yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
+                    for w in windows:
+                        shelf = shelves.get((w, account, chunk))
+                        rest = shelf.rest() if shelf else []
+                        if rest != known.get(w, []):
+                            held = [dict(t=a, units=b, tx=c, depth=d) for a, b, c, d in rest]
+                            out.append((*event, KNOWN, account, chunk, w, None, held, turn, False, None, None, "said", part))
+                            out.append((FIRST, *event[1:], OPENING, account, chunk + 1, w, None, held, turn, True, None, None, "said", to))
+            yield pd.DataFrame(out, columns=OUT, dtype=object)
 
     return step
 
 
 def trace(tx: DataFrame, windows=(fixed.FAST_WINDOW, fixed.SLOW_WINDOW), min_amount=fixed.FLOW_MIN_AMOUNT,
-          max_inbox: int = fixed.FLOW_MAX_INBOX, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+          max_inbox: int = fixed.FLOW_MAX_INBOX, chunk_rows: int = CHUNK_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Every transfer that can take part, with its chain depth and the receipt that funded it.
 
     Columns: window, tx, account (receiver), sender, t, amount, depth, funded_by, wait; all windows
     are traced in the same rounds. A transfer below 0.7 x ``min_amount`` has depth 1 and is left out.
     Events are ordered by (t, sender, receiver, amount, id).
-
-    ``results`` holds only transfers that are funded; the transfer tables themselves are never
-    rewritten. From the second round on only chunks with a changed receipt or inbox are replayed; finding them
-    still scans ``events``.
     """
     spark = tx.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     min_units = int(min_amount * 10000)
     use = tx.select(
         F.col("transaction_id").alias("tx"), F.col("sender_id").alias("sender"), F.col("receiver_id").alias("receiver"),
@@ -163,58 +181,58 @@ def trace(tx: DataFrame, windows=(fixed.FAST_WINDOW, fixed.SLOW_WINDOW), min_amo
         df = df.withColumn("__h", bucket("t", fixed.HOUR)).join(where, [key, "__h"], "left").drop("__h")
         return df.withColumn(name, F.coalesce(name, F.lit(0)))
 
-    use = cut(placed(placed(use, "sender", "s_chunk"), "receiver", "r_chunk"))
-    each = F.explode(F.array(*[F.lit(w) for w in windows])).alias("window")
-    counted = use.where(F.col("units") >= min_units)
     # Only accounts that both receive and pay can forward anything.
-    no_box = F.lit(None).cast(BOX).alias("box")
-    receipts = counted.join(use.select(F.col("sender").alias("receiver")).distinct(), "receiver", "left_semi").select(
-        each, F.col("receiver").alias("account"), F.col("r_chunk").alias("chunk"), F.lit(1).alias("kind"), "t",
-        F.col("sender").alias("other"), "sender", "receiver", "units", "tx", F.lit(0).alias("other_chunk"), no_box)
-    payments = use.join(counted.select(F.col("receiver").alias("sender")).distinct(), "sender", "left_semi").select(
-        each, F.col("sender").alias("account"), F.col("s_chunk").alias("chunk"), F.lit(2).alias("kind"), "t",
-        F.col("receiver").alias("other"), "sender", "receiver", "units", "tx", F.col("r_chunk").alias("other_chunk"), no_box)
-    events = receipts.unionByName(payments)
-    if hot:
-        # Every chunk but an account's last hands its inbox on.
+    payers = use.select(F.col("sender").alias("receiver")).distinct().withColumn("pays_on", F.lit(True))
+    collectors = use.where(F.col("units") >= min_units).select(F.col("receiver").alias("sender")).distinct().withColumn("was_paid", F.lit(True))
+    use = cut(placed(placed(use, "sender", "s_chunk"), "receiver", "r_chunk").join(payers, "receiver", "left").join(collectors, "sender", "left"))
+    as_receipt = F.col("pays_on").isNotNull() & (F.col("units") >= min_units)
+    parts = max(1, -(-2 * use.count() // task_rows))
+
+    def part_of(account: str, chunk: Column) -> Column:
+        return F.pmod(F.xxhash64(account, chunk), F.lit(parts)).cast("int")
+
+    own, target = part_of("sender", F.col("s_chunk")), part_of("receiver", F.col("r_chunk"))
+    unknown = [F.lit(None).cast("int").alias("window"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(BOX).alias("box"), F.lit(-1).alias("turn")]
+
+    def event(kind: int, account: str, chunk: str, to: Column, part: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(account).alias("account"), F.col(chunk).cast("int").alias("chunk"), to.alias("to"), part.alias("part"))
+
+    sides = F.array_compact(F.array(
+        F.when(F.col("was_paid").isNotNull(), event(PAYMENT, "sender", "s_chunk", F.when(as_receipt, target).otherwise(-1), own)),
+        F.when(as_receipt, event(RECEIPT, "receiver", "r_chunk", F.lit(-1), target))))
+    events = use.select("t", "sender", "receiver", "units", "tx", F.explode(sides).alias("e")).select(
+        "t", "sender", "receiver", "units", "tx", "e.kind", "e.account", "e.chunk", "e.to", *unknown, "e.part")
+    if hot:  # every chunk but an account's last hands its inbox on
         ends = split.groupBy("account").agg(F.max("chunk").alias("final"))
-        marks = split.select("account", "chunk").distinct().join(ends, "account").where("chunk < final").select(
-            each, "account", "chunk", F.lit(3).alias("kind"), F.lit(2**62).alias("t"))
-        events = events.unionByName(marks, allowMissingColumns=True).na.fill(0, ["units", "other_chunk"]).na.fill(
-            "", ["other", "sender", "receiver", "tx"])
-    events = cut(events)
-    step = _replay(min_units, max_inbox)
-
-    results = spark.createDataFrame([], MOVED)
-    todo = None
-    while True:
-        live = events
-        if hot:
-            live = live.unionByName(
-                results.where("box IS NOT NULL").select(
-                    *GROUP, F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("t"), F.lit("").alias("other"),
-                    F.lit("").alias("sender"), F.lit("").alias("receiver"), F.lit(0).cast("bigint").alias("units"),
-                    F.lit("").alias("tx"), F.lit(0).alias("other_chunk"), "box"))
-        if todo is not None:
-            live = live.join(todo, GROUP, "left_semi")
-        known = results.where("box IS NULL").select("window", "tx", "depth", "funded_by")
-        live = live.join(known, ["window", "tx"], "left").withColumn("depth", F.coalesce("depth", F.lit(1)))
-        # A fixed partition count keeps the Python step spread out when the data is small.
-        ready = live.repartition(parts, *GROUP).sortWithinPartitions(
-            *GROUP, "t", "sender", "receiver", "units", "tx").select(*EVENT)
-        moved = ready.mapInPandas(step, MOVED)
-        if hot:
-            # A chunk always re-emits its closing inbox; only a different one counts as moved.
-            was = results.where("box IS NOT NULL").select("window", "tx", F.col("box").alias("was"))
-            moved = moved.join(was, ["window", "tx"], "left").where(
-                "box IS NULL OR was IS NULL OR box <> was").drop("was")
-        moved = cut(moved)
-        if moved.isEmpty():
-            break
-        results = cut(results.join(moved.select("window", "tx"), ["window", "tx"], "left_anti").unionByName(moved))
-        # Only a receipt that counts, or an inbox, can change another chunk.
-        todo = moved.where("counts").select(*[F.col(c).alias(c) for c in GROUP]).distinct()
-    known = results.select("window", "tx", "depth", "funded_by", "wait")
+        marks = split.select("account", "chunk").distinct().join(ends, "account").where("chunk < final")
+        events = events.unionByName(marks.select(
+            F.lit(LAST).alias("t"), F.lit("").alias("sender"), F.lit("").alias("receiver"), F.lit(0).cast("bigint").alias("units"),
+            F.concat_ws(" ", F.lit("carry"), "chunk", "account").alias("tx"), F.lit(CLOSING).alias("kind"), "account", F.col("chunk").cast("int").alias("chunk"),
+            part_of("account", F.col("chunk").cast("int") + 1).alias("to"), *unknown, part_of("account", F.col("chunk").cast("int")).alias("part")))
+    folder = new_folder(spark, "flow")
+    events.repartition(min(parts, 4096), "part").write.partitionBy("part").parquet(f"{folder}/events")
+    written = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events")
+    last: dict[int, int] = {}  # the round that replayed a part last; parts are events / task_rows
+    todo, turn = list(range(parts)), 0
+    while todo:
+        live = written.where(F.col("part").isin(todo))
+        if turn:
+            told = spark.read.schema(OUT_SCHEMA).parquet(f"{folder}/out").where((F.col("sort") == "said") & F.col("part").isin(todo))
+            live = live.unionByName(told.withColumn("to", F.lit(-1)).select(*EVENT))
+        ready = live.repartition(min(len(todo), 4096), "part").sortWithinPartitions(*ORDER)
+        ready.mapInPandas(_replay(list(windows), min_units, max_inbox, turn), OUT_SCHEMA).write.mode("append").partitionBy(
+            "turn", "sort", "part").parquet(f"{folder}/out")
+        last |= dict.fromkeys(todo, turn)
+        said = spark.read.schema(OUT_SCHEMA).parquet(f"{folder}/out").where(f"turn = {turn} AND sort = 'said' AND heard")
+        todo = [r.part for r in said.select("part").distinct().collect()]
+        turn += 1
+    results = spark.read.schema(OUT_SCHEMA).parquet(f"{folder}/out").where("sort = 'result'")
+    if turn > 1:
+        valid = spark.createDataFrame(list(last.items()), "part int, turn int")
+        results = results.join(valid, ["part", "turn"], "left_semi")
+    known = cut(results.select("window", "tx", "depth", "funded_by", "wait"))
+    drop_folder(spark, folder)
+    each = F.explode(F.array(*[F.lit(w) for w in windows])).alias("window")
     return use.select(each, "tx", F.col("receiver").alias("account"), "sender", "t", "units").join(
         known, ["window", "tx"], "left").select(
         "window", "tx", "account", "sender", "t", (F.col("units") / F.lit(10000)).cast("decimal(18,4)").alias("amount"),

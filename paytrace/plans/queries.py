@@ -358,8 +358,8 @@ def _(spark, folder):
 
 # ------------------------------------------------------------------------------- flow tracing
 def _links(window: int) -> Query:
-    return lambda spark, folder: detectors.funding_links(ev(spark, folder), window, strict=True).groupBy("payment_id").agg(
-        F.count("*").alias("receipts"), F.min("latency").alias("newest"), F.max("latency").alias("oldest"))
+    return lambda spark, folder: detectors.funded_payments(ev(spark, folder), window, strict=True).select(
+        "payment_id", F.col("matches").alias("receipts"), F.col("latency").alias("newest"), F.col("longest").alias("oldest"))
 
 
 QUERIES["fl1_candidate_links_fast"] = _links(fixed.FAST_WINDOW)

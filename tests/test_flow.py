@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import deque
 from decimal import Decimal
 
@@ -90,9 +91,29 @@ def test_inbox_evictions_match(tx):
     compare(tx(random_rows(7, 3, 200, 4000)), 3600, max_inbox=5)
 
 
-def test_hot_accounts_are_cut_into_chunks_without_changing_results(tx):
+@pytest.mark.parametrize("task_rows", [flow.TASK_ROWS, 25])
+def test_hot_accounts_are_cut_into_chunks_without_changing_results(tx, task_rows):
     df = tx(random_rows(4, 4, 110, 16000, hot=0.35))
-    compare(df, 5000, chunk_rows=12, max_inbox=4)
+    compare(df, 5000, chunk_rows=12, max_inbox=4, task_rows=task_rows)
+
+
+def test_parts_that_announce_lengths_to_each_other_match(tx):
+    compare(tx(random_rows(5, 12, 160, 9000)), 2500, task_rows=20)
+
+
+def test_unmatched_payments_of_one_account_replay_in_linear_time():
+    """200,000 receipts and as many payments that none of them fits; and as many that all fit."""
+    box = flow._Inbox(64)
+    start = time.time()
+    for t in range(200_000):
+        box.put(t, 10_000_000, f"R{t}", 1 + t % 3)
+        assert box.serve(t, 50_000_000, 43_200) == (0, None, None)
+    assert len(box.rest()) == 64 and time.time() - start < 20
+    box = flow._Inbox(64)
+    for t in range(1, 100_000):
+        box.put(2 * t, 10_000_000, f"R{t}", 1)
+        assert box.serve(2 * t + 1, 10_000_000, 43_200) == (1, f"R{t}", 1)
+    assert not box.rest() and time.time() - start < 30
 
 
 def test_sample_events_match_the_global_replay(spark):
@@ -101,7 +122,7 @@ def test_sample_events_match_the_global_replay(spark):
 
 def test_partitioning_does_not_change_the_result(spark, tx):
     df = tx(random_rows(9, 5, 80, 9000))
-    seen = {frozenset((r.tx, r.depth, r.funded_by) for r in flow.trace(df.repartition(n), windows=(3600,)).collect()) for n in (1, 7, 64)}
+    seen = {frozenset((r.tx, r.depth, r.funded_by) for r in flow.trace(df.repartition(n), windows=(3600,), task_rows=n * 9).collect()) for n in (1, 7, 64)}
     assert len(seen) == 1
 
 

@@ -79,6 +79,48 @@ def test_banded_join_equals_plain_join(tx):
     assert got == want and want
 
 
+def test_counts_equal_listed_pairs(tx, monkeypatch):
+    """Counting by ranks and by joining give what the listed pairs give, for every split between the two."""
+    rng = random.Random(21)
+    rows = [(f"A{rng.randrange(4)}", f"A{rng.randrange(4)}", rng.choice([700, 769.99, 770, 1000, 1099.99, 1100, 1100.01, 1570, 7000, 9999.99]),
+             rng.choice([rng.randrange(9000), 3600, 7200])) for _ in range(260)]
+    df = tx(rows)
+    for strict in (True, False):
+        links = detectors.funding_links(df, 3600, strict=strict).collect()
+        want = defaultdict(list)
+        for r in links:
+            want[r.payment_id].append(r.latency)
+        ends = {(r.account_id, r.payer) for r in links} | {(r.account_id, r.payee) for r in links}
+        for limit in (1 << 16, 0, 30):
+            monkeypatch.setattr(detectors, "DENSE_PAIRS", limit)
+            got = {r.payment_id: (r.matches, r.latency, r.longest) for r in detectors.funded_payments(df, 3600, strict).collect()}
+            assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()} and got
+            if not strict:
+                assert {(r.account_id, r.member) for r in detectors.rapid_members(df).collect()} == ends
+
+
+def test_hot_account_is_counted_without_pairs(spark):
+    """100,000 receipts and as many payments of one account in one hour: 10^10 pairs at most, each payment answered."""
+    n = 100_000
+    from pyspark.sql import functions as F
+    rows = spark.range(2 * n).select(
+        F.concat(F.lit("T"), "id").alias("transaction_id"),
+        F.when(F.col("id") < n, F.concat(F.lit("S"), F.col("id") % 50)).otherwise(F.lit("HOT")).alias("sender_id"),
+        F.when(F.col("id") < n, F.lit("HOT")).otherwise(F.concat(F.lit("R"), F.col("id") % 70)).alias("receiver_id"),
+        (F.lit(1000) + F.pmod(F.xxhash64("id"), F.lit(400))).cast("decimal(18,4)").alias("amount"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3600)).alias("t"))
+    from collections import Counter
+    items = rows.select("sender_id", "amount", "t").collect()
+    receipts = Counter((int(r.amount), r.t) for r in items if r.sender_id != "HOT")
+    got = {r.payment_id: r for r in detectors.rapid_payments(rows).collect()}
+    sample = rows.where("sender_id = 'HOT'").where(F.pmod(F.xxhash64("transaction_id"), F.lit(4000)) == 0).collect()
+    for p in sample:
+        fits = {k: c for k, c in receipts.items() if k[1] <= p.t and 7 * k[0] <= 10 * int(p.amount) <= 11 * k[0]}
+        assert (got[p.transaction_id].matches if fits else 0) == sum(fits.values())
+        assert not fits or got[p.transaction_id].latency == p.t - max(k[1] for k in fits)
+    assert len(got) > 0.99 * n and len(sample) > 5
+
+
 def test_structuring(tx):
     rows = [("SPLITTER", "COLLECTOR", a, f"2026-03-01T{10 + i}:00:00Z") for i, a in enumerate([9500, 9800, 9650, 9900])]
     found = {r.account_id: r for r in detectors.structuring(tx(rows)).collect()}
