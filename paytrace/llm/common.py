@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paytrace.sources.session import shared_folder
+from paytrace.sources.session import drop_folder, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 1 << 19
@@ -47,7 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` once nothing that is still to be read depends on them."""
+    for table in tables:
+        drop_folder(table.sparkSession, table.stored_at)
 
 
 def ranked(df: DataFrame, order: list[str | Column], rank: str, name: str) -> DataFrame:

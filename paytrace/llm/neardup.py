@@ -18,25 +18,56 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, grams, lists, lower, mix, span_hash, stored, word_spans
+from paytrace.llm.common import blocks, grams, lists, lower, mix, ranked, span_hash, stored, word_spans
 from paytrace.operators.topology import weak_components
 
 WORDS = 5
 PERCENT = 85
 K = 32
-SHARED_AT_K = 15  # of 32 union values, each in both sets with chance 0.85, fewer are in both with chance 1e-7
 WIDE = 1_024
-SHARED_AT_WIDE = 810  # the same for 1,024
+CHANCE = 1e-7  # that two sets at the limit share fewer of the retained values of their union than is asked for
 LONG_LIST = 2_000  # comparisons left in a list from which what its members share with the first hub is counted
 PAIRS_PER_ROW = 32  # comparisons per list row up to which the rest is compared in one round
 
 
+def _surely_shared(k: int, percent: int) -> int:
+    """Largest m for which fewer than m of ``k`` union values, each in both sets with chance ``percent`` %, have a chance below ``CHANCE``."""
+    p, total, m = percent / 100, 0.0, 0
+    while p < 1:
+        total += math.exp(math.lgamma(k + 1) - math.lgamma(m + 1) - math.lgamma(k - m + 1) + m * math.log(p) + (k - m) * math.log(1 - p))
+        if total > CHANCE:
+            return m
+        m += 1
+    return k
+
+
+@dataclass(frozen=True)
+class Limit:
+    """The similarity asked for and what it implies for sketches of ``K`` and ``WIDE`` values."""
+
+    percent: int = PERCENT
+
+    @property
+    def at_k(self) -> int:
+        return _surely_shared(K, self.percent)
+
+    @property
+    def at_wide(self) -> int:
+        return _surely_shared(WIDE, self.percent)
+
+    @property
+    def small(self) -> int:
+        """Sets up to this size have unions that the wide sketch retains as a whole."""
+        return math.floor(WIDE * self.percent / 100)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 63-bit shingle hashes and the index of each document's first one.
 
@@ -85,17 +116,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists(values, first)], names=["id", "full"])
 
 
-def least_shared(n: Column, k: int, shared_at_k: int) -> Column:
+def least_shared(n: Column, k: int, shared_at_k: int, percent: int = PERCENT) -> Column:
     """Retained values that a document of ``n`` shingles shares at least with any other at the limit.
 
-    A union of at most ``k`` shingles is retained as a whole, with ``PERCENT`` % of ``n`` in both sets; the chance
+    A union of at most ``k`` shingles is retained as a whole, with ``percent`` % of ``n`` in both sets; the chance
     bound ``shared_at_k`` holds for larger unions only.
     """
-    whole = F.ceil(n * PERCENT / 100)
-    return F.when(n <= math.floor(k * PERCENT / 100), whole).otherwise(F.least(whole, F.lit(shared_at_k))).cast("int")
+    whole = F.ceil(n * percent / 100)
+    return F.when(n <= math.floor(k * percent / 100), whole).otherwise(F.least(whole, F.lit(shared_at_k))).cast("int")
 
 
-def _lookups(nodes: DataFrame, k: int, shared_at_k: int) -> DataFrame:
+def _lookups(nodes: DataFrame, k: int, shared_at_k: int, percent: int) -> DataFrame:
     """(value, id, n, met, common): each node under its rarest retained values, values of a single node left out.
 
     ``met`` is the number of retained values that other nodes have too. ``common`` adds up how many nodes
@@ -105,7 +136,7 @@ def _lookups(nodes: DataFrame, k: int, shared_at_k: int) -> DataFrame:
     often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("value", "v")
     known = each.join(often, F.col("v") == F.col("value")).groupBy("id", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # k at most
-    met, least = F.size("values"), least_shared(F.col("n"), k, shared_at_k)
+    met, least = F.size("values"), least_shared(F.col("n"), k, shared_at_k, percent)
     # values that no other node has are the rarest
     looked_up = (met - least + 1).cast("int")
     common = F.aggregate("values", F.lit(0).cast("long"), lambda total, v: total + v["df"])
@@ -114,42 +145,40 @@ def _lookups(nodes: DataFrame, k: int, shared_at_k: int) -> DataFrame:
     return picked.select(F.col("s.value").alias("value"), "id", "n", "met", "common")
 
 
-def _may_share(n: Column, met: Column, other_n: Column) -> Column:
+def _may_share(n: Column, met: Column, other_n: Column, limit: Limit) -> Column:
     """Whether a node can share enough with one of ``other_n`` shingles, as far as its own sketch tells."""
-    small = math.floor(WIDE * PERCENT / 100)
-    exact = met * (100 + PERCENT) >= (n + other_n) * PERCENT
-    return F.when((n <= small) & (other_n <= small), exact).otherwise(exact | (met >= SHARED_AT_WIDE)) & (
-        F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT)
+    exact = met * (100 + limit.percent) >= (n + other_n) * limit.percent
+    return F.when((n <= limit.small) & (other_n <= limit.small), exact).otherwise(exact | (met >= limit.at_wide)) & (
+        F.least(n, other_n) * 100 >= F.greatest(n, other_n) * limit.percent)
 
 
-def _compare(rows: DataFrame, hubs: DataFrame, allowed: Column) -> DataFrame:
+def _compare(rows: DataFrame, hubs: DataFrame, allowed: Column, limit: Limit) -> DataFrame:
     """Distinct pairs (a, b) of list members with the hubs of their list, where both can share enough.
 
     Two sets share at most what each has of the list's first hub, and outside of it what others have too.
     """
-    fits = _may_share(F.col("n"), F.col("met"), F.col("hn")) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"))
-    small = math.floor(WIDE * PERCENT / 100)
+    fits = _may_share(F.col("n"), F.col("met"), F.col("hn"), limit) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"), limit)
     most = F.least("of_first", "hof_first") + F.least(F.col("met") - F.col("of_first"), F.col("hmet") - F.col("hof_first"))
-    known = (F.col("n") <= small) & (F.col("hn") <= small) & F.col("of_first").isNotNull() & F.col("hof_first").isNotNull()
-    fits &= ~known | (most * (100 + PERCENT) >= (F.col("n") + F.col("hn")) * PERCENT)
+    known = (F.col("n") <= limit.small) & (F.col("hn") <= limit.small) & F.col("of_first").isNotNull() & F.col("hof_first").isNotNull()
+    fits &= ~known | (most * (100 + limit.percent) >= (F.col("n") + F.col("hn")) * limit.percent)
     return rows.join(hubs, (F.col("v") == F.col("value")) & (F.col("id") != F.col("hid")) & allowed & fits).select(
         F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """Of the pairs (a, b) those at the limit: estimated on the sketch of the union, then settled on full sets."""
     sketch = nodes.select("id", "sketch")
     both = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(
         sketch.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     agree = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    least = F.when(F.size(F.array_union("sa", "sb")) >= K, F.lit(SHARED_AT_K)).otherwise(1)
+    least = F.when(F.size(F.array_union("sa", "sb")) >= K, F.lit(limit.at_k)).otherwise(1)
     likely = both.where(agree >= least).select("a", "b")
     full = likely.join(sets.withColumnsRenamed({"id": "a", "full": "fa"}), "a").join(
         sets.withColumnsRenamed({"id": "b", "full": "fb"}), "b")
     common = F.size(F.array_intersect("fa", "fb")).cast("long")
     union_size = F.size("fa") + F.size("fb") - common
-    return full.where(common * 100 >= union_size * PERCENT).select("a", "b").distinct()
+    return full.where(common * 100 >= union_size * limit.percent).select("a", "b").distinct()
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -192,30 +221,30 @@ def _with_first_hub(left: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(shared, ["id", "first"], "left")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, texts: DataFrame, limit: Limit = Limit()) -> DataFrame:
     """Verified pairs (a, b) that connect all nodes that are connected; not every pair inside a component.
 
     ``nodes``: id, n, sketch. ``texts``: id, text.
     """
-    first = _lookups(nodes, K, SHARED_AT_K).select("value", "id")
+    first = _lookups(nodes, K, limit.at_k, limit.percent).select("value", "id")
     meet = first.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("members")).where("members > 1")
     suspects = stored(first.join(meet, F.col("v") == F.col("value")).select("id").distinct(), "suspects")
     sets = stored(texts.join(suspects, "id", "left_semi").select("id", "text").mapInArrow(
         _sets, "id long, full array<long>"), "sets")
     wide = sets.select("id", F.size("full").cast("long").alias("n"), F.slice("full", 1, WIDE).alias("sketch"))
-    rows = stored(_lookups(wide, WIDE, SHARED_AT_WIDE), "lists")
+    rows = stored(_lookups(wide, WIDE, limit.at_wide, limit.percent), "lists")
     hub = rows.groupBy(F.col("value").alias("v")).agg(
         F.max(F.struct("common", "id", "n", "met")).alias("h"), F.min("n").alias("low"), F.count("*").alias("members"))
     hub = hub.where("members > 1").select(
         "v", F.col("h.id").alias("hid"), F.col("h.n").alias("hn"), F.col("h.met").alias("hmet"), "low")
     # members that cannot share enough even with the smallest that fits leave the list
-    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * PERCENT / 100))
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * limit.percent / 100))
     starred = stored(rows.join(hub, F.col("v") == F.col("value")).where(
-        _may_share(F.col("n"), F.col("met"), smallest) | (F.col("id") == F.col("hid"))).drop("v", "low"), "starred")
-    fits = _may_share(F.col("n"), F.col("met"), F.col("hn")) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"))
+        _may_share(F.col("n"), F.col("met"), smallest, limit) | (F.col("id") == F.col("hid"))).drop("v", "low"), "starred")
+    fits = _may_share(F.col("n"), F.col("met"), F.col("hn"), limit) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"), limit)
     pairs = starred.where((F.col("id") != F.col("hid")) & fits).select(
         F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
-    found = stored(_verified(pairs, nodes, sets), "links")
+    found = stored(_verified(pairs, nodes, sets, limit), "links")
     labels = _relabel(None, found)
     left = stored(_open_lists(starred.where("id <> hid"), labels), "open")
     left = stored(_with_first_hub(left, sets), "open")
@@ -234,7 +263,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             F.col("of_first").alias("hof_first"),
             F.col("u").alias("hu"), F.col("label").alias("hl"))
         later = ~F.col("stray") | (F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("id") > F.col("hid")))
-        new = stored(_verified(_compare(rows, hubs, later & (F.col("label") != F.col("hl"))), nodes, sets), "links")
+        new = stored(_verified(_compare(rows, hubs, later & (F.col("label") != F.col("hl")), limit), nodes, sets, limit), "links")
         found = found.unionByName(new)
         if rest_now:
             return found
@@ -242,13 +271,14 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         done, hubs_a_list = hubs_a_list, hubs_a_list * 8
 
 
-def components(documents: DataFrame) -> DataFrame:
+def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
-    Links need ``100 * shared >= 85 * union`` on full sets of distinct 5-word shingles of lower-cased (A-Z)
+    Links need ``100 * shared >= percent * union`` on full sets of distinct 5-word shingles of lower-cased (A-Z)
     words. Texts with equal sets are one node, named after their smallest doc_id. Null and empty texts have no
     shingles and are linked with nothing; a null doc_id links with nothing, has component_id null and is kept.
-    Rows of one doc_id get the component of their own text. An empty table gives an empty result.
+    Rows of one doc_id get the component of their own text. Very long texts are hashed section by section. Columns other
+    than doc_id and text are ignored; an empty table gives an empty result.
     """
     given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(given.mapInArrow(
@@ -256,7 +286,7 @@ def components(documents: DataFrame) -> DataFrame:
     same = ["n_shingles", "print_a", "print_b"]
     nodes = stored(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(
         F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch")).withColumnRenamed("n_shingles", "n"), "nodes")
-    found = links(nodes, given.select(F.col("doc_id").alias("id"), "text"))
+    found = links(nodes, given.select(F.col("doc_id").alias("id"), "text"), Limit(percent))
     groups = weak_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     smallest = groups.select(F.col("account_id").alias("id"), "component")
     named = nodes.join(smallest, "id", "left").select(
@@ -267,14 +297,35 @@ def components(documents: DataFrame) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep(documents: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, all columns as they were; rows without a doc_id all stay."""
-    judged = stored(components(documents).select("doc_id", "kept"), "judged")
+def _numbered(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``__id``: the doc_id, but a number of its own for each further text of a doc_id with several texts."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k")).where("d IS NOT NULL").distinct()
+    several = texts.groupBy("d").agg(F.count("*").alias("c"), F.min("k").alias("first")).where("c > 1")
+    further = ranked(texts.join(several, "d").where("k <> first").select("d", "k"), ["d", "k"], "at", "further")
+    ends = documents.agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.min(F.col("doc_id").cast("long")).alias("low")).first()
+    top, low = ends.top or 0, ends.low or 0
+    fresh = F.lit(top + 1) + F.col("at") if top < 1 << 62 else F.lit(low - 1) - F.col("at")
+    own = stored(further.select("d", "k", fresh.alias("fresh")), "further")
+    same = (F.col("doc_id").cast("long") == F.col("d")) & (F.xxhash64("text") == F.col("k"))
+    return documents.join(own, same, "left").withColumn("__id", F.coalesce("fresh", F.col("doc_id").cast("long"))).drop("d", "k", "fresh")
+
+
+def keep(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near duplicates, all columns as they were; rows without a doc_id all stay.
+
+    A row is known by its doc_id and its text: of two rows with one doc_id and unlike texts both stay, of repeated rows
+    one. The row with the smallest doc_id of its group stays; a doc_id with several texts stands for the first of them (by
+    hash) there. An empty table gives an empty result.
+    """
+    clash = [c for c in ("d", "k", "fresh") if c in documents.columns]
+    named = documents.select(*[F.col(f"`{c}`").alias(f"__own_{c}" if c in clash else c) for c in documents.columns])
+    numbered = _numbered(named)
+    judged = stored(components(numbered.select(F.col("__id").alias("doc_id"), "text"), percent).select("doc_id", "kept"), "judged")
     gone = stored(judged.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     again = stored(judged.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(
         F.count("*").alias("n")).where("n > 1").select("__again"), "again")
-    number = F.col("doc_id").cast("long")
-    rest = documents.join(gone, number == F.col("__gone"), "left_anti")
-    single = rest.join(again, number == F.col("__again"), "left_anti")
-    repeated = rest.join(again, number == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    rest = numbered.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    single = rest.join(again, F.col("__id") == F.col("__again"), "left_anti")
+    repeated = rest.join(again, F.col("__id") == F.col("__again"), "left_semi").dropDuplicates(["__id"])
+    both = single.unionByName(repeated)
+    return both.select(*[F.col(f"`__own_{c}`" if c in clash else f"`{c}`").alias(c) for c in documents.columns])

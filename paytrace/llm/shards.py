@@ -66,15 +66,13 @@ def curve_index(levels: list[Column]) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(BITS)]), start, step, lambda s: s["h"])
 
 
-def _key(name: str) -> Column:
-    """The first seven bytes as a number, in code point order; null before all others."""
-    digits = F.rpad(F.substring(F.hex(F.col(name)), 1, 14), 14, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
-
-
-def _levels(cells: DataFrame, key: str, level: str, total: Column) -> DataFrame:
-    steps = running_totals(cells, [], key, ["n"], descending=False)
-    return steps.select(key, F.floor(F.col("before_n") * (1 << BITS) / total).cast("int").alias(level))
+def _levels(documents: DataFrame, name: str, level: str, total: Column) -> DataFrame:
+    """(``name``_value, ``level``): whole values in code point order, null first, cut into levels of like row counts."""
+    counts = documents.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    placed = ranked(counts, [F.col("value").asc_nulls_first()], "at", level)
+    steps = running_totals(placed, [], "at", ["n"], descending=False).select("at", "before_n")
+    return placed.join(steps, "at").select(
+        F.col("value").alias(f"{name}_value"), F.floor(F.col("before_n") * (1 << BITS) / total).cast("int").alias(level))
 
 
 def curve(documents: DataFrame) -> DataFrame:
@@ -83,15 +81,13 @@ def curve(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-        _key("source").alias("source_key"), _key("lang").alias("lang_key"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
     )
-    keys = documents.select(_key("source").alias("source_key"), _key("lang").alias("lang_key"))
-    cells = keys.groupBy("source_key", "lang_key").agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n").alias("n")).scalar()
+    total = documents.agg(F.count("*").alias("n")).scalar()
     size_level = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2("size")).cast("int") - 3)
+    sources, langs = _levels(documents, "source", "source_level", total), _levels(documents, "lang", "lang_level", total)
     return (
-        rows.join(_levels(cells, "source_key", "source_level", total), "source_key")
-        .join(_levels(cells, "lang_key", "lang_level", total), "lang_key")
+        rows.join(sources, F.col("source").eqNullSafe(F.col("source_value"))).join(langs, F.col("lang").eqNullSafe(F.col("lang_value")))
         .select("doc_id", "size", "text_crc32",
                 curve_index([F.col("source_level"), F.col("lang_level"), size_level]).cast("long").alias("curve"))
     )

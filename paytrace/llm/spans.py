@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import BLOCK, blocks, lists, mix, span_hash, stored, word_spans
+from paytrace.llm.common import BLOCK, blocks, discard, lists, mix, span_hash, stored, word_spans
 
 WINDOW = 13
 GRAM = 5  # words of an anchor
@@ -265,7 +265,10 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, shard_words: int
     passages = stored(texts.select("doc_id", "key", "text", "wanted").mapInArrow(
         lambda b: _passages(b, window, gram), "doc_id long, key long, at long, n int, anchor long, passage string"), "passages")
     hot = stored(_distinct(passages).groupBy("anchor").agg(F.sum("n").alias("words")).where(F.col("words") > hot_words).select("anchor"), "hot")
-    passages = stored(_cut_hot(passages, hot, window).withColumn("print", F.xxhash64("passage", F.lit(13))), "cut")
+    discard(wanted)
+    whole = passages
+    passages = stored(_cut_hot(whole, hot, window).withColumn("print", F.xxhash64("passage", F.lit(13))), "cut")
+    discard(whole, hot)
     distinct = stored(_distinct(passages), "distinct")
     words = distinct.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
@@ -275,13 +278,15 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, shard_words: int
     found = ordered.mapInArrow(lambda b: _matched(b, window), "first_doc long, anchor long, print long, last_doc long, spans array<int>")
     found = found.where("last_doc > first_doc OR size(spans) > 0").drop("last_doc")
     known = stored(found.withColumnsRenamed({"anchor": "a", "print": "p"}), "matched")
+    discard(distinct)
     at = passages.select("doc_id", "key", "at", "n", "anchor", "print").join(
         known, (F.col("anchor") == F.col("a")) & (F.col("print") == F.col("p")))
-    whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to")))
+    all_of_it = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to")))
     pairs = F.transform(F.sequence(F.lit(1), F.size("spans"), F.lit(2)), lambda i: F.struct(
         (F.col("at") + F.element_at("spans", i)).alias("from"), (F.col("at") + F.element_at("spans", i + 1)).alias("to")))
-    cuts = F.when(F.col("doc_id") > F.col("first_doc"), whole).when(F.size("spans") > 0, pairs)
-    spans = at.select("doc_id", "key", F.explode(cuts).alias("c")).select("doc_id", "key", "c.from", "c.to")
+    cuts = F.when(F.col("doc_id") > F.col("first_doc"), all_of_it).when(F.size("spans") > 0, pairs)
+    spans = stored(at.select("doc_id", "key", F.explode(cuts).alias("c")).select("doc_id", "key", "c.from", "c.to"), "spans")
+    discard(known, passages)
     return profiles.drop("anchors"), spans
 
 
@@ -295,16 +300,16 @@ def dedup(documents: DataFrame, window: int = WINDOW, shard_words: int = SHARD_W
     arise. Further columns are ignored; an empty table gives an empty result.
     """
     profiles, spans = repeated_spans(documents, window, shard_words, hot_words)
-    per_doc = stored(spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
-        F.collect_list(F.struct("from", "to")).alias("cuts")), "cuts")
+    per_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
     given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     changed = given.join(per_doc, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "cuts")
     left = stored(changed.mapInArrow(_without, "doc_id long, key long, n_removed long, kept_sha256 string").distinct(), "left")
-    lead = profiles.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy(F.col("sha").alias("s")).agg(
-        F.min("doc_id").alias("smallest"))
+    discard(spans)
+    lead = stored(profiles.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy(F.col("sha").alias("s")).agg(
+        F.min("doc_id").alias("smallest"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     rows = profiles.join(lead, F.col("sha") == F.col("s"), "left").join(
         left.withColumnsRenamed({"doc_id": "d", "key": "k"}), (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
-    again = F.col("doc_id") > F.col("smallest")  # null without a window or a doc_id
+    again = F.coalesce(F.col("doc_id") > F.col("smallest"), F.lit(False))  # null without a window, a doc_id or a copy
     return rows.select(
         "doc_id", "n_words", F.when(again, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(again, F.lit(_NOTHING)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))

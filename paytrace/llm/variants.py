@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, lower, span_hash, stored, word_spans
+from paytrace.llm.common import blocks, discard, lower, span_hash, stored, word_spans
 
 EVERY = 97  # one occurrence in so many, picked by its hash, loses a code point
 MIN_LENGTH = 5

@@ -103,6 +103,34 @@ def test_near_duplicates_odd(odd, nothing):
     assert rows_of(kept, "doc_id") == sorted([(None,), (None,), (1,), (2,), (3,), (4,), (6,), (7,), (8,), (9,)], key=repr)
 
 
+def test_one_doc_id_with_unlike_texts_loses_neither(docs):
+    a, b, c = (" ".join(words(k, 60)) for k in (1, 2, 3))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (9, c), (9, " ".join(words(4, 50))), (9, c), (11, b), (None, a), (None, a)]
+    kept = rows_of(neardup.keep(docs(rows)), "doc_id", "text")
+    assert [r for r in kept if r[0] is None] == [(None, a)] * 2
+    left = [t for i, t in kept if i is not None]
+    assert (1, a) in kept and (5, a) not in kept and sum(t in (b, b + " more") for t in left) == 1
+    assert sorted(left) == sorted({a, c, rows[5][1], next(t for t in left if t.startswith(b))})
+    assert (2**63 - 1, a) in rows_of(neardup.keep(docs([(2**63 - 1, a), (2**63 - 1, b)])), "doc_id", "text")
+
+
+def test_limits_of_other_similarities(docs):
+    assert neardup.Limit(85) == neardup.Limit() and (neardup.Limit().at_k, neardup.Limit().at_wide) == (15, 808)
+    text, rows = words(70, 304, 1 << 30), []  # 300 shingles; a copy cut to 246 has 0.82 of them
+    rows = [(1, " ".join(text)), (2, " ".join(text[:250])), (3, " ".join(text[:240] + words(71, 64, 1 << 30)))]
+    assert rows_of(neardup.components(docs(rows), 80), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+    assert rows_of(neardup.components(docs(rows)), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3)]
+    assert rows_of(neardup.keep(docs(rows), 80), "doc_id") == [(1,), (3,)]
+
+
+def test_shards_tell_sources_with_a_common_start_apart(docs):
+    rows = [(i, "x" * 100, "en", f"https://host-{i % 8}.example") for i in range(800)]
+    got = shards.place(docs(rows)).toPandas()
+    source = {i: s for i, _, _, s in rows}
+    mixed = got.groupby("curve")["doc_id"].agg(lambda ids: len({source[i] for i in ids}))
+    assert (mixed == 1).all() and got.groupby("shard")["doc_id"].agg(lambda ids: len({source[i] for i in ids})).max() <= 2
+
+
 def test_shards(docs, odd, nothing):
     assert shards.place(nothing).count() == 0
     for table, n in ((docs([(i, "x" * (i % 50), "en", f"s{i % 3}") for i in range(500)]), 500), (odd, len(odd_rows()))):
