@@ -31,10 +31,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Times are epoch seconds in UTC. A union must not claim its children's partitioning: adaptive
     execution coalesces the children separately (seen in 4.1.2), and a shuffle skipped on the strength
-    of that claim would leave rows of one key in two tasks.
+    of that claim would leave rows of one key in two tasks. Batches for Python are kept small, as rows hold
+    whole texts: a batch is held in the executor and, twice, in its worker.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
