@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import copy
 import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.order import exact_percentiles, numbered
-from . import evaluate
+from . import boosting, evaluate
 from ..sources.session import cut
 
 
@@ -181,12 +183,16 @@ def _session():
     return SparkSession.getActiveSession()
 
 
-def fit_boosting(df: DataFrame, label: str = "label", columns=fixed.ALL_FEATURES, iterations: int = 300,
-                 step: float = 0.06, depth: int = 5, seed: int = 42) -> Classifier:
-    """Gradient-boosted trees."""
-    gbt = GBTClassifier(labelCol="__y", featuresCol="features", maxIter=iterations, stepSize=step, maxDepth=depth,
-                        seed=seed, cacheNodeIds=False)
-    return _fit(gbt, df, label, columns)
+def load_classifier(path: str) -> "Classifier | boosting.Boosted":
+    """A saved classifier of either kind."""
+    boosted = "boosted" in _session().read.json(f"{path}/metadata").columns
+    return boosting.Boosted.load(path) if boosted else Classifier.load(path)
+
+
+def fit_boosting(df: DataFrame, label: str = "label", columns=fixed.ALL_FEATURES, iterations: int = 300, step: float = 0.06,
+                 leaves: int = boosting.LEAVES, l2: float = 1.0) -> boosting.Boosted:
+    """Leaf-wise gradient-boosted trees on histograms."""
+    return boosting.fit(df, label, columns, iterations=iterations, step=step, leaves=leaves, l2=l2)
 
 
 def fit_forest(df: DataFrame, label: str = "label", columns=fixed.ALL_FEATURES, trees: int = 300, depth: int = 12,
@@ -209,10 +215,12 @@ def _fit(estimator, df: DataFrame, label: str, columns, balanced: bool = False)
     return Classifier(model, columns)
 
 
-def with_best_threshold(classifier: Classifier, validation: DataFrame, label: str = "label") -> Classifier:
+def with_best_threshold(classifier, validation: DataFrame, label: str = "label"):
+    """The classifier with the threshold of best F1 on ``validation``."""
     scored = classifier.score(validation, "score").withColumn("y", F.col(label))
-    best = evaluate.best_f1_threshold(scored.select("y", "score")).first()
-    return Classifier(classifier.model, classifier.columns, best["threshold"])
+    out = copy.copy(classifier)
+    out.threshold = float(evaluate.best_f1_threshold(scored.select("y", "score")).first()["threshold"])
+    return out
 
 
 # ------------------------------------------------------------------------------ occlusion drivers
@@ -261,38 +269,64 @@ def drivers(classifier: Classifier, features: DataFrame, wanted: DataFrame, top:
 
 
 # ------------------------------------------------------------------------------- model experiments
-def ablation(train: DataFrame, test: DataFrame, fit=fit_boosting) -> DataFrame:
-    """Average precision as feature families are added: one fit per step."""
-    out = None
-    for step, (name, families) in enumerate(fixed.LADDER):
-        columns = [c for f in families for c in fixed.FAMILIES[f]]
-        scored = fit(train, columns=columns).score(test, "score").withColumn("y", F.col("label"))
-        row = evaluate.average_precision(scored.select("y", "score")).select(
-            F.lit(step).alias("step"), F.lit(name).alias("features"), F.lit(len(columns)).alias("n_features"), "pr_auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+def ladder_models(train: DataFrame, **settings) -> dict[str, boosting.Boosted]:
+    """One model per step of feature families, all fitted in the same passes."""
+    steps = {name: [c for f in families for c in fixed.FAMILIES[f]] for name, families in fixed.LADDER}
+    return dict(zip(steps, boosting.fit_many(train, [(columns, None) for columns in steps.values()], **settings)))
 
 
-def permutation_importance(classifier: Classifier, test: DataFrame, columns=None, repeats: int = 1, seed: int = 42) -> DataFrame:
-    """Drop in average precision when one column is shuffled over the accounts.
+def ablation(train: DataFrame, test: DataFrame, network: str | None = None, **settings) -> DataFrame:
+    """Average precision as feature families are added: (step, features, n_features, pr_auc).
 
-    Shuffling joins two independent row numberings, so no column passes through one task.
+    With ``network``, a column of ``test``, the mean over networks and its deviation ``std``.
     """
-    columns = list(columns or classifier.columns)
-    table = cut(numbered(_assembled(test, classifier.columns), "account_id", seed, "slot"))
-
-    def precision(df: DataFrame) -> DataFrame:
-        return evaluate.average_precision(classifier.score(df, "score").select(F.col("label").alias("y"), "score"))
+    by = ["step", "features", "n_features"]
+    out = None
+    for step, (name, model) in enumerate(ladder_models(train, **settings).items()):
+        scored = model.score(test, "score").select(
+            F.lit(step).alias("step"), F.lit(name).alias("features"), F.lit(len(model.columns)).alias("n_features"),
+            (F.lit(0) if network is None else F.col(network)).alias("network"), F.col("label").alias("y"), "score")
+        out = scored if out is None else out.unionByName(scored)
+    each = evaluate.average_precision(out, [*by, "network"])
+    if network is None:
+        return each.drop("network")
+    return each.groupBy(*by).agg(F.avg("pr_auc").alias("pr_auc"), F.stddev_pop("pr_auc").alias("std"))
+
+
+def permutation_importance(model: boosting.Boosted, test: DataFrame, columns=None, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """Drop in average precision when one column is shuffled over the accounts: (feature, importance, std).
+
+    Shuffling joins two independent row numberings, so no column passes through one task. Each row meets its donor once
+    and is scored with every column replaced in turn, so all columns cost one join and one grouped average precision.
+    """
+    wanted = [model.columns.index(c) for c in columns or model.columns]
+    names = [model.columns[i] for i in wanted] + [""]
+    width = len(model.columns)
+    table = cut(_assembled(test, model.columns).select(
+        "account_id", F.col("label").cast("int").alias("y"), F.array(*[F.col(c) for c in model.columns]).alias("x")))
+
+    def scored(batches):
+        for batch in batches:
+            own, given = (np.array(batch.column(i).flatten().to_numpy(zero_copy_only=False)).reshape(-1, width) for i in (2, 3))
+            for number, at in enumerate([*wanted, None]):
+                values = own.copy()
+                if at is not None:
+                    values[:, at] = given[:, at]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(np.full(len(own), number, np.int32)), pa.array(model.probability(values))],
+                    names=["repeat", "y", "number", "score"])
 
-    whole = precision(table).first()["pr_auc"]
     out = None
-    for c in columns:
-        for r in range(repeats):
-            donor = numbered(table.select("account_id", F.col(c).alias("__c")), "account_id", seed + 1 + r, "slot").drop("account_id")
-            mixed = table.drop(c).join(donor, "slot").withColumnRenamed("__c", c)
-            row = precision(mixed).select(F.lit(c).alias("feature"), (F.lit(whole) - F.col("pr_auc")).alias("drop"))
-            out = row if out is None else out.unionByName(row)
-    return out.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
+    for turn in range(repeats):
+        rows = numbered(table, "account_id", seed, "slot").select(F.lit(turn).alias("repeat"), "y", "x", "slot")
+        donors = numbered(table, "account_id", seed + 1 + turn, "slot").select(F.col("x").alias("given"), "slot")
+        pairs = rows.join(donors, "slot").select("repeat", "y", "x", "given")
+        out = pairs if out is None else out.unionByName(pairs)
+    each = evaluate.average_precision(out.mapInArrow(scored, "repeat int, y int, number int, score double"), ["repeat", "number"])
+    whole = each.where(F.col("number") == len(wanted)).select("repeat", F.col("pr_auc").alias("whole"))
+    drop = each.where(F.col("number") < len(wanted)).join(whole, "repeat").withColumn("drop", F.col("whole") - F.col("pr_auc"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("number") + 1)
+    return drop.groupBy(name.alias("feature")).agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
 def family_share(importance: DataFrame) -> DataFrame:
@@ -303,15 +337,20 @@ def family_share(importance: DataFrame) -> DataFrame:
         "family", F.when(total > 0, F.col("v") / total).otherwise(F.col("v")).alias("share"))
 
 
-def leave_one_out(train: DataFrame, test: DataFrame, typologies, fit=fit_boosting) -> DataFrame:
-    """Recall and average precision on a typology the model never saw: one fit per typology."""
+def leave_one_out(train: DataFrame, test: DataFrame, typologies, columns=fixed.ALL_FEATURES, validation: DataFrame | None = None,
+                  **settings) -> DataFrame:
+    """Recall and average precision on a typology the model never saw; the models share every pass of the fit.
+
+    With ``validation`` each model gets its threshold of best F1 there, on rows without its typology.
+    """
+    fitted = boosting.fit_many(train, [(columns, ~F.col("typology").eqNullSafe(name)) for name in typologies], **settings)
     out = None
-    for name in typologies:
-        model = fit(train.where(~F.col("typology").eqNullSafe(name)))
+    for name, model in zip(typologies, fitted):
+        if validation is not None:
+            model = with_best_threshold(model, validation.where(~F.col("typology").eqNullSafe(name)))
         scored = model.score(test.where((F.col("label") == 0) | (F.col("typology") == name)), "score").withColumn("y", F.col("label"))
-        scored = scored.withColumn("alert", F.col("score") >= model.threshold).select("y", "score", "alert")
-        row = evaluate.confusion(scored).select(
-            F.lit(name).alias("typology"), (F.col("true_positives") + F.col("false_negatives")).alias("accounts"), "recall"
-        ).withColumn("pr_auc", evaluate.average_precision(scored).scalar())
-        out = row if out is None else out.unionByName(row)
-    return out
+        rows = scored.select(F.lit(name).alias("typology"), "y", "score", (F.col("score") >= model.threshold).alias("alert"))
+        out = rows if out is None else out.unionByName(rows)
+    told = evaluate.confusion(out, ["typology"]).select(
+        "typology", (F.col("true_positives") + F.col("false_negatives")).alias("accounts"), "recall")
+    return told.join(evaluate.average_precision(out, ["typology"]), "typology")

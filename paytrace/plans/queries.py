@@ -902,12 +902,9 @@ def _split(spark, folder, part: str) -> DataFrame:
     return _labelled(spark, folder).where(wanted[part])
 
 
-MODEL_ROUNDS = 20
-
-
 def _boosted(spark, folder):
     def build():
-        model = models.fit_boosting(_split(spark, folder, "train"), iterations=MODEL_ROUNDS, depth=4)
+        model = models.fit_boosting(_split(spark, folder, "train"))
         return models.with_best_threshold(model, _split(spark, folder, "choose"))
 
     return once(spark, folder, "boosted", build)
@@ -929,7 +926,7 @@ def _(spark, folder):
 
 @query("ml7_random_forest")
 def _(spark, folder):
-    forest = once(spark, folder, "random_forest", lambda: models.fit_forest(_split(spark, folder, "train"), trees=MODEL_ROUNDS, depth=6))
+    forest = once(spark, folder, "random_forest", lambda: models.fit_forest(_split(spark, folder, "train")))
     return rounded(forest.score(_labelled(spark, folder)).select("account_id", "label", "probability"))
 
 
@@ -947,22 +944,29 @@ def _(spark, folder):
 
 @query("ev9_ablation")
 def _(spark, folder):
-    train, test = _split(spark, folder, "train"), _split(spark, folder, "test")
-    return rounded(models.ablation(train, test, lambda df, columns: models.fit_boosting(df, columns=columns, iterations=5, depth=3)))
+    test = _split(spark, folder, "test").withColumn("network", F.pmod(F.xxhash64("account_id"), F.lit(10)))
+    return rounded(models.ablation(_split(spark, folder, "train"), test, "network"))
+
+
+def _importance(spark, folder):
+    return once(spark, folder, "importance", lambda: cut(models.permutation_importance(
+        _boosted(spark, folder), _split(spark, folder, "test"), repeats=3)))
 
 
 @query("ev10_permutation_importance")
 def _(spark, folder):
-    found = models.permutation_importance(_boosted(spark, folder), _split(spark, folder, "test"), columns=(
-        "max_tx_per_hour", "near_threshold_out", "same_day_turnover", "pagerank"))
-    return rounded(found)
+    return rounded(_importance(spark, folder))
+
+
+@query("ev10_family_share")
+def _(spark, folder):
+    return rounded(models.family_share(_importance(spark, folder)))
 
 
 @query("ev11_leave_one_out")
 def _(spark, folder):
-    train, test = _split(spark, folder, "train"), _split(spark, folder, "test")
-    return rounded(models.leave_one_out(train, test, ("structuring", "passthrough", "other"),
-                                        lambda df: models.fit_boosting(df, iterations=5, depth=3)))
+    train, choose, test = (_split(spark, folder, part) for part in ("train", "choose", "test"))
+    return rounded(models.leave_one_out(train, test, ("structuring", "passthrough", "other"), validation=choose))
 
 
 @query("pipeline_reports")

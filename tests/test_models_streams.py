@@ -31,9 +31,9 @@ def test_isolation_forest_ranks_the_outlier_last_and_repeats(spark):
 
 def test_classifier_saves_loads_and_explains(spark, tmp_path):
     df = _points(spark).withColumn("label", (F.col("a") > 0.5).cast("int"))
-    model = models.with_best_threshold(models.fit_boosting(df, columns=("a", "b", "c"), iterations=5, depth=2), df)
+    model = models.with_best_threshold(models.fit_boosting(df, columns=("a", "b", "c"), iterations=5), df)
     model.save(str(tmp_path / "model"))
-    back = models.Classifier.load(str(tmp_path / "model"))
+    back = models.load_classifier(str(tmp_path / "model"))
     assert back.columns == ("a", "b", "c") and back.threshold == model.threshold
     scored = back.score(df.drop("c"))
     assert scored.where("label = 1").agg(F.min("probability")).first()[0] > scored.where("label = 0").agg(F.max("probability")).first()[0]
@@ -64,3 +64,20 @@ def test_draws_do_not_vanish_at_scale():
         limit = models.draw_limit(512, n)
         share = (limit + (1 << 63)) / (1 << 64)
         assert abs(share - min(1, 512 / n)) <= 1e-9 * share
+
+
+def test_takeover_state_expires(spark, tmp_path):
+    """Silent senders are forgotten: the same rows give an alert with a long retention and none with a short one."""
+    day = 86_400
+    usual = [(f"T{k}", "S", f"R{k % 3}", 100.0, k * day, "Home", "D1") for k in range(6)]
+    late = [("T90", "OTHER", "X", 50.0, 40 * day, "Home", "D9"), ("T91", "OTHER", "X", 50.0, 41 * day, "Home", "D9")]
+    theft = [("T7", "S", "NEW", 9000.0, 44 * day, "Zone-13", "D2"), ("T8", "S", "NEW2", 9000.0, 44 * day + 60, "Zone-13", "D2")]
+    schema = "transaction_id string, sender_id string, receiver_id string, amount double, t bigint, location string, device_id string"
+    for k, rows in enumerate((usual, late[:1], late[1:], theft)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found = []
+    for retention in (400 * day, 20 * day):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        alerts = stream.takeover_alerts(stream.with_time(source), ("Zone-13",), str(tmp_path / f"run{retention}"), retention=retention)
+        found.append([(r.account_id, r.first_seen, r.outflow_24h, r.transactions) for r in alerts.collect()])
+    assert found == [[("S", 44 * day, 18000.0, 2)], []]
