@@ -73,7 +73,8 @@ CTES["sc"] = """
 SELECT lang AS network_id, 'D'||doc_id AS account_id, toxic AS y, CAST(n_chars AS DOUBLE) AS score,
        quality = 0 AS alert, source AS typology
 FROM labels JOIN documents USING (doc_id)"""
-for _v in ("ev", "li", "dy"):
+CTES["today"] = "SELECT * FROM ev WHERE t//86400 = (SELECT max(t)//86400 FROM ev)"
+for _v in ("ev", "li", "dy", "today"):
     CTES[f"{_v}_po"] = (
         f"SELECT sender_id AS account_id, receiver_id AS cp, TRUE AS is_out, amount, t FROM {_v} "
         f"UNION ALL SELECT receiver_id, sender_id, FALSE, amount, t FROM {_v}")
@@ -789,12 +790,8 @@ UNION ALL SELECT 'accounts_by_tier', network_id, CAST(count(*) AS DOUBLE) FROM s
 UNION ALL SELECT 'suspicious_by_typology', typology, CAST(count(*) AS DOUBLE) FROM sc WHERE y = 1 GROUP BY typology""")
 
 # ----------------------------------------------------------------------------------- streaming
-CTES["today"] = "SELECT * FROM ev WHERE t//86400 = (SELECT max(t)//86400 FROM ev)"
-ORACLES["st1_recent_day"] = sql(f"""
-SELECT account_id, n AS transaction_count, {r('tin', 4)} AS total_incoming, {r('tout', 4)} AS total_outgoing,
-       {r('CASE WHEN greatest(tin, tout) > 0 THEN least(tin, tout)/(greatest(tin, tout) + 1e-6) ELSE 0 END', 4)} AS passthrough_ratio
-FROM (SELECT account_id, count(*) AS n, CAST(coalesce(sum(amount) FILTER (NOT is_out), 0) AS DOUBLE) AS tin, CAST(coalesce(sum(amount) FILTER (is_out), 0) AS DOUBLE) AS tout
-      FROM (SELECT sender_id AS account_id, TRUE AS is_out, amount FROM today UNION ALL SELECT receiver_id, FALSE, amount FROM today) GROUP BY 1)""")
+for _q, _v in (("st1_recent_day", "today"), ("st1_incremental_store", "ev")):
+    ORACLES[_q] = sql("SELECT account_id, " + ", ".join(rc(c) for c in fixed.TRANSACTIONAL) + f" FROM {_v}_fs")
 ORACLES["st2_tumbling_counts"] = sql("""
 SELECT account_id, max_tx_per_hour, max_senders_2h, max_receivers_2h FROM (SELECT account_id, max(c) AS max_tx_per_hour FROM ev_hours GROUP BY 1)
 JOIN (SELECT account_id, max(s) AS max_senders_2h, max(p) AS max_receivers_2h FROM ev_slots GROUP BY 1) USING (account_id)""")

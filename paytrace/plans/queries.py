@@ -979,11 +979,28 @@ def _(spark, folder):
 
 
 # ------------------------------------------------------------------------------------ streaming
+def _daily_store(spark, folder):
+    return once(spark, folder, "daily_store", lambda: stream.daily_store_of_table(spark, folder))
+
+
 @query("st1_recent_day")
 def _(spark, folder):
-    tx = pipeline.recent_day(ev(spark, folder))
-    return rounded(behaviour.behaviour_features(*behaviour.inputs(tx)).select(
-        "account_id", "transaction_count", "total_incoming", "total_outgoing", "passthrough_ratio"))
+    kept = _daily_store(spark, folder)
+    return rounded(kept.features(kept.latest_day()).select("account_id", *fixed.TRANSACTIONAL))
+
+
+@query("st1_incremental_store")
+def _(spark, folder):
+    return rounded(_daily_store(spark, folder).features().select("account_id", *fixed.TRANSACTIONAL))
+
+
+@query("st1_recent_scores")
+def _(spark, folder):
+    """The accounts of the most recent day, scored from the incremental store by a model of its columns."""
+    kept = _daily_store(spark, folder)
+    model = once(spark, folder, "daily_model", lambda: models.fit_boosting(
+        kept.features().join(_labelled(spark, folder).select("account_id", "label"), "account_id"), columns=fixed.TRANSACTIONAL))
+    return rounded(model.score(kept.features(kept.latest_day())).select("account_id", "probability"))
 
 
 @query("st2_tumbling_counts")

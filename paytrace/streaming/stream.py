@@ -21,6 +21,7 @@ from ..functions import fixed
 from ..functions.exprs import bucket, postings
 from ..sources import views
 from ..sources.session import shared_folder
+from .daily import DailyStore
 
 HORIZON = "2 days"
 RETENTION = 400 * fixed.DAY  # a sender that was silent for so long is forgotten
@@ -55,15 +56,27 @@ def _place(spark: SparkSession) -> str:
 
 
 # ----------------------------------------------------------------------- micro-batch re-scoring
-def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Applies ``score`` to every micro-batch of transfers and keeps the results per batch."""
+def grow_store(stream: DataFrame, kept: DailyStore, place: str) -> DailyStore:
+    """Feeds every micro-batch of transfers to the store; a batch that is run again replaces its own sums."""
+    _run(stream, kept.add, place)
+    return kept
+
+
+def score_batches(stream: DataFrame, kept: DailyStore, score: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Grows the store batch by batch and re-scores the accounts of its most recent day after each: results per ``batch``."""
     def batch(df: DataFrame, number: int) -> None:
-        score(df).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+        kept.add(df, number)
+        score(kept.features(kept.latest_day())).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
 
     _run(stream, batch, path)
     return stream.sparkSession.read.parquet(f"{path}/scores")
 
 
+def daily_store_of_table(spark: SparkSession, folder: str) -> DailyStore:
+    place = _place(spark)
+    return grow_store(read_events(spark, folder), DailyStore(spark, f"{place}/store"), place)
+
+
 # ---------------------------------------------------------------------------- tumbling counts
 def tumbling_counts(stream: DataFrame, path: str, horizon: str = HORIZON) -> DataFrame:
     """Busiest clock hour and most counterparties in a two-hour bucket, kept up to date per account.

@@ -5,8 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from paytrace.operators import context, models
+from paytrace.functions import fixed
+from paytrace.operators import behaviour, context, models, store
+from paytrace.plans import pipeline
 from paytrace.sources import views
+from paytrace.streaming import daily as stream_daily
 from paytrace.streaming import stream
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +84,24 @@ def test_takeover_state_expires(spark, tmp_path):
         alerts = stream.takeover_alerts(stream.with_time(source), ("Zone-13",), str(tmp_path / f"run{retention}"), retention=retention)
         found.append([(r.account_id, r.first_seen, r.outflow_24h, r.transactions) for r in alerts.collect()])
     assert found == [[("S", 44 * day, 18000.0, 2)], []]
+
+
+def test_daily_store_equals_the_batch_features_and_replaces_repeated_batches(spark, tmp_path):
+    tx = views.tx_events(spark, SF)
+    kept = stream.DailyStore(spark, str(tmp_path / "store"))
+    scores = stream.score_batches(stream.read_events(spark, SF, files=3), kept, lambda f: f.select("account_id", "total_incoming"), str(tmp_path / "run"))
+    want = {r.account_id: r for r in store.transactional(*behaviour.inputs(tx)).collect()}
+    for _ in range(2):
+        got = {r.account_id: r for r in kept.features().collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[a][c] - want[a][c]) <= 1e-9 * max(1, abs(want[a][c])) for a in want for c in fixed.TRANSACTIONAL)
+        # a batch that is delivered again after a failure
+        slots = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "store" / "sums").iterdir() if p.name.startswith("batch="))
+        assert slots == [0, 1, 2]
+        last = tx.select(F.max("t")).first()[0]
+        again = [r.t for r in kept._read("sums", stream_daily.SUMS, None).where("batch = 2").agg(F.min("first_t").alias("t")).collect()][0]
+        kept.add(tx.where((F.col("t") >= again) & (F.col("t") <= last)), 2)
+    day = kept.latest_day()
+    today = {r.account_id: r.total_incoming for r in store.transactional(*behaviour.inputs(pipeline.recent_day(tx))).collect()}
+    assert {r.account_id: r.total_incoming for r in kept.features(day).collect()} == today
+    assert {r.account_id: r.total_incoming for r in scores.where("batch = 2").collect()} == today
