@@ -6,8 +6,9 @@ at most about ``BLOCK`` bytes unless one document alone is longer. Words are ``[
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _BYTE = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 SECTION = 1 << 16
+_written: list[list[DataFrame]] = []  # by open ``scratch`` block
 
 
 def _powers(base: np.uint64) -> np.ndarray:
@@ -49,6 +51,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
@@ -58,6 +62,24 @@ def discard(*tables: DataFrame) -> None:
         drop_folder(table.sparkSession, table.stored_at)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what ``stored`` writes inside of the block when it ends, but for tables passed to the function it gives."""
+    written: list[DataFrame] = []
+    _written.append(written)
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.stored_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _written.pop()
+        discard(*[t for t in written if t.stored_at not in kept])
+
+
 def ranked(df: DataFrame, order: list[str | Column], rank: str, name: str) -> DataFrame:
     """Adds ``rank``, the 0-based position in ``order``, by range partitions and their row counts.
 

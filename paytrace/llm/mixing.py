@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytrace.functions.order import running_totals
-from paytrace.llm.common import WORD, ranked, stored
+from paytrace.llm.common import WORD, ranked, scratch, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -142,12 +142,13 @@ def balance(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 def repeat(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of ``documents``, each as often as its copies say, all columns as they were."""
-    copies = balance(documents, weights, cap).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.col("copies").alias("__copies")).distinct()
+    with scratch() as kept:
+        copies = kept(stored(balance(documents, weights, cap).select(
+            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+            F.col("copies").alias("__copies")).distinct(), "drawn"))
     sized = documents.withColumn("__words", word_count())
     on = (F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & F.col("__source").eqNullSafe(F.col("source"))
           & (F.col("__size") == F.col("__words")))
     times = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return sized.join(stored(copies, "drawn").where("__copies > 0"), on).select(
+    return sized.join(copies.where("__copies > 0"), on).select(
         *documents.columns, times.alias("__nth")).drop("__nth")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, grams, lists, lower, mix, ranked, span_hash, stored, word_spans
+from paytrace.llm.common import blocks, discard, grams, lists, lower, mix, ranked, scratch, span_hash, stored, word_spans
 from paytrace.operators.topology import weak_components
 
 WORDS = 5
@@ -299,15 +299,17 @@ def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _numbered(documents: DataFrame) -> DataFrame:
     """``documents`` with ``__id``: the doc_id, but a number of its own for each further text of a doc_id with several texts."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k")).where("d IS NOT NULL").distinct()
-    several = texts.groupBy("d").agg(F.count("*").alias("c"), F.min("k").alias("first")).where("c > 1")
-    further = ranked(texts.join(several, "d").where("k <> first").select("d", "k"), ["d", "k"], "at", "further")
-    ends = documents.agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.min(F.col("doc_id").cast("long")).alias("low")).first()
-    top, low = ends.top or 0, ends.low or 0
-    fresh = F.lit(top + 1) + F.col("at") if top < 1 << 62 else F.lit(low - 1) - F.col("at")
+    number = F.col("doc_id").cast("long")
+    texts = documents.select(number.alias("d"), F.xxhash64("text").alias("k")).where("d IS NOT NULL")
+    several = stored(texts.groupBy("d").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last"), "several")
+    if several.isEmpty():
+        return documents.withColumn("__id", number)
+    further = ranked(texts.distinct().join(several, "d").where("k <> first").select("d", "k"), ["d", "k"], "at", "further")
+    ends = documents.agg(F.max(number).alias("top"), F.min(number).alias("low")).first()
+    fresh = F.lit(ends.top + 1) + F.col("at") if ends.top < 1 << 62 else F.lit(ends.low - 1) - F.col("at")
     own = stored(further.select("d", "k", fresh.alias("fresh")), "further")
-    same = (F.col("doc_id").cast("long") == F.col("d")) & (F.xxhash64("text") == F.col("k"))
-    return documents.join(own, same, "left").withColumn("__id", F.coalesce("fresh", F.col("doc_id").cast("long"))).drop("d", "k", "fresh")
+    same = (number == F.col("d")) & (F.xxhash64("text") == F.col("k"))
+    return documents.join(own, same, "left").withColumn("__id", F.coalesce("fresh", number)).drop("d", "k", "fresh")
 
 
 def keep(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -320,10 +322,12 @@ def keep(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     clash = [c for c in ("d", "k", "fresh") if c in documents.columns]
     named = documents.select(*[F.col(f"`{c}`").alias(f"__own_{c}" if c in clash else c) for c in documents.columns])
     numbered = _numbered(named)
-    judged = stored(components(numbered.select(F.col("__id").alias("doc_id"), "text"), percent).select("doc_id", "kept"), "judged")
+    with scratch() as kept:
+        judged = kept(stored(components(numbered.select(F.col("__id").alias("doc_id"), "text"), percent).select("doc_id", "kept"), "judged"))
     gone = stored(judged.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     again = stored(judged.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(
         F.count("*").alias("n")).where("n > 1").select("__again"), "again")
+    discard(judged)
     rest = numbered.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
     single = rest.join(again, F.col("__id") == F.col("__again"), "left_anti")
     repeated = rest.join(again, F.col("__id") == F.col("__again"), "left_semi").dropDuplicates(["__id"])

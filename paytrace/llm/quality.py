@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paytrace.llm.common import blocks, grams, lists, lower, per_doc, span_hash, stored, word_spans
+from paytrace.llm.common import blocks, grams, lists, lower, per_doc, scratch, span_hash, stored, word_spans
 
 MIN_WORDS = 20
 REPEAT_WORDS = 8
@@ -177,9 +177,10 @@ def keep(documents: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text. Only rows that lose lines go through Python.
     """
-    verdicts, hits = _verdicts(documents, LINE_DOCS, LINE_SHARE_PERCENT)
-    rejected = stored(verdicts.where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected")
-    gone = stored(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__gone")), "gone")
+    with scratch() as kept:
+        verdicts, hits = _verdicts(documents, LINE_DOCS, LINE_SHARE_PERCENT)
+        rejected = kept(stored(verdicts.where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected"))
+        gone = kept(stored(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__gone")), "gone"))
     passed = documents.withColumn("__row", row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti")
     same = passed.join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
     less = passed.join(gone, F.col("__row") == F.col("__key")).drop("__row", "__key")
