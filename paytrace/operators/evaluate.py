@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.exprs import dbl, near_threshold, postings
+from ..functions.tails import chi_square_tail
 from ..functions.order import running_totals
 from . import store
 
@@ -155,25 +156,29 @@ def rate_gap(rates: DataFrame) -> DataFrame:
     return rates.agg(hi.alias("max_rate"), lo.alias("min_rate"), (100 * (hi - lo)).alias("gap_percentage_points"))
 
 
-def independence(scored: DataFrame, by: str) -> DataFrame:
-    """Chi-square statistic of alert against ``by`` over legitimate accounts, with the rate range.
+def independence(scored: DataFrame, by: str, level: float = 0.05) -> DataFrame:
+    """Whether alerts on legitimate accounts are independent of ``by``: chi-square test and the rate range.
 
-    Without continuity correction; 0 where nobody or everybody is alerted.
+    Two groups are tested with a continuity correction. Where nobody or everybody is alerted there is no
+    statistic and no p-value, and nothing speaks against independence.
     """
     table = scored.where("y = 0").groupBy(by).agg(
         F.count("*").alias("n"), F.sum(F.col("alert").cast("int")).alias("a"))
-    totals = table.agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    n, a = totals.select("n").scalar(), totals.select("a").scalar()
-    rows = table.withColumn("all_n", n).withColumn("all_a", a)
+    totals = table.agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.count("*").alias("k"))
+    rows = table.withColumn("all_n", totals.select("n").scalar()).withColumn("all_a", totals.select("a").scalar()).withColumn(
+        "groups", totals.select("k").scalar())
     expect_a = F.col("n") * F.col("all_a") / F.col("all_n")
     expect_q = F.col("n") - expect_a
-    miss = F.pow(F.col("a") - expect_a, 2)
+    off = F.abs(F.col("a") - expect_a)
+    miss = F.pow(F.when(F.col("groups") == 2, off - F.least(off, F.lit(0.5))).otherwise(off), 2)
     mixed = (F.col("all_a") > 0) & (F.col("all_a") < F.col("all_n"))
     stat = F.when(mixed, miss / F.when(mixed, expect_a) + miss / F.when(mixed, expect_q)).otherwise(0.0)
-    return rows.agg(
+    tested = rows.agg(
         F.sum(stat).alias("chi_square"), (F.count("*") - 1).alias("degrees"),
         F.min(F.col("a") / F.col("n")).alias("min_false_positive_rate"),
-        F.max(F.col("a") / F.col("n")).alias("max_false_positive_rate"))
+        F.max(F.col("a") / F.col("n")).alias("max_false_positive_rate"), F.coalesce(F.max(mixed), F.lit(False)).alias("mixed"))
+    p = F.when(F.col("mixed") & (F.col("degrees") > 0), chi_square_tail(F.col("chi_square"), F.col("degrees")))
+    return tested.withColumn("p_value", p).withColumn("independent", F.col("p_value").isNull() | (F.col("p_value") > level)).drop("mixed")
 
 
 def detector_quality(flags: DataFrame, truth: DataFrame, lookalikes: Sequence[str] = ()) -> DataFrame:

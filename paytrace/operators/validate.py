@@ -13,8 +13,10 @@ from ..sources.session import cut
 ALIASES = {"sender_id": "sender", "receiver_id": "receiver", "transaction_id": "tx_id"}
 REQUIRED = ("sender_id", "receiver_id", "amount", "timestamp")
 NUMBER_KIND = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
-ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
-BASIC = r"^\d{8}(T\d{4}(\d{2})?)?$"
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?)?$"
+# any other ISO form: basic and week dates, any separator, hours alone, compact times and offsets
+OTHER_ISO = (r"^(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(-\d)?|\d{4}W\d{2}\d?)"
+             r"(\D(\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?|\d{4}(\d{2}([.,]\d+)?)?)(Z|[+-]\d{2}(:?\d{2})?)?)?$")
 AMOUNT = r"(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
 
 
@@ -35,8 +37,31 @@ def resolve_aliases(raw: DataFrame) -> DataFrame:
     return raw
 
 
+def _week_day(text: Column) -> Column:
+    """Date of ``2024-W01-1`` or ``2024W011``, Monday where no day is named; null for weeks and days that do not exist."""
+    form = r"^(\d{4})-?W(\d{2})(?:-?(\d))?"
+    year, week = (F.regexp_extract(text, form, i).try_cast("int") for i in (1, 2))
+    day = F.coalesce(F.regexp_extract(text, form, 3).try_cast("int"), F.lit(1))
+    start = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(4)))  # always in the first week
+    found = F.date_add(F.date_sub(start, F.weekday(start)), ((week - 1) * 7 + day - 1).cast("int"))
+    return F.when((week >= 1) & day.between(1, 7) & (F.weekofyear(found) == week), found)
+
+
+def _other_iso(text: Column) -> Column:
+    """Text of any further ISO form, written in full."""
+    full = F.translate(text, ",", ".")
+    week = F.concat(F.date_format(_week_day(full), "yyyy-MM-dd"), F.regexp_replace(full, r"^\d{4}-?W\d{2}(-?\d)?", ""))
+    full = F.when(full.rlike(r"^\d{4}-?W"), week).otherwise(F.regexp_replace(full, r"^(\d{4})(\d{2})(\d{2})(?=\D|$)", "$1-$2-$3"))
+    for pattern, written in (
+        (r"^(\d{4}-\d{2}-\d{2})\D", "$1T"), (r"^(.{10}T\d{2})(\d{2})(\d{2})", "$1:$2:$3"), (r"^(.{10}T\d{2})(\d{2})(?=\D|$)", "$1:$2"),
+        (r"^(.{10}T\d{2})(?=[Z+-]|$)", "$1:00"), (r"^(.{10}T\d{2}:\d{2})(?=[Z+-]|$)", "$1:00"), (r"([+-]\d{2})(\d{2})$", "$1:$2"), (r"(T.*[+-]\d{2})$", "$1:00"), (r"(\.\d{6})\d+", "$1"),
+    ):
+        full = F.regexp_replace(full, pattern, written)
+    return full
+
+
 def parse_time(raw: DataFrame, name: str = "timestamp") -> Column:
-    """UTC timestamp from ISO-8601 text (naive means UTC; basic form and comma fraction included), epoch seconds >= 0
+    """UTC timestamp from ISO-8601 text (naive means UTC; basic, week and shortened forms included), epoch seconds >= 0
     given as a number, or null. A quoted number is no time."""
     kind = raw.schema[name].dataType
     col = F.col(name)
@@ -54,13 +79,10 @@ def parse_time(raw: DataFrame, name: str = "timestamp") -> Column:
         text = F.when(F.schema_of_variant(col) == "STRING", F.trim(F.try_variant_get(col, "$", "string")))
     else:
         seconds, text = F.lit(None).cast("double"), F.trim(col.cast("string"))
-    basic = (F.when(F.length(text) == 8, F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-             .when(F.length(text) == 13, F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmm")))
-             .otherwise(F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss"))))
     return (
         F.when(seconds.isNotNull(), F.timestamp_micros((seconds * 1e6).cast("bigint")))
         .when(text.rlike(ISO), F.try_to_timestamp(F.translate(text, ",", ".")))
-        .when(text.rlike(BASIC), basic)
+        .when(text.rlike(OTHER_ISO), F.try_to_timestamp(_other_iso(text)))
     )
 
 
@@ -108,10 +130,13 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
     original = [c for c in raw.columns if c != "row_index"]
     if "row_index" not in raw.columns:
         raw = cut(raw.withColumn("row_index", F.monotonically_increasing_id()))  # numbered once, whatever reads it
+    # Parsed once, in a projection of its own; the checks below only compare its columns.
+    value, bad_type = _amount(raw)
+    raw = raw.select(
+        "*", F.to_json(F.struct(*original)).alias("__raw"), F.trim(F.col("sender_id").cast("string")).alias("__sender"),
+        F.trim(F.col("receiver_id").cast("string")).alias("__receiver"), value.alias("__amount"), bad_type.alias("__bad"), parse_time(raw).alias("__when"))
+    sender, receiver, amount, when = (F.col(c) for c in ("__sender", "__receiver", "__amount", "__when"))
     missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
-    sender, receiver = F.trim(F.col("sender_id").cast("string")), F.trim(F.col("receiver_id").cast("string"))
-    amount, bad_type = _amount(raw)
-    when = parse_time(raw)
 
     def text(prefix: str, col: Column, suffix: str) -> Column:
         return F.concat(F.lit(prefix), col, F.lit(suffix))
@@ -121,7 +146,7 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
         .when(sender == "", F.lit("Invalid sender_id: must be non-empty string or integer identifier"))
         .when(receiver == "", F.lit("Invalid receiver_id: must be non-empty string or integer identifier"))
         .when(sender == receiver, text("Self-transfer detected: sender_id equals receiver_id (", sender, ")"))
-        .when(bad_type.isNotNull(), bad_type)
+        .when(F.col("__bad").isNotNull(), F.col("__bad"))
         .when(F.isnan(amount), F.lit("Invalid amount: NaN is strictly prohibited"))
         .when(F.abs(amount) == float("inf"), F.lit("Invalid amount: infinite value detected"))
         .when(amount < 0, text("Invalid amount: negative value (", plain_number(amount), ") is not permitted"))
@@ -132,11 +157,11 @@ def check(raw: DataFrame, max_amount: float = fixed.MAX_AMOUNT) -> DataFrame:
                                   "' cannot be parsed as a valid ISO-8601 or epoch date"))
     )
     given = F.nullif(F.trim(F.col("transaction_id").cast("string")), F.lit(""))
-    ok = error.isNull()
-    tagged = raw.select(
+    ok = F.col("reason").isNull()
+    tagged = raw.withColumn("reason", error).select(
         "row_index",
-        F.to_json(F.struct(*original)).alias("raw"),
-        error.alias("reason"),
+        F.col("__raw").alias("raw"),
+        "reason",
         given.alias("given_id"),
         F.when(ok, sender).alias("sender_id"),
         F.when(ok, receiver).alias("receiver_id"),

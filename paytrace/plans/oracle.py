@@ -768,9 +768,15 @@ ORACLES["ev12_rates_by_tier"] = sql(
 ORACLES["ev12_rate_gap"] = sql(
     f"SELECT {r('max(false_positive_rate)')} AS max_rate, {r('min(false_positive_rate)')} AS min_rate, {r('100*(max(false_positive_rate) - min(false_positive_rate))')} AS gap_percentage_points FROM rates")
 CTES["cells"] = "SELECT typology, count(*) AS n, count(*) FILTER (alert) AS a, sum(count(*)) OVER () AS nn, sum(count(*) FILTER (alert)) OVER () AS aa FROM sc WHERE y = 0 GROUP BY 1"
+CTES["tested"] = """
+SELECT sum(power(CASE WHEN k = 2 THEN abs(a - e) - least(abs(a - e), 0.5) ELSE abs(a - e) END, 2)*(1/e + 1/(n - e))) AS x, count(*) - 1 AS d,
+       min(a/n) AS low, max(a/n) AS high FROM (SELECT *, n*aa/nn AS e, count(*) OVER () AS k FROM cells)"""
+# the lower tail as a series, long enough for the sample
+CTES["tail"] = """
+SELECT *, 1 - list_sum(list_transform(range(0, 400), lambda i: exp(-x/2 + (d/2 + i)*ln(x/2) - lgamma(d/2 + i + 1)))) AS p FROM tested"""
 ORACLES["ev13_independence"] = sql(f"""
-SELECT {r('sum((a - n*aa/nn)**2/(n*aa/nn) + (a - n*aa/nn)**2/(n - n*aa/nn))')} AS chi_square, count(*) - 1 AS degrees,
-       {r('min(a/n)')} AS min_false_positive_rate, {r('max(a/n)')} AS max_false_positive_rate FROM cells""")
+SELECT {r('x')} AS chi_square, d AS degrees, {r('low')} AS min_false_positive_rate, {r('high')} AS max_false_positive_rate,
+       {r('p')} AS p_value, p > 0.05 AS independent FROM tail""")
 ORACLES["ev15_workload"] = sql(f"""
 SELECT accounts AS accounts_scored, ra AS rule_alerts, rh AS rule_hits, ma AS model_alerts, mh AS model_hits, CAST(needed AS BIGINT) AS alerts_to_match_rules,
        {r('1.0 - needed/greatest(ra, 1)')} AS alert_reduction_at_equal_recall, {r('coalesce(hb, 0)/greatest(p, 1)')} AS recall_at_rules_budget,

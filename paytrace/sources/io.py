@@ -38,7 +38,9 @@ def read_transfers(spark: SparkSession, path: str, fmt: str = "json", **options:
 
 def malformed(raw: DataFrame) -> DataFrame:
     """Records the reader could not parse, as quarantine rows."""
-    return raw.where("_corrupt_record IS NOT NULL").select(
+    # Spark reads files for the corrupt record only together with another column
+    read = F.length(F.coalesce(F.col(raw.columns[0]).cast("string"), F.lit(""))) >= 0
+    return raw.where(F.col("_corrupt_record").isNotNull() & read).select(
         F.lit("Malformed transaction record").alias("error"), F.col("_corrupt_record").alias("raw"))
 
 

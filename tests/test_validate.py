@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from paytrace.operators import validate
 from paytrace.sources import io
@@ -14,8 +17,6 @@ def _read(spark, tmp_path, records):
     path = tmp_path / "in.json"
     path.write_text("\n".join(json.dumps(r) for r in records))
     raw = io.read_transfers(spark, str(path))
-    from pyspark.sql import functions as F
-
     return raw.withColumn("row_index", F.monotonically_increasing_id())
 
 
@@ -117,3 +118,22 @@ def test_corrupt_records_and_payload_and_metrics(spark, tmp_path):
     io.publish_metrics(numbers.selectExpr("precision + 0.1 AS precision", "alerts"), str(tmp_path / "m"), "rules", "2026-01-02")
     latest = {r.metric: r.value for r in io.latest_metrics(spark, str(tmp_path / "m")).collect()}
     assert latest == {"precision": 0.6, "alerts": 2.0} and spark.read.parquet(str(tmp_path / "m")).count() == 4
+
+
+def test_every_iso_form(spark):
+    """The forms that the standard library reads, naive ones in UTC; what it rejects is rejected."""
+    texts = [
+        "2024-01-01", "20240101", "2024-W01-1", "2024W011", "2024-W01", "2020-W53-7", "2021-W53-1", "2024-W00-1", "2024-W01-8", "2024-01-01T10", "2024-01-01 10",
+        "20240101T000000Z", "20240101T000000+0600", "20240101T1015", "2024-W10-3T101530.25+05:30", "2024-01-01T10:15+06", "2024-01-01T10:15:30,123456789Z",
+        "2024-01-01T10:15:30.5", "2024-01-01T101530-0330", "2024-01-01x10:15", "2024-01-01T1", "2024-01-01T10:1", "2024-13-01", "20241301", "2024-01-01T25:00",
+        "2024-1-1", "2024-01-01T10:15:30+0", "20240101T10:15", "2024-02-30T10", "1704067200", "2024-01-01T10-05:00", "2024-01-01T10Z",
+    ]
+    def read(text):
+        try:
+            found = datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
+        except ValueError:
+            return None
+        return (found if found.tzinfo else found.replace(tzinfo=timezone.utc)).timestamp()
+    df = spark.createDataFrame([(t,) for t in texts], "timestamp string")
+    got = {r.timestamp: r.s for r in df.select("timestamp", (F.unix_micros(validate.parse_time(df)) / 1e6).alias("s")).collect()}
+    assert {t: got[t] for t in texts} == {t: read(t) for t in texts}
