@@ -10,6 +10,7 @@ import re
 from ..functions import fixed
 
 CTES: dict[str, str] = {}
+HEADS: dict[str, str] = {}  # building blocks that are not plain, e.g. computed once or keyed recursions
 ORACLES: dict[str, str] = {}
 
 
@@ -28,8 +29,8 @@ def sql(select: str) -> str:
     if not needed:
         return select
     # Chained iterations are computed once each instead of being expanded into one another.
-    kept = {n: "AS MATERIALIZED" if n.startswith("rank_") else "AS" for n in needed}
-    return "WITH RECURSIVE " + ",\n".join(f"{n} {kept[n]} ({CTES[n]})" for n in needed) + "\n" + select
+    kept = {n: HEADS.get(n, f"{n} AS MATERIALIZED" if n.startswith("rank_") else f"{n} AS") for n in needed}
+    return "WITH RECURSIVE " + ",\n".join(f"{kept[n]} ({CTES[n]})" for n in needed) + "\n" + select
 
 
 def r(x: str, places: int = 6) -> str:
@@ -245,24 +246,6 @@ SELECT a.src AS account_id, count(*) AS triad_cycles FROM ev_pairs a JOIN ev_pai
 JOIN ev_pairs c ON b.dst = c.src AND c.dst = a.src GROUP BY 1""")
 ORACLES["gr14_reciprocity"] = sql(f"SELECT account_id, {r('mutual/u')} AS reciprocity FROM ev_deg")
 ORACLES["gr15_neighbour_degree"] = sql(f"SELECT node AS account_id, {r('avg(u)')} AS avg_neighbor_degree FROM ev_both JOIN ev_deg ON nbr = account_id GROUP BY 1")
-MSG = ("log_total_incoming", "log_total_outgoing", "passthrough_ratio", "near_threshold_total", "night_share", "log_in_degree", "log_out_degree")
-CTES["msg"] = """
-SELECT account_id, ln(1 + tin) AS log_total_incoming, ln(1 + tout) AS log_total_outgoing, passthrough_ratio,
-       near_out + near_in AS near_threshold_total, night/n AS night_share, ln(1 + i) AS log_in_degree, ln(1 + o) AS log_out_degree
-FROM ev_tot JOIN ev_deg USING (account_id) JOIN ev_fs USING (account_id)"""
-ORACLES["fs17_message_base"] = sql("SELECT account_id, " + ", ".join(rc(c) for c in MSG) + " FROM msg")
-CTES["nb_in"] = "SELECT dst AS account_id, " + ", ".join(f"avg({c}) AS {c}" for c in MSG) + " FROM ev_pairs JOIN msg ON src = account_id GROUP BY dst"
-CTES["nb_out"] = "SELECT src AS account_id, " + ", ".join(f"avg({c}) AS {c}" for c in MSG) + " FROM ev_pairs JOIN msg ON dst = account_id GROUP BY src"
-CTES["nb_one"] = "SELECT node AS account_id, " + ", ".join(f"avg({c}) AS {c}" for c in MSG) + " FROM ev_both JOIN msg ON nbr = account_id GROUP BY node"
-CTES["nb_two"] = "SELECT node AS account_id, " + ", ".join(f"avg({c}) AS {c}" for c in MSG) + " FROM ev_both JOIN nb_one ON nbr = account_id GROUP BY node"
-for _q, _cte, _p in (("gr16_payer_means", "nb_in", "nb_in_"), ("gr16_payee_means", "nb_out", "nb_out_"), ("gr16_two_step_means", "nb_two", "nb2_")):
-    ORACLES[_q] = sql("SELECT n.account_id, " + ", ".join(f"coalesce({r('x.' + c)}, 0) AS {_p}{c}" for c in MSG)
-                      + f" FROM ev_nodes n LEFT JOIN {_cte} x ON x.account_id = n.account_id")
-ORACLES["fs18_neighbourhood"] = sql(
-    "SELECT n.account_id, " + ", ".join(
-        f"coalesce({r(a + '.' + c)}, 0) AS {p}{c}" for a, p in (("x", "nb_in_"), ("y", "nb_out_"), ("z", "nb2_")) for c in MSG)
-    + " FROM ev_nodes n LEFT JOIN nb_in x ON x.account_id = n.account_id LEFT JOIN nb_out y ON y.account_id = n.account_id"
-    " LEFT JOIN nb_two z ON z.account_id = n.account_id")
 
 
 # ---------------------------------------------------------------------------------- detectors

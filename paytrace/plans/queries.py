@@ -212,13 +212,11 @@ def _(spark, folder):
 
 
 def _message_base(spark, folder):
-    """The base columns that need no flow tracing."""
     tx, (totals, degree) = ev(spark, folder), ev_inputs(spark, folder)
     rows = store.transactional(totals, degree).join(store.pace(totals), "account_id").join(
         degree.select("account_id", "in_degree", "out_degree"), "account_id")
-    rows = rows.withColumn("chain_length_slow", F.lit(0.0)).withColumn("forward_share_slow", F.lit(0.0)).withColumn(
-        "cycle_count_slow", F.lit(0.0))
-    return store.message_base(rows).drop("chain_length_slow", "forward_share_slow", "cycle_count_slow")
+    slow = store.flow_columns(ev_traced(spark, folder)[fixed.SLOW_WINDOW]["accounts"], totals, "slow")
+    return once(spark, folder, "message_base", lambda: cut(store.message_base(rows.join(slow, "account_id"))))
 
 
 @query("fs17_message_base")
@@ -233,7 +231,7 @@ def _neighbourhood(spark, folder):
 
 for _name, _prefix in (("gr16_payer_means", "nb_in_"), ("gr16_payee_means", "nb_out_"), ("gr16_two_step_means", "nb2_")):
     QUERIES[_name] = lambda spark, folder, p=_prefix: rounded(_neighbourhood(spark, folder).select(
-        "account_id", *[f"{p}{c}" for c in fixed.MESSAGE_BASE if c not in ("chain_length_slow", "forward_share_slow", "cycle_count_slow")]))
+        "account_id", *[f"{p}{c}" for c in fixed.MESSAGE_BASE]))
 QUERIES["fs18_neighbourhood"] = lambda spark, folder: rounded(_neighbourhood(spark, folder))
 
 
@@ -627,7 +625,7 @@ def _(spark, folder):
 
 @query("fs20_feature_store")
 def _(spark, folder):
-    return rounded(ev_store(spark, folder))
+    return rounded(ev_store(spark, folder), 4)
 
 
 # ------------------------------------------------------------------------------------- scoring
