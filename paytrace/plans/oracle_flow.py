@@ -9,7 +9,7 @@ window than an inbox holds, so the twin needs no eviction.
 from __future__ import annotations
 
 from ..functions import fixed
-from .oracle import CTES, HEADS, ORACLES, d, r, rc, sql, tier_of
+from .oracle import CTES, HEADS, ORACLES, d, fan, r, rc, sql, tier_of
 
 WINDOWS = {"fast": fixed.FAST_WINDOW, "slow": fixed.SLOW_WINDOW}
 
@@ -87,8 +87,9 @@ CTES["ev_scc"] = """
 SELECT a AS account_id, min(b) AS component, count(*) AS component_size
 FROM (SELECT x.a, x.b FROM ev_reach x JOIN ev_reach y ON x.a = y.b AND x.b = y.a UNION SELECT account_id, account_id FROM ev_nodes) GROUP BY a"""
 CTES["ev_clusters"] = CTES["dy_clusters"].replace("dy_", "ev_").replace("ev_strong", "ev_scc")
+CTES["ev_wide_in"], CTES["ev_wide_out"] = fan("ev", True, 2.0), fan("ev", False, 2.0)
 ORACLES["pt11_flags_traced"] = sql("""
-SELECT account_id, 'fan_in' AS pattern FROM ev_fan_in UNION SELECT account_id, 'fan_out' FROM ev_fan_out
+SELECT account_id, 'fan_in' AS pattern FROM ev_wide_in UNION SELECT account_id, 'fan_out' FROM ev_wide_out
 UNION SELECT account_id, 'circular_flow' FROM flow_accounts WHERE cycle_count > 0 UNION SELECT account_id, 'transaction_chain' FROM told_chains
 UNION SELECT account_id, 'rapid_movement' FROM ev_rapid UNION SELECT account_id, 'structuring' FROM ev_str
 UNION SELECT account_id, 'coordinated_network' FROM ev_scc JOIN ev_clusters USING (component)""")

@@ -857,7 +857,8 @@ QUERIES["ev15_workload"] = lambda spark, folder: rounded(evaluate.workload(_comp
 @query("ev14_detector_quality")
 def _(spark, folder):
     hundi = _hundi(spark, folder)
-    flags = context.context_flags(*_takeover(spark, folder), hundi["operators"], hundi["funders"])
+    alerts, payments = _takeover(spark, folder)
+    flags = context.context_flags(alerts, context.takeover_collectors(payments), hundi["operators"], hundi["funders"])
     truth = graph.nodes(ev(spark, folder)).select(
         "account_id", F.explode(F.array(*[F.lit(p) for p in fixed.CONTEXT_PATTERNS])).alias("pattern"),
     ).join(_ev_tiers(spark, folder), "account_id").withColumn("is_true", F.col("tier") == "agent").withColumn(
