@@ -273,10 +273,11 @@ def circular_flows(tx: DataFrame, strong: DataFrame | None = None, lengths=(3, 4
     """Every loop of distinct accounts that money travels in time order: one row per node cycle.
 
     Each hop starts no earlier than the one before, the loop closes within ``window`` of its first
-    hop, and each amount lies in [low, high] x the previous one. Hops are joined on (account, time
-    slice, amount cell); the closing hop is joined on both its ends. Transfers outside strong
-    components of three or more accounts cannot take part and are dropped first when ``strong`` is
-    given. The reported instance is the earliest one.
+    hop, and each amount lies in [low, high] x the previous one. A loop is put together from two paths of at
+    most three hops that meet at both ends: the second begins where the first ends and ends where it begins. Hops and halves
+    are joined on (account, time slice, amount cell), halves on both accounts, so open paths never grow beyond
+    half a loop. Transfers outside strong components of three or more accounts cannot take part and are dropped first
+    when ``strong`` is given. The reported instance is the earliest one.
     """
     span = float(high / low)
     hop = F.struct(F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst"), "amount", "t", "transaction_id")
@@ -287,43 +288,44 @@ def circular_flows(tx: DataFrame, strong: DataFrame | None = None, lengths=(3, 4
             use.join(inside.toDF("sender_id", "c1"), "sender_id").join(inside.toDF("receiver_id", "c2"), "receiver_id")
             .where("c1 = c2").drop("c1", "c2")
         )
-    keyed = use.select(
-        F.col("sender_id").alias("at"), F.col("receiver_id").alias("to"), F.col("amount").alias("next_amount"),
-        F.col("t").alias("next_t"), hop.alias("hop"),
-        bucket("t", window).alias("slice"), _cell(F.col("amount"), span).alias("cell"))
-    paths = use.select(
-        F.col("sender_id").alias("start"), F.col("receiver_id").alias("at"), F.col("t").alias("start_t"),
-        F.col("t").alias("last_t"), F.col("amount").alias("last_amount"), F.col("amount").alias("first_amount"),
-        F.array("sender_id", "receiver_id").alias("path"), F.array(hop).alias("hops"))
-    comparable = (F.col("next_amount") >= F.lit(low) * F.col("last_amount")) & (
-        F.col("next_amount") <= F.lit(high) * F.col("last_amount"))
-    in_time = (F.col("next_t") >= F.col("last_t")) & (F.col("next_t") <= F.col("start_t") + window)
-    closed = []
-    def probing(open_paths: DataFrame) -> DataFrame:
+    use = cut(use)
+    single = use.select(
+        F.col("sender_id").alias("start"), F.col("receiver_id").alias("at"), F.col("t").alias("start_t"), F.col("t").alias("last_t"),
+        F.col("amount").alias("first_amount"), F.col("amount").alias("last_amount"), F.array("sender_id", "receiver_id").alias("path"), F.array(hop).alias("hops"))
+
+    def ahead(paths: DataFrame) -> DataFrame:
+        """Paths with the slices and cells in which they may go on."""
         slices = F.sequence(bucket("last_t", window), bucket(F.col("start_t") + window, window))
-        return open_paths.select("*", F.explode(slices).alias("slice")).select(
+        return paths.select("*", F.explode(slices).alias("slice")).select(
             "*", _cells(dbl("last_amount") * float(low), dbl("last_amount") * float(high), span).alias("cell"))
 
-    for length in range(3, max(lengths) + 1):
-        paths = (
-            probing(paths).join(keyed, ["at", "slice", "cell"])
-            .where(in_time & comparable & ~F.array_contains("path", F.col("to")))
-            .select("start", F.col("to").alias("at"), "start_t", F.col("next_t").alias("last_t"),
-                    F.col("next_amount").alias("last_amount"), "first_amount",
-                    F.concat("path", F.array("to")).alias("path"), F.concat("hops", F.array("hop")).alias("hops"))
-        )
-        if length not in lengths:
-            continue
-        closed.append(
-            probing(paths).join(keyed.withColumnRenamed("to", "start"), ["at", "start", "slice", "cell"])
-            .where(in_time & comparable)
-            .select("path", F.lit(length).alias("length"), "start_t", F.col("next_t").alias("end_t"),
-                    "first_amount", F.col("next_amount").alias("closing_amount"),
-                    F.concat("hops", F.array("hop")).alias("hops"))
-        )
-    loops = closed[0]
-    for more in closed[1:]:
-        loops = loops.unionByName(more)
+    def coming(paths: DataFrame) -> DataFrame:
+        """The same paths as what comes next, by the slice and cell they begin in."""
+        named = paths.select(*[F.col(c).alias(f"n_{c}") for c in paths.columns])
+        return named.withColumn("slice", bucket("n_start_t", window)).withColumn("cell", _cell(F.col("n_first_amount"), span))
+
+    fits = ((F.col("n_start_t") >= F.col("last_t")) & (F.col("n_last_t") <= F.col("start_t") + window)
+            & (F.col("n_first_amount") >= F.lit(low) * F.col("last_amount")) & (F.col("n_first_amount") <= F.lit(high) * F.col("last_amount")))
+    here = (F.col("n_start") == F.col("at")) & (F.col("n_slice") == F.col("slice")) & (F.col("n_cell") == F.col("cell"))
+
+    def met(first: DataFrame, second: DataFrame, extra: Column) -> DataFrame:
+        other = coming(second).withColumnsRenamed({"slice": "n_slice", "cell": "n_cell"})
+        return ahead(first).join(other, here & extra).where(fits)
+
+    halves = {1: single}
+    for n in range(2, (max(lengths) + 1) // 2 + 1):
+        longer = met(halves[n - 1], single, ~F.array_contains("path", F.col("n_at"))).select(
+            "start", F.col("n_at").alias("at"), "start_t", F.col("n_last_t").alias("last_t"), "first_amount",
+            F.col("n_last_amount").alias("last_amount"), F.concat("path", F.array("n_at")).alias("path"), F.concat("hops", "n_hops").alias("hops"))
+        halves[n] = cut(longer)
+    loops = None
+    for length in lengths:
+        first = (length + 1) // 2
+        inner = F.slice("n_path", F.lit(2), F.lit(length - first - 1))
+        closed = met(halves[first], halves[length - first], F.col("n_at") == F.col("start")).where(~F.arrays_overlap(inner, "path")).select(
+            F.concat("path", inner).alias("path"), F.lit(length).alias("length"), "start_t", F.col("n_last_t").alias("end_t"),
+            "first_amount", F.col("n_last_amount").alias("closing_amount"), F.concat("hops", "n_hops").alias("hops"))
+        loops = closed if loops is None else loops.unionByName(closed)
     first = F.array_position("path", F.array_min("path")).cast("int")
     canonical = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1))
     ids = F.array_join(F.transform("hops", lambda h: h["transaction_id"]), ">")

@@ -282,7 +282,7 @@ ORACLES["pt1_fan_in_members"] = sql("SELECT account_id, src AS member FROM ev_fa
 
 
 def loops(view: str, window: int) -> str:
-    """Loops of three and four accounts as one row per closing instance."""
+    """Loops of three to six accounts as one row per closing instance."""
     def step(k: int) -> str:
         return (f"JOIN {view} h{k} ON h{k}.sender_id = h{k - 1}.receiver_id AND h{k}.t >= h{k - 1}.t AND h{k}.t <= h1.t + {window} "
                 f"AND h{k}.amount >= 0.5*h{k - 1}.amount AND h{k}.amount <= 1.1*h{k - 1}.amount")
@@ -294,7 +294,7 @@ def loops(view: str, window: int) -> str:
         return (f"SELECT [{nodes}] AS path, {k} AS length, h1.t AS t0, h{k}.t AS t1, h1.amount AS a0, h{k}.amount AS a1, {hops} AS hops "
                 f"FROM {view} h1 {' '.join(step(j) for j in range(2, k + 1))} AND h{k}.receiver_id = h1.sender_id WHERE {distinct}")
 
-    return f"{length(3)} UNION ALL {length(4)}"
+    return " UNION ALL ".join(length(k) for k in range(3, 7))
 
 
 CTES["ev_loops"], CTES["dy_loops"] = loops("ev", 21600), loops("dy", 86400)

@@ -274,7 +274,7 @@ def _(spark, folder):
 
 
 def _loops(spark, folder):
-    return detectors.circular_flows(ev(spark, folder), lengths=(3, 4))
+    return detectors.circular_flows(ev(spark, folder))
 
 
 @query("pt3_circular_flow")
@@ -337,7 +337,7 @@ def _(spark, folder):
 @query("pt11_flags_exhaustive")
 def _(spark, folder):
     tx, pairs, strong = dy(spark, folder), dy_pairs(spark, folder), dy_strong(spark, folder)
-    loops = detectors.circular_flows(tx, strong, lengths=(3, 4), window=fixed.DAY)
+    loops = detectors.circular_flows(tx, strong, window=fixed.DAY)
     chains = detectors.transaction_chains(pairs)
     return detectors.network_flags(
         tx, graph.degrees(graph.account_pairs(tx)), pairs, strong,
