@@ -30,7 +30,7 @@ SETTLED = 0.03  # stop when fewer links than this share changed
 POOL = 448
 WIDTH = 160
 HOPS = 24
-EXACT = 48  # nodes of a query that are scored exactly
+EXACT = 48  # nodes of a query that are scored exactly at least
 
 
 def usable(vector: Column) -> Column:
@@ -66,8 +66,9 @@ def _encode(dim: int):
             vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
             scale = (np.abs(vectors).max(axis=1, keepdims=True) / 127).astype(np.float32)
             codes = np.concatenate([scale.view(np.uint8), np.rint(vectors / scale).astype(np.int8).view(np.uint8)], axis=1)
+            off = np.linalg.norm(np.rint(vectors / scale) * scale - vectors, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+                [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], names=["node", "code", "off"])
 
     return run
 
@@ -165,8 +166,9 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "q": pa.array(query[owner[good]]), "node": pa.array(others[rows][good]), "s": pa.array(like[good].astype(np.float32))})
 
 
-def search(queries: DataFrame, links: DataFrame, codes: DataFrame) -> DataFrame:
-    """(q, node, s): the ``EXACT`` best nodes found for each query, its own among them. ``queries``: q, the number of its node.
+def search(queries: DataFrame, links: DataFrame, codes: DataFrame, k: int = 5) -> DataFrame:
+    """(q, node): the ``EXACT`` best nodes found for each query, its own among them, and all others in the pool that could be
+    among the ``k`` best but for the error of the codes. ``queries``: q, the number of its node.
 
     The links with the codes of the nodes they lead to are written once, in buckets by node, so a hop
     shuffles only what the queries expand.
@@ -177,10 +179,14 @@ def search(queries: DataFrame, links: DataFrame, codes: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(back.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     near = both.join(codes.select(F.col("node").alias("b"), "code"), "b").groupBy("a").agg(
         F.collect_list(F.struct("b", "code")).alias("near"))  # 2 * LINKS at most
-    name = f"llm_graph_{uuid.uuid4().hex}"
-    near.repartition(buckets, "a").write.bucketBy(buckets, "a").option(
-        "path", f"{shared_folder(spark).rstrip('/')}/llm/{name}").format("parquet").saveAsTable(name)
-    near = spark.table(name)
+    name, near = _bucketed(near, buckets)
+    try:
+        return _searched(queries, near, codes, k)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _searched(queries: DataFrame, near: DataFrame, codes: DataFrame, k: int) -> DataFrame:
     asked = stored(queries.join(codes, F.col("node") == F.col("q")).select("q", "code"), "asked")
     # per query one row of bounded lists, best first; ``open`` marks what has not been expanded
     entry = F.struct(F.lit(9.0).cast("float").alias("s"), F.col("q").alias("node"), F.lit(True).alias("open"))
@@ -203,9 +209,21 @@ def search(queries: DataFrame, links: DataFrame, codes: DataFrame) -> DataFrame:
         fresh = F.transform(F.filter(F.coalesce("found", F.array()), lambda e: ~F.array_contains(have, e["node"])),
                             lambda e: F.struct(e["s"].alias("s"), e["node"].alias("node"), F.lit(True).alias("open")))
         pool = stored(state.select("q", F.slice(F.sort_array(F.concat(closed, fresh), asc=False), 1, POOL).alias("pool")), "pool")
-    out = stored(pool.select("q", F.explode(F.slice("pool", 1, EXACT)).alias("e")).select("q", F.col("e.node").alias("node")), "found")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    # a cosine of codes is off by at most the two vectors' errors and their product; so is the k-th best one's
+    off = codes.agg(F.max("off")).first()[0] or 0.0
+    margin = 2 * (2 * off + off * off)
+    reach = F.element_at("pool", F.least(F.size("pool"), F.lit(k + 1)))["s"] - F.lit(margin)  # its own node comes first
+    near_best = F.filter("pool", lambda e, i: (i < EXACT) | (e["s"] >= reach))
+    return stored(pool.select("q", F.explode(near_best).alias("e")).select("q", F.col("e.node").alias("node")), "found")
+
+
+def _bucketed(near: DataFrame, buckets: int) -> tuple[str, DataFrame]:
+    """The table written in buckets of ``a``; buckets need a name in the catalog."""
+    spark = near.sparkSession
+    name = f"llm_graph_{uuid.uuid4().hex}"
+    near.repartition(buckets, "a").write.bucketBy(buckets, "a").option(
+        "path", f"{shared_folder(spark).rstrip('/')}/llm/{name}").format("parquet").saveAsTable(name)
+    return name, spark.table(name)
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -234,11 +252,11 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     heads = members.where("r = 1").join(rows, ["h1", "h2", "vec_id"]).select("h1", "h2", "v").dropDuplicates(["h1", "h2"])
     numbered = stored(ranked(heads, ["h1", "h2"], "node", "nodes"), "nodes")
     size = numbered.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    codes = stored(numbered.select("node", "v").mapInArrow(_encode(size["dim"] or 0), "node long, code binary"), "codes")
+    codes = stored(numbered.select("node", "v").mapInArrow(_encode(size["dim"] or 0), "node long, code binary, off double"), "codes")
     keyed = rows.where(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2", "v").dropDuplicates(["vec_id", "h1", "h2"]).join(
         numbered.select("h1", "h2", "node"), ["h1", "h2"])
     asked = stored(keyed.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("node").alias("q")), "queries")
-    found = search(asked.select("q").distinct(), graph(codes, size["n"]), codes)
+    found = search(asked.select("q").distinct(), graph(codes, size["n"]), codes, k)
     named = members.join(numbered, ["h1", "h2"]).select("node", "vec_id", "v")
     scored = found.join(named, "node").join(asked, "q").where("vec_id <> query_id").select(
         "query_id", "vec_id", _cosine("qv", "v").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

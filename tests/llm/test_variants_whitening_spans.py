@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from paytrace.llm import spans, variants, whitening
+from paytrace.llm import neighbours, spans, variants, whitening
 
 from .conftest import odd_rows
 
@@ -232,3 +232,17 @@ def test_matching_statistics():
         assert shelf.matches(text) == want
         shelf.add(text)
     assert spans.covered([1, 2, 3, 4, 1, 2, 3, 3], 3) == [0, 4, 4, 8] or spans.covered([1, 2, 3, 4, 1, 2, 3, 3], 3) == [0, 8]
+
+
+def test_neighbours_inside_a_group_of_near_copies(spark):
+    """300 copies that differ by less than the codes resolve, among independent vectors: every pool entry in doubt is scored."""
+    draw = np.random.default_rng(11)
+    middle = draw.standard_normal(32)
+    data = np.vstack([middle + 0.003 * draw.standard_normal((300, 32)), draw.standard_normal((300, 32))]).astype(np.float32).astype(float)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(data)]
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(vectors(spark, rows)).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    hits = [len(got[q] & set(np.argsort(-np.where(np.arange(600) == q, -2, unit @ unit[q]))[:5].tolist())) for q in range(0, 600, 50)]
+    assert sum(hits) >= 0.9 * 5 * len(hits) and spark.catalog.listTables() == []
