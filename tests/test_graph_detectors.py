@@ -100,8 +100,8 @@ def test_counts_equal_listed_pairs(tx, monkeypatch):
 
 
 def test_hot_account_is_counted_without_pairs(spark):
-    """100,000 receipts and as many payments of one account in one hour: 10^10 pairs at most, each payment answered."""
-    n = 100_000
+    """40,000 receipts and as many payments of one account in one hour: 1.6 * 10^9 pairs at most, each payment answered."""
+    n = 40_000
     from pyspark.sql import functions as F
     rows = spark.range(2 * n).select(
         F.concat(F.lit("T"), "id").alias("transaction_id"),
@@ -121,6 +121,32 @@ def test_hot_account_is_counted_without_pairs(spark):
     assert len(got) > 0.99 * n and len(sample) > 5
 
 
+def test_loops_of_three_to_six_accounts_match_a_plain_search(tx):
+    rng = random.Random(31)
+    rows = [(f"A{rng.randrange(9)}", f"A{rng.randrange(9)}", rng.choice([1000, 1050, 1100, 900, 600]), rng.randrange(3000)) for _ in range(110)]
+    for k in (5, 6):  # planted ones
+        rows += [(f"L{k}{j}", f"L{k}{(j + 1) % k}", 5000 - 10 * j, 100 * j) for j in range(k)]
+    df = tx([r for r in rows if r[0] != r[1]])
+    items = df.collect()
+    want = set()
+
+    def walk(path, hops):
+        for p in items:
+            last = hops[-1]
+            if p.sender_id != last.receiver_id or p.t < last.t or p.t > hops[0].t + 1500 or not 5 * last.amount <= 10 * p.amount <= 11 * last.amount:
+                continue
+            if p.receiver_id == path[0] and len(path) >= 3:
+                low = path.index(min(path))
+                want.add((tuple(path[low:] + path[:low]), len(path)))
+            elif p.receiver_id not in path and len(path) < 6:
+                walk([*path, p.receiver_id], [*hops, p])
+
+    for first in items:
+        walk([first.sender_id, first.receiver_id], [first])
+    got = {(tuple(r.nodes), r.length) for r in detectors.circular_flows(df, window=1500).collect()}
+    assert got == want and {n for _, n in want} == {3, 4, 5, 6}
+
+
 def test_structuring(tx):
     rows = [("SPLITTER", "COLLECTOR", a, f"2026-03-01T{10 + i}:00:00Z") for i, a in enumerate([9500, 9800, 9650, 9900])]
     found = {r.account_id: r for r in detectors.structuring(tx(rows)).collect()}
