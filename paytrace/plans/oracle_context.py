@@ -44,6 +44,8 @@ HEADS["alerts"] = "alerts AS MATERIALIZED"
 ORACLES["cx1_location_takeover"] = sql(f"""
 SELECT account AS account_id, area AS risk_area, t AS first_seen, handset AS new_device, {r('paid', 2)} AS outflow_24h, {r('typical', 2)} AS typical_daily_outflow,
        n AS transactions, score AS signal_score FROM alerts""")
+ORACLES["st3_takeover_stream"] = sql(f"""
+SELECT account AS account_id, t AS first_seen, area AS risk_area, {r('paid', 2)} AS outflow_24h, n AS transactions, score AS signal_score FROM alerts""")
 CTES["flagged"] = """
 SELECT DISTINCT y.account, y.o, e.k FROM tk_rows y JOIN alerts e ON e.account = y.account AND y.risky AND y.o >= e.o AND y.t - e.t <= 86400"""
 CTES["basis_of"] = """
