@@ -150,5 +150,5 @@ def repeat(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     on = (F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & F.col("__source").eqNullSafe(F.col("source"))
           & (F.col("__size") == F.col("__words")))
     times = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return sized.join(copies.where("__copies > 0"), on).select(
+    return sized.join(copies.where("__copies > 0").hint("merge"), on).select(
         *documents.columns, times.alias("__nth")).drop("__nth")

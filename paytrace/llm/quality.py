@@ -181,6 +181,8 @@ def keep(documents: DataFrame) -> DataFrame:
         verdicts, hits = _verdicts(documents, LINE_DOCS, LINE_SHARE_PERCENT)
         rejected = kept(stored(verdicts.where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected"))
         gone = kept(stored(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__gone")), "gone"))
+    # joined in one way at every size: whether these tables are small says nothing about the next input
+    rejected, gone = rejected.hint("merge"), gone.hint("merge")
     passed = documents.withColumn("__row", row_key()).join(rejected, F.col("__row") == F.col("__key"), "left_anti")
     same = passed.join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
     less = passed.join(gone, F.col("__row") == F.col("__key")).drop("__row", "__key")
