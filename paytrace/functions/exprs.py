@@ -18,10 +18,6 @@ def r4(col: Column) -> Column:
     return F.round(col.cast("double"), 4)
 
 
-def count_if(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def near_threshold(amount: Column, threshold=fixed.REPORTING_THRESHOLD) -> Column:
     """Amount in [0.85 T, T): the upper bound is exclusive."""
     return (amount >= F.lit(fixed.NEAR_RATIO * threshold)) & (amount < F.lit(threshold))

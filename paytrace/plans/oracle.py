@@ -779,7 +779,7 @@ UNION ALL SELECT 'accounts_by_tier', network_id, CAST(count(*) AS DOUBLE) FROM s
 UNION ALL SELECT 'suspicious_by_typology', typology, CAST(count(*) AS DOUBLE) FROM sc WHERE y = 1 GROUP BY typology""")
 
 # ----------------------------------------------------------------------------------- streaming
-for _q, _v in (("st1_recent_day", "today"), ("st1_incremental_store", "ev")):
+for _q, _v in (("st1_recent_day", "today"), ("st1_latest_day_of_store", "today"), ("st1_incremental_store", "ev")):
     ORACLES[_q] = sql("SELECT account_id, " + ", ".join(rc(c) for c in fixed.TRANSACTIONAL) + f" FROM {_v}_fs")
 ORACLES["st2_tumbling_counts"] = sql("""
 SELECT account_id, max_tx_per_hour, max_senders_2h, max_receivers_2h FROM (SELECT account_id, max(c) AS max_tx_per_hour FROM ev_hours GROUP BY 1)

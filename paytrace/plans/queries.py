@@ -802,10 +802,10 @@ def _(spark, folder):
 @query("rp25_masking")
 def _(spark, folder):
     customers = spark.read.parquet(f"{folder}/customer.parquet")
-    return customers.select(
-        "c_custkey", workflow.mask_name(F.concat("c_name", F.lit(" "), "c_mktsegment")).alias("name"),
-        workflow.mask_phone(F.concat(F.lit("01"), F.lpad(F.col("c_custkey").cast("string"), 9, "7"))).alias("phone"),
-        workflow.mask_national_id(F.col("c_custkey") * 7919).alias("national_id"))
+    profiles = customers.select(
+        F.col("c_custkey").alias("account_id"), F.concat("c_name", F.lit(" "), "c_mktsegment").alias("holder_name"),
+        F.concat(F.lit("01"), F.lpad(F.col("c_custkey").cast("string"), 9, "7")).alias("phone"), (F.col("c_custkey") * 7919).alias("national_id"))
+    return workflow.mask_profiles(profiles).select(F.col("account_id").alias("c_custkey"), F.col("holder_name").alias("name"), "phone", "national_id")
 
 
 # ------------------------------------------------------------------------------------ evaluation
@@ -983,6 +983,13 @@ def _daily_store(spark, folder):
 
 
 @query("st1_recent_day")
+def _(spark, folder):
+    """The most recent day as one batch."""
+    today = store.transactional(*behaviour.inputs(pipeline.recent_day(ev(spark, folder))))
+    return rounded(today.select("account_id", *fixed.TRANSACTIONAL))
+
+
+@query("st1_latest_day_of_store")
 def _(spark, folder):
     kept = _daily_store(spark, folder)
     return rounded(kept.features(kept.latest_day()).select("account_id", *fixed.TRANSACTIONAL))

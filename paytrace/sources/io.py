@@ -61,11 +61,6 @@ def write_payload(reports: DataFrame, path: str, fmt: str = "parquet", mode: str
     reports.write.mode(mode).partitionBy("risk_level").format(fmt).save(path)
 
 
-def write_by_day(tx: DataFrame, path: str) -> None:
-    """Transfers partitioned by UTC day, so that re-scoring one day reads one folder."""
-    tx.withColumn("day", F.to_date(F.timestamp_seconds("t"))).write.mode("overwrite").partitionBy("day").parquet(path)
-
-
 def publish_metrics(metrics: DataFrame, path: str, section: str, run_at: str | Column) -> None:
     """Appends (run_at, section, metric, value) rows; earlier runs stay."""
     when = F.lit(run_at) if isinstance(run_at, str) else run_at
