@@ -395,4 +395,4 @@ def test_pipeline(spark, odd):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
