@@ -4,15 +4,15 @@ Features are binned once at quantiles and packed in blocks of rows. A pass over
 have no split yet, gradients, hessians and rows per feature and bin; sums meet per (model, leaf, feature), where the best
 cut is found, so only one candidate per leaf and feature comes back. The tree then grows best leaf first as far as the
 candidates reach; a pass asks for all open leaves and for the children of the others, so a tree takes about as many
-passes as it is deep. Models that share the table (feature families, left-out typologies) share every pass. A table that
-Spark reads as one partition has nothing to exchange: its task makes the passes of several trees by itself.
+passes as it is deep. Models that share the table (feature families, left-out typologies) share every pass. A table of few
+rows has nothing to exchange: one task per model makes the passes of several trees by itself.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,7 @@ LEAVES = 31
 MIN_ROWS = 20  # rows of a leaf at least
 MIN_HESSIAN = 1e-3
 FLUSH = 25  # trees that are added to stored scores at a time
+ALONE_ROWS = 32_768  # rows up to which a pass takes less time than the jobs that would add it up
 
 
 @dataclass
@@ -203,16 +204,22 @@ def _rescored(batches: Iterator[pa.RecordBatch], base: np.ndarray, recent: list[
 Asked = list[tuple[int, Tree, dict[int, int]]]  # model, tree reaching down to the asked leaves, leaf to its number
 
 
-def _added_up(rows: Iterator[dict], base: np.ndarray, recent: list[list[Tree]], asked: Asked, bins_each: int) -> dict[tuple[int, int], np.ndarray]:
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], np.ndarray]]  # bins, y, use, places in a histogram, raw score of a model
+
+
+def _block(row: dict, base: np.ndarray, recent: list[list[Tree]], bins_each: int) -> Block:
+    bins, y, use, scores = _unpacked(row, base)
+    place = bins.astype(np.int64) + np.arange(bins.shape[1]) * bins_each
+    return bins, y, use, place, lambda k: scores[:, k] + sum((t.added(bins) for t in recent[k]), np.zeros(len(bins)))
+
+
+def _added_up(rows: Iterable[Block], asked: Asked, bins_each: int) -> dict[tuple[int, int], np.ndarray]:
     """Sums of gradients, hessians and rows by feature and bin per (model, leaf number)."""
     total: dict[tuple[int, int], np.ndarray] = {}
-    for row in rows:
-        bins, y, use, scores = _unpacked(row, base)
+    for bins, y, use, place, raw in rows:
         width = bins.shape[1]
-        place = bins.astype(np.int64) + np.arange(width) * bins_each
         for model, tree, numbers in asked:
-            raw = scores[:, model] + sum((t.added(bins) for t in recent[model]), np.zeros(len(bins)))
-            p = 1 / (1 + np.exp(-raw))
+            p = 1 / (1 + np.exp(-raw(model)))
             leaf = np.where(use[:, model] > 0, tree.leaves(bins), -1)
             for node, number in numbers.items():
                 rows_in = np.flatnonzero(leaf == node)
@@ -225,7 +232,7 @@ def _added_up(rows: Iterator[dict], base: np.ndarray, recent: list[list[Tree]],
 
 def _histograms(batches: Iterator[pa.RecordBatch], base: np.ndarray, recent: list[list[Tree]], asked: Asked, bins_each: int) -> Iterator[pa.RecordBatch]:
     """One task's sums per (model, leaf) and feature."""
-    total = _added_up((row for batch in batches for row in batch.to_pylist()), base, recent, asked, bins_each)
+    total = _added_up((_block(row, base, recent, bins_each) for batch in batches for row in batch.to_pylist()), asked, bins_each)
     rows = [dict(model=m, leaf=leaf, feature=f, sums=sums[:, f].tobytes()) for (m, leaf), sums in total.items() for f in range(sums.shape[1])]
     schema = pa.schema([("model", pa.int32()), ("leaf", pa.int32()), ("feature", pa.int32()), ("sums", pa.binary())])
     yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -283,27 +290,40 @@ def _grown(candidates: Callable[[Asked], dict[tuple[int, int], Candidate]], able
             grown[k].grow()
 
 
-def _locally(batches: Iterator[pa.RecordBatch], base: np.ndarray, able: list[int], allowed: list[set[int]], rounds: int, leaves: int, step: float,
+def _locally(batches: Iterator[pa.RecordBatch], base: np.ndarray, allowed: list[set[int]], rounds: int, leaves: int, step: float,
              l2: float, min_rows: int, bins_each: int) -> Iterator[pa.RecordBatch]:
-    """Rounds of a table of one partition: no sums have to be exchanged, so its task makes the passes itself."""
-    rows = [row for batch in batches for row in batch.to_pylist()]
-    recent: list[list[Tree]] = [[] for _ in base]
-
-    def candidates(asked: Asked) -> dict[tuple[int, int], Candidate]:
-        out = {}
-        for (model, number), sums in _added_up(rows, base, recent, asked, bins_each).items():
-            g, h, n = (float(x) for x in sums[:, 0].sum(axis=1))
-            best = Candidate(g, h, n)
-            for f, (gain, cut, *left) in enumerate(zip(*(x.tolist() for x in best_cuts(sums, l2, min_rows)))):
-                if gain > 0 and f in allowed[model]:
-                    best = _better(best, f, gain, cut, tuple(left))
-            out[model, number] = best
-        return out
-
-    for turn in range(rounds if rows else 0):
-        for k, tree in _grown(candidates, able, leaves, step, l2).items():
-            recent[k].append(tree)
-    told = [(k, i, json.dumps(vars(t))) for k, trees in enumerate(recent) for i, t in enumerate(trees)]
+    """Rounds of the models a task was dealt, over a table of few rows: no sums have to be exchanged, so it makes the passes itself."""
+    dealt: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            dealt.setdefault(row["model"], []).append(row)
+    told = []
+    for k, rows in sorted(dealt.items()):
+        blocks, scores = [], []
+        for row in sorted(rows, key=lambda row: row["number"]):
+            bins, y, use, place, raw = _block(row, base, [[] for _ in base], bins_each)
+            own = [raw(k), np.zeros(len(bins))]  # as of the last flush, and what was added since
+            blocks.append((bins, y, use, place, lambda _, own=own: own[0] + own[1]))
+            scores.append((bins, own))
+
+        def candidates(asked: Asked, blocks: list[Block] = blocks) -> dict[tuple[int, int], Candidate]:
+            out = {}
+            for (model, number), sums in _added_up(blocks, asked, bins_each).items():
+                g, h, n = (float(x) for x in sums[:, 0].sum(axis=1))
+                best = Candidate(g, h, n)
+                for f, (gain, cut, *left) in enumerate(zip(*(x.tolist() for x in best_cuts(sums, l2, min_rows)))):
+                    if gain > 0 and f in allowed[model]:
+                        best = _better(best, f, gain, cut, tuple(left))
+                out[model, number] = best
+            return out
+
+        for turn in range(rounds):
+            tree = _grown(candidates, [k], leaves, step, l2)[k]
+            for bins, own in scores:
+                own[1] = own[1] + tree.added(bins)
+                if (turn + 1) % FLUSH == 0:  # adds up in the order of a table that is written anew
+                    own[:] = [own[0] + own[1], np.zeros(len(bins))]
+            told.append((k, turn, json.dumps(vars(tree))))
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.int32()), pa.array([x[1] for x in told], pa.int32()),
                                       pa.array([x[2] for x in told], pa.string())], names=["model", "turn", "tree"])
 
@@ -322,6 +342,22 @@ class Boosted:
         bins = _binned(values, self.cuts)
         return 1 / (1 + np.exp(-sum((t.added(bins) for t in self.trees), np.full(len(bins), self.base))))
 
+    def probabilities_replaced(self, own: np.ndarray, given: np.ndarray, replaced: Sequence[int | None]) -> Iterator[np.ndarray]:
+        """Probabilities of ``own`` with one column after another taken from ``given`` (none for None)."""
+        bins, other = _binned(own, self.cuts), _binned(given, self.cuts)
+        plain = [t.added(bins) for t in self.trees]
+        asks: dict[int | None, set[int]] = {}
+        for i, t in enumerate(self.trees):
+            for f in set(t.feature):
+                asks.setdefault(f, set()).add(i)
+        for at in replaced:
+            changed = bins.copy()
+            if at is not None:
+                changed[:, at] = other[:, at]
+            again = asks.get(at, ())
+            raw = sum((t.added(changed) if i in again else plain[i] for i, t in enumerate(self.trees)), np.full(len(bins), self.base))
+            yield 1 / (1 + np.exp(-raw))
+
     def score(self, df: DataFrame, name: str = "probability") -> DataFrame:
         """Adds the probability of the suspicious class; a missing column or value counts as 0."""
         kept = [c for c in df.columns if c != name]
@@ -368,7 +404,7 @@ def fit_many(df: DataFrame, models: Sequence[tuple[Sequence[str], Column | None]
     folder = new_folder(spark, "boosting")
     count = len(models)
     table.mapInArrow(lambda b: _packed(b, cuts, count), BLOCK).write.parquet(f"{folder}/0")
-    counts = table.agg(*[F.sum(F.col("y") * F.col(f"u{k}")).alias(f"p{k}") for k in range(len(models))],
+    counts = table.agg(F.count("*").alias("rows"), *[F.sum(F.col("y") * F.col(f"u{k}")).alias(f"p{k}") for k in range(len(models))],
                        *[F.sum(f"u{k}").alias(f"n{k}") for k in range(len(models))]).first()
     base, able = np.zeros(len(models)), []
     for k in range(len(models)):
@@ -380,7 +416,7 @@ def fit_many(df: DataFrame, models: Sequence[tuple[Sequence[str], Column | None]
     allowed = [{columns.index(c) for c in cs} for cs, _ in models]
     bins_each = max([len(c) for c in cuts], default=0) + 1
     blocks = spark.read.schema(BLOCK).parquet(f"{folder}/0")
-    alone = blocks.rdd.getNumPartitions() == 1
+    alone = counts["rows"] <= ALONE_ROWS or blocks.rdd.getNumPartitions() == 1
     done: list[list[Tree]] = [[] for _ in models]
     recent: list[list[Tree]] = [[] for _ in models]
 
@@ -396,10 +432,11 @@ def fit_many(df: DataFrame, models: Sequence[tuple[Sequence[str], Column | None]
 
     turn = 0
     while able and turn < iterations:
-        rounds = min(FLUSH, iterations - turn)
+        rounds = iterations if alone else min(FLUSH, iterations - turn)
         if alone:
-            told = blocks.mapInArrow(lambda b, n=rounds: _locally(b, base, able, allowed, n, leaves, step, l2, min_rows, bins_each),
-                                     "model int, turn int, tree string").collect()
+            dealt = blocks.withColumn("number", F.xxhash64("bins", "y", "use")).withColumn("model", F.explode(F.array(*[F.lit(k) for k in able])))
+            told = dealt.repartitionByRange(len(able), "model").mapInArrow(
+                lambda b: _locally(b, base, allowed, iterations, leaves, step, l2, min_rows, bins_each), "model int, turn int, tree string").collect()
             for r in sorted(told, key=lambda r: (r.model, r.turn)):
                 recent[r.model].append(Tree(**json.loads(r.tree)))
         else:

@@ -92,3 +92,25 @@ def test_experiments_share_a_fit(spark):
     train, test = table(spark, 500, 6), table(spark, 300, 7)
     found = {r.typology: r for r in models.leave_one_out(train, test, ("x", "y"), columns=("a", "b"), iterations=8).collect()}
     assert set(found) == {"x", "y"} and all(0.6 < r.pr_auc <= 1 for r in found.values())
+
+
+def test_replaced_columns_score_as_whole_rows_do(spark):
+    columns = ("a", "b", "c", "d")
+    model = boosting.fit(table(spark).repartition(3), columns=columns, iterations=8)  # few rows of three partitions: no job per pass
+    own, _ = matrix(table(spark, 200, 11), columns)
+    given = own[::-1].copy()
+    for at, got in zip([0, 1, 2, 3, None], model.probabilities_replaced(own, given, [0, 1, 2, 3, None])):
+        values = own.copy()
+        if at is not None:
+            values[:, at] = given[:, at]
+        assert (got == model.probability(values)).all()
+
+
+def test_few_rows_of_several_partitions_give_the_trees_of_added_up_passes(spark, monkeypatch):
+    df = table(spark, 400, 9).repartition(3)
+    wanted = [(("a", "b"), None), (("b", "c"), ~F.col("typology").eqNullSafe("x"))]
+    near = boosting.fit_many(df, wanted, iterations=3, leaves=6)
+    monkeypatch.setattr(boosting, "ALONE_ROWS", 0)
+    far = boosting.fit_many(df, wanted, iterations=3, leaves=6)
+    for one, other in zip(near, far):
+        assert [t.feature for t in one.trees] == [t.feature for t in other.trees] and [t.cut for t in one.trees] == [t.cut for t in other.trees]
