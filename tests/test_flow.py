@@ -141,3 +141,22 @@ def test_chain_details_and_accounts(tx):
     got = {r.account_id: r.chain_length for r in fast.collect()}
     assert got["N0"] == 8 and got["N2"] == 10
     assert Decimal(details[0].amount) == Decimal("4998")
+
+
+def test_expired_receipts_leave_the_inbox_and_a_receipt_without_a_time_funds_nothing():
+    box = flow._Inbox(64, window=100)
+    for t in range(0, 5000, 50):
+        box.put(t, 10_000_000, f"R{t}", 1)
+    assert len(box.rest()) == 3  # before: 64, walked by every payment
+    box = flow._Inbox(64, window=100)
+    box.put(flow.NEVER, 10_000_000, "N", 5)
+    box.put(10, 10_000_000, "R", 1)
+    assert box.serve(20, 10_000_000, 100) == (1, "R", 10)
+    assert box.serve(flow.NEVER, 10_000_000, 100) == (0, None, None)
+
+
+def test_transfers_without_a_time_are_traced(spark, tx):
+    df = tx([("a", "b", 2000, 100), ("b", "c", 2000, 200), ("x", "b", 2000, 50), ("b", "d", 2000, 300)])
+    df = df.withColumn("t", F.when(F.col("sender_id") != "x", F.col("t")))
+    got = {(r.sender, r.account): (r.depth, r.funded_by is not None) for r in flow.trace(df, windows=(3600,)).collect()}
+    assert got == {("a", "b"): (1, False), ("b", "c"): (2, True), ("x", "b"): (1, False), ("b", "d"): (1, False)}
