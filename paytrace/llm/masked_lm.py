@@ -4,7 +4,7 @@ A small window network predicts every word from the words on both sides: the emb
 the left and right, one table per position, add up to a hidden layer; the output is a class of the
 vocabulary and a word of that class. The sum of the words' conditional log-probabilities scores a document.
 
-The vocabulary comes from the counts of all words of all documents. Training masks ``MASK`` of all positions
+The vocabulary comes from the counts of all words of all documents. Training masks every position (``MASK``)
 of all documents, spread over ``ROUNDS`` rounds: each task starts from the shared weights and makes steps over its own
 documents, and the weights are averaged by trained positions, in levels of a tree.
 """
@@ -28,7 +28,7 @@ RARE = 256  # ids that words outside the vocabulary share, by hash
 EDGE = SIZE  # id of the places before and behind a text
 SIDE = 2
 DIM = 16
-MASK = 0.1
+MASK = 1.0  # share of all positions that training masks; each in one round
 ROUNDS = 2
 STEP = 0.1
 BATCH = 1_024
