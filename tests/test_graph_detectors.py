@@ -252,3 +252,11 @@ def test_ego_networks(spark):
     assert graph.ego_nodes(pairs, targets, 3).count() == 4
     with pytest.raises(ValueError):
         graph.ego_nodes(pairs, targets, 9)
+
+
+def test_component_rounds_do_not_multiply_size_estimates(spark):
+    """Rounds that carry their plans' estimates along double the driver's planning time with each of them."""
+    way = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)], "src string, dst string")
+    found = topology.weak_components(way)
+    assert {(r.component, r.component_size) for r in found.collect()} == {("n0", 61)} and found.count() == 61
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 ** 40
