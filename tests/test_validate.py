@@ -137,3 +137,11 @@ def test_every_iso_form(spark):
     df = spark.createDataFrame([(t,) for t in texts], "timestamp string")
     got = {r.timestamp: r.s for r in df.select("timestamp", (F.unix_micros(validate.parse_time(df)) / 1e6).alias("s")).collect()}
     assert {t: got[t] for t in texts} == {t: read(t) for t in texts}
+
+
+def test_payload_reads_the_line_items_once(spark):
+    """Metrics read the payload several times; the join below it is not run again for each."""
+    from paytrace.plans import records
+
+    rows = records._payload(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and not [f for f in rows.inputFiles() if "lineitem" in f or "orders" in f]
