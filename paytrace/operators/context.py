@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.exprs import bucket, dbl
 from ..functions.order import running_before
-from ..sources.session import cut
+from ..sources.session import cut, tabled
 
 
 # -------------------------------------------------------------------------- account takeover
@@ -248,16 +248,25 @@ def hundi_funders(operators: DataFrame, funder_rows: DataFrame) -> DataFrame:
         F.round(dbl("amount"), 2).alias("amount"))
 
 
-def hundi(tx: DataFrame, tiers: DataFrame, gate: dict | None = None, gap: int = 3 * fixed.DAY, rule: dict | None = None) -> dict[str, DataFrame]:
-    """The whole detector: operators, funders, funder rows and cycle payouts."""
+def hundi_funding(tx: DataFrame, tiers: DataFrame, gate: dict | None = None, gap: int = 3 * fixed.DAY) -> dict[str, DataFrame]:
+    """The funding side of the detector: funder rows, gated accounts and their funding cycles."""
     inflows = informal_inflows(tx, tiers)
     funder_rows = funders(inflows)
     gated = funded_accounts(funder_rows, **(gate or {}))
-    cycles = funding_cycles(inflows, gated, gap)
-    paid = cycle_payouts(cycles, payouts(tx, tiers), funder_rows)
-    operators = hundi_operators(gated, paid, **(rule or {}))
-    return {"operators": operators, "funders": hundi_funders(operators, funder_rows), "funder_rows": funder_rows,
-            "payouts": paid, "cycles": cycles, "gated": gated}
+    return {"funder_rows": funder_rows, "gated": gated, "cycles": funding_cycles(inflows, gated, gap)}
+
+
+def hundi(tx: DataFrame, tiers: DataFrame, gate: dict | None = None, gap: int = 3 * fixed.DAY, rule: dict | None = None) -> dict[str, DataFrame]:
+    """The whole detector: operators, funders, funder rows and cycle payouts.
+
+    Gated accounts, payouts and operators are written: everything meets on the account, so in one plan the joins and all
+    aggregations over the payouts would hold their memory in the same tasks, and be computed once per reader.
+    """
+    found = hundi_funding(tx, tiers, gate, gap)
+    funder_rows, gated = found["funder_rows"], tabled(found["gated"])
+    paid = tabled(cycle_payouts(tabled(found["cycles"]), payouts(tx, tiers), funder_rows))
+    operators = tabled(hundi_operators(gated, paid, **(rule or {})))
+    return found | {"operators": operators, "funders": hundi_funders(operators, funder_rows), "payouts": paid, "gated": gated}
 
 
 def context_flags(alerts: DataFrame, collectors: DataFrame, operators: DataFrame, operator_funders: DataFrame) -> DataFrame:

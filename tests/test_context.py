@@ -125,3 +125,9 @@ def test_detector_quality_counts_lookalikes(spark):
                                   "account_id string, pattern string, is_true boolean, residents boolean")
     r = evaluate.detector_quality(flags, truth, ["residents"]).first()
     assert (r.true_cases, r.flagged_cases, r.precision, r.recall, r.false_positive_rate, r.residents, r.residents_flagged) == (2, 2, 0.5, 0.5, 0.5, 2, 1)
+
+
+def test_remittance_steps_are_tables(tx):
+    """In one plan the payouts and all aggregations over them share the memory of a task, and each reader runs them again."""
+    found = context.hundi(tx([("A", "B", 20000, 1000, "cash_in"), ("B", "C", 5000, 2000, "send_money")]), tx([]).selectExpr("sender_id AS account_id", "'personal' AS tier"))
+    assert all(found[step].inputFiles() for step in ("gated", "payouts", "operators"))
