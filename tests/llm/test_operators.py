@@ -367,6 +367,38 @@ def test_main_text(spark):
     assert extract.extract(empty).count() == 0
 
 
+def test_main_text_differences_every_page(spark):
+    """Lines that nothing marks: beside a small article card, past copies of the page, inside of a page with an article."""
+    menu = "<div>Start</div><div>All of our departments and their opening hours</div>"
+    card = "<article><p>Read next</p></article>"
+    long = "<article><h1>Title</h1><p>{}</p><p>The.</p></article>"
+    pages = [
+        _page("a/1", f"{menu}<p>What this page is about, in some words</p>{card}<p>Imprint</p>"),
+        _page("a/2", f"{menu}<p>Something else altogether, and not short</p>{card}<p>Imprint</p>"),
+        _page("b/1", "<div>Top</div><p>Copied</p>"), _page("b/2", "<div>Top</div><p>Copied</p>"), _page("b/3", "<div>Top</div><p>Copied</p>"),
+        _page("b/4", "<div>Top</div><p>Original</p>"),
+        _page("c/1", f"{menu}{long.format('One')}<div>{'x' * 60}</div>"), _page("c/2", f"{menu}{long.format('Two, longer than all that stands around it, by far')}"),
+    ]
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "What this page is about, in some words\n\nRead next"
+    assert got[1] == "Something else altogether, and not short\n\nRead next"
+    assert got[2] == got[3] == got[4] == "Copied" and got[5] == "Original"
+    assert got[6] == f"Title\n\nOne\n\nThe.\n\n{'x' * 60}"
+    assert got[7] == "Title\n\nTwo, longer than all that stands around it, by far\n\nThe."
+
+
+def test_shared_lines_in_halves():
+    draw = random.Random(8)
+    for _ in range(300):
+        a, b = ([draw.randrange(6) for _ in range(draw.randrange(40))] for _ in range(2))
+        whole, halved = extract.shared_lines(a, b), extract.shared_lines(a, b, cells=16)
+        assert len(whole) == len(halved)
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[i] for i in sorted(halved)))
+    assert len(extract.shared_lines(list(range(20_000)), list(range(5, 20_005)))) == 19_995
+
+
 def test_shared_lines_are_longest():
     draw = random.Random(7)
     for _ in range(400):
