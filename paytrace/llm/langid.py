@@ -97,7 +97,8 @@ def train(documents: DataFrame) -> Model:
                                       "lang string, lang_no int, rate double")
         draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
         sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(draw).select("lang_no", "text")
-        counts = sample.mapInArrow(_count, "lang_no int, gram long, n long").groupBy("gram", "lang_no").agg(F.sum("n").alias("n"))
+        counts = stored(sample.mapInArrow(_count, "lang_no int, gram long, n long").groupBy("gram", "lang_no").agg(F.sum("n").alias("n")),
+                        "grams")  # read three times
         total = counts.groupBy(F.col("lang_no").alias("no")).agg(F.sum("n").alias("total"))
         rated = counts.join(F.broadcast(total), F.col("no") == F.col("lang_no")).withColumn("f", F.col("n") / F.col("total"))
         most = rated.groupBy(F.col("gram").alias("g")).agg(F.max("f").alias("most"))
@@ -110,8 +111,10 @@ def train(documents: DataFrame) -> Model:
                            for i in range(PROBES)])
         bit = F.expr("shiftleft(1L, lang_no % 64)")
         rows = held.select(F.explode(probes).alias("cell"), F.expr("lang_no div 64").alias("word"), bit.alias("bit")).groupBy(
-            "cell", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        cells[rows["cell"].to_numpy(np.int64), rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+            "cell", "word").agg(F.bit_or("bit").alias("bits")).toArrow()  # whatever the session's settings, no object per row in the driver
+        for batch in rows.to_batches():
+            cell, word, bits = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            cells[cell, word] = bits.view(np.uint64)
     fill = np.array([np.mean((cells[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(langs))])
     default = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i), default=-1)
     return Model(langs, cells, fill ** PROBES, default, reach)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -412,6 +413,23 @@ def test_shared_lines_are_longest():
         assert all(any(x == y for y in rest) for x in (a[i] for i in sorted(found)))
 
 
+def test_language_training_is_lean_in_the_driver(spark):
+    """Cells reach the driver as columns, also in a session without Arrow for pandas."""
+    draw = np.random.default_rng(9)
+    texts = [(i, bytes(draw.integers(97, 123, 20_000, np.uint8)).decode(), "ab"[i % 2]) for i in range(8)]
+    docs = spark.createDataFrame([(i + 100 * k, *row) for i, *row in texts for k in range(12)], "doc_id long, text string, lang string")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        model = langid.train(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    assert model.langs == ["a", "b"] and (model.cells != 0).sum() > 100_000
+    assert peak < 64e6
+
+
 def test_pipeline(spark, odd):
     """The stages of the pipeline on odd rows, which every operator above also meets alone, and run() on the sample."""
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "language", "near_duplicates", "source_mix", "token_ids"]
