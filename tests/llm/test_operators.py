@@ -413,6 +413,51 @@ def test_shared_lines_are_longest():
         assert all(any(x == y for y in rest) for x in (a[i] for i in sorted(found)))
 
 
+def test_train_step_equals_its_gradient_class_by_class():
+    """One plain pass per position, over words of a few classes only and over all."""
+    draw = np.random.default_rng(10)
+    words = masked_lm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full(masked_lm.SIZE, 1 / masked_lm.SIZE))
+    for top in (3, masked_lm.SIZE):
+        w = masked_lm.start_weights(words)
+        w["word"] += draw.normal(0, 0.1, w["word"].shape).astype(np.float32)
+        w["cls"] += draw.normal(0, 0.1, w["cls"].shape).astype(np.float32)
+        past = {k: np.full(v.shape, 1e-2, np.float32) for k, v in w.items()}
+        ids, context = draw.integers(0, top, 90), draw.integers(0, 9, (90, 2 * masked_lm.SIDE)).astype(np.int32)
+        grads = {k: np.zeros(v.shape) for k, v in w.items()}
+        for i, around in zip(ids, context):
+            c, k = i % masked_lm.CLASSES, i // masked_lm.CLASSES
+            h = np.tanh(w["bend"] + sum(w["look"][p, x] for p, x in enumerate(around)).astype(float))
+            top_, low = (np.exp(logits - logits.max()) for logits in (w["cls"] @ h + w["cls0"], w["word"][c] @ h + w["word0"][c]))
+            top_, low = top_ / top_.sum(), low / low.sum()
+            top_[c] -= 1
+            low[k] -= 1
+            back = (top_ @ w["cls"] + low @ w["word"][c]) * (1 - h * h)
+            grads["cls"] += np.outer(top_, h)
+            grads["cls0"] += top_
+            grads["word"][c] += np.outer(low, h)
+            grads["word0"][c] += low
+            grads["bend"] += back
+            for p, x in enumerate(around):
+                grads["look"][p, x] += back
+        want = {k: w[k] - masked_lm.STEP * g / np.sqrt(1e-2 + g * g) for k, g in grads.items()}
+        masked_lm.train_step(w, past, ids, context)
+        for k, g in grads.items():
+            assert np.allclose(w[k], want[k], atol=1e-4), k
+            assert np.allclose(past[k], 1e-2 + g * g, rtol=1e-3, atol=1e-5), k
+        calls = []
+
+        class Counted(np.ndarray):
+            def __array_ufunc__(self, ufunc, method, *given, **options):
+                calls.append(ufunc)
+                plain = [x.view(np.ndarray) if isinstance(x, Counted) else x for x in given]
+                if "out" in options:
+                    options["out"] = tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in options["out"])
+                return getattr(ufunc, method)(*plain, **options)
+
+        masked_lm.train_step({k: v.view(Counted) for k, v in w.items()}, {k: v.view(Counted) for k, v in past.items()}, ids, context)
+        assert len(calls) < 100  # no arithmetic on whole weights class by class
+
+
 def test_language_training_is_lean_in_the_driver(spark):
     """Cells reach the driver as columns, also in a session without Arrow for pandas."""
     draw = np.random.default_rng(9)
