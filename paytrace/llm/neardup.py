@@ -11,7 +11,7 @@ nobody in the lists of the small sketch are done. The others are looked up once
 ``WIDE`` values, for most of them the whole set, which also tells how much a document can share with
 anybody: copies with too many edits of their own leave the lists of their group. Inside a list only
 comparisons with a hub are made: first with its most typical member, then with members that are not
-connected to the rest yet, more of them each round.
+connected to the rest yet, more of them each round; members that meet in many long lists are compared in one.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ K = 32
 WIDE = 1_024
 CHANCE = 1e-7  # that two sets at the limit share fewer of the retained values of their union than is asked for
 LONG_LIST = 2_000  # comparisons left in a list from which what its members share with the first hub is counted
+SET_OF_LISTS = 128  # shingles of the largest member for each set into which its long lists are dealt
 PAIRS_PER_ROW = 32  # comparisons per list row up to which the rest is compared in one round
 
 
@@ -152,17 +153,19 @@ def _may_share(n: Column, met: Column, other_n: Column, limit: Limit) -> Column:
         F.least(n, other_n) * 100 >= F.greatest(n, other_n) * limit.percent)
 
 
-def _compare(rows: DataFrame, hubs: DataFrame, allowed: Column, limit: Limit) -> DataFrame:
-    """Distinct pairs (a, b) of list members with the hubs of their list, where both can share enough.
+def _meetings(rows: DataFrame, hubs: DataFrame, allowed: Column, limit: Limit) -> DataFrame:
+    """Pairs (a, b) of list members with the hubs of their list, where both can share enough.
 
-    Two sets share at most what each has of the list's first hub, and outside of it what others have too.
+    Two sets share at most what each has of the list's first hub, and outside of it what others have too. Two
+    members that meet in several long lists are compared in the first of them only.
     """
     fits = _may_share(F.col("n"), F.col("met"), F.col("hn"), limit) & _may_share(F.col("hn"), F.col("hmet"), F.col("n"), limit)
     most = F.least("of_first", "hof_first") + F.least(F.col("met") - F.col("of_first"), F.col("hmet") - F.col("hof_first"))
     known = (F.col("n") <= limit.small) & (F.col("hn") <= limit.small) & F.col("of_first").isNotNull() & F.col("hof_first").isNotNull()
     fits &= ~known | (most * (100 + limit.percent) >= (F.col("n") + F.col("hn")) * limit.percent)
+    fits &= F.col("own").isNull() | (F.get(F.array_intersect("own", "hown"), F.lit(0)) == F.col("value"))
     return rows.join(hubs, (F.col("v") == F.col("value")) & (F.col("id") != F.col("hid")) & allowed & fits).select(
-        F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
+        F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
@@ -221,6 +224,23 @@ def _with_first_hub(left: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(shared, ["id", "first"], "left")
 
 
+def _with_own_lists(left: DataFrame) -> DataFrame:
+    """Adds ``own``: the long lists of a member, those with fewest strays first; null in short lists.
+
+    Copies meet in as many lists as they share passages. Every two of them with unlike labels are compared in each list that has
+    both, so one of these lists is enough: the first. Lists are dealt into sets, more of them where members are large, and each
+    set has a first list of its own: what a row holds stays short.
+    """
+    long = left.where(F.col("strays") * F.col("members") > LONG_LIST)
+    largest = long.groupBy(F.col("value").alias("v")).agg(F.max("n").alias("largest"))
+    sets = F.ceil(F.least("largest", F.lit(WIDE)) / SET_OF_LISTS)
+    named = left.join(largest, F.col("v") == F.col("value"), "left").withColumn(
+        "part", F.when(F.col("largest").isNotNull(), sets * WIDE + F.pmod("value", sets))).drop("v", "largest")
+    own = named.where("part IS NOT NULL").groupBy("id", "part").agg(
+        F.sort_array(F.collect_list(F.struct("strays", "value"))).alias("each"))
+    return named.join(own.select("id", "part", F.col("each.value").alias("own")), ["id", "part"], "left").drop("part")
+
+
 def links(nodes: DataFrame, texts: DataFrame, limit: Limit = Limit()) -> DataFrame:
     """Verified pairs (a, b) that connect all nodes that are connected; not every pair inside a component.
 
@@ -247,7 +267,7 @@ def links(nodes: DataFrame, texts: DataFrame, limit: Limit = Limit()) -> DataFra
     found = stored(_verified(pairs, nodes, sets, limit), "links")
     labels = _relabel(None, found)
     left = stored(_open_lists(starred.where("id <> hid"), labels), "open")
-    left = stored(_with_first_hub(left, sets), "open")
+    left = stored(_with_own_lists(stored(_with_first_hub(left, sets), "open")), "open")
     done, hubs_a_list = 0, 4
     while True:
         rows = left.where(F.col("strays") > done)  # a list is finished when all its strays have been hubs
@@ -260,10 +280,10 @@ def links(nodes: DataFrame, texts: DataFrame, limit: Limit = Limit()) -> DataFra
         start, until = F.lit(float(done)) / F.col("strays"), F.lit(1.0) if rest_now else F.lit(float(hubs_a_list)) / F.col("strays")
         hubs = rows.where(F.col("stray") & (F.col("u") >= start) & (F.col("u") < until)).select(
             F.col("value").alias("v"), F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("met").alias("hmet"),
-            F.col("of_first").alias("hof_first"),
+            F.col("of_first").alias("hof_first"), F.col("own").alias("hown"),
             F.col("u").alias("hu"), F.col("label").alias("hl"))
         later = ~F.col("stray") | (F.col("u") > F.col("hu")) | ((F.col("u") == F.col("hu")) & (F.col("id") > F.col("hid")))
-        new = stored(_verified(_compare(rows, hubs, later & (F.col("label") != F.col("hl")), limit), nodes, sets, limit), "links")
+        new = stored(_verified(_meetings(rows, hubs, later & (F.col("label") != F.col("hl")), limit).distinct(), nodes, sets, limit), "links")
         found = found.unionByName(new)
         if rest_now:
             return found

@@ -80,6 +80,25 @@ def test_lists_of_unlike_members_end(docs, monkeypatch):
     assert set(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == groups_of(rows)
 
 
+def test_members_of_many_long_lists_meet_once(spark, monkeypatch):
+    """Two members are compared in the first of their long lists, in all rounds together; a short list loses nothing."""
+    from paytrace.llm import neardup
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "LONG_LIST", 10)
+    lists = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4, 5], 4: [2, 5], 5: [2, 5]}
+    rows = [(value, i, 100, 90, 0, i / 10, True, len(ids), len(ids), None) for value, ids in lists.items() for i in ids]
+    left = neardup._with_own_lists(spark.createDataFrame(
+        rows, "value long, id long, n long, met int, first long, u double, stray boolean, strays long, members long, of_first int"))
+    assert left.count() == len(rows)
+    assert {tuple(r.own) for r in left.where("value <= 3 AND id < 5").collect()} == {(1, 2, 3)}
+    assert left.where("value > 3 AND own IS NOT NULL").isEmpty()
+    hubs = left.select(F.col("value").alias("v"), F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("met").alias("hmet"),
+                       F.col("of_first").alias("hof_first"), F.col("own").alias("hown"))
+    met = [tuple(r) for r in neardup._meetings(left, hubs, F.col("id") < F.col("hid"), neardup.Limit(80)).collect()]
+    assert sorted(met) == sorted([*((a, b) for a in range(1, 6) for b in range(a + 1, 6)), (2, 5), (2, 5)])
+
+
 def test_near_duplicates_about_as_wide_as_the_sketch(docs):
     draw, rows = random.Random(8), []
     for n in (740, 780, 830, 871, 900, 925, 952, 1_000, 1_060, 1_100):
