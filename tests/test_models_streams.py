@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -86,6 +87,26 @@ def test_takeover_state_expires(spark, tmp_path):
     assert found == [[("S", 44 * day, 18000.0, 2)], []]
 
 
+def test_parts_of_the_stream_are_several_files_each(spark, tmp_path, monkeypatch):
+    """A batch is one part, in time order, and no part is left to one task; parts with too few rows are filled up with empty files."""
+    monkeypatch.setattr(stream, "ROWS_A_FILE", 10)
+    start = datetime(2024, 1, 1)
+    for name, hours in (("spread", range(120)), ("one_time", [7] * 100 + [90] * 2)):
+        rows = [(k, start + timedelta(hours=h), k % 9, "click", 5.0 + k, '{"k": 3}') for k, h in enumerate(hours)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+            str(tmp_path / name / "events.parquet"))
+        got, files = [], []
+
+        def batch(df, number):
+            got.append(sorted(r.t for r in df.select("t").collect()))
+            files.append(df.select("transaction_id", F.input_file_name().alias("f")).select("f").distinct().count())
+
+        stream._run(stream.read_events(spark, str(tmp_path / name), files=3), batch, str(tmp_path / f"run_{name}"))
+        want = views.tx_events(spark, str(tmp_path / name))
+        assert len(got) <= 3 and sum(got, []) == sorted(r.t for r in want.select("t").collect())
+        assert max(files) == 4
+
+
 def test_daily_store_equals_the_batch_features_and_replaces_repeated_batches(spark, tmp_path):
     tx = views.tx_events(spark, SF)
     kept = stream.DailyStore(spark, str(tmp_path / "store"))
