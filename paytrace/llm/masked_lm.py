@@ -111,10 +111,10 @@ def start_weights(words: Words, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    total = w["bend"] + w["look"][0][context[:, 0]]
+    total = w["bend"] + w["look"][0].take(context[:, 0], axis=0)
     for i in range(1, context.shape[1]):
-        total = total + w["look"][i][context[:, i]]
-    return np.tanh(total)
+        total += w["look"][i].take(context[:, i], axis=0)
+    return np.tanh(total, out=total)
 
 
 def _exp(x: np.ndarray) -> np.ndarray:
@@ -124,6 +124,13 @@ def _exp(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
+def _chances(h: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Chances of a softmax, not yet divided by their sums."""
+    logits = h @ table.T
+    logits += bias
+    return _exp(logits)
+
+
 def _over(x: np.ndarray) -> np.ndarray:
     """Sum of each row; a product is faster here than ``sum``."""
     return x @ np.ones(x.shape[1], np.float32)
@@ -143,10 +150,10 @@ def log_chances(w: dict[str, np.ndarray], ids: np.ndarray, context: np.ndarray)
     for at in range(0, len(ids), PART):
         part = slice(at, at + PART)
         h, cls, nth = _hidden(w, context[part]), ids[part] % CLASSES, ids[part] // CLASSES
-        chance = _exp(h @ w["cls"].T + w["cls0"])
+        chance = _chances(h, w["cls"], w["cls0"])
         got = chance[np.arange(len(h)), cls] / _over(chance)
         for c, rows in _by_class(cls):
-            chance = _exp(h[rows] @ w["word"][c].T + w["word0"][c])
+            chance = _chances(h.take(rows, axis=0), w["word"][c], w["word0"][c])
             got[rows] *= chance[np.arange(len(rows)), nth[rows]] / _over(chance)
         out[part] = np.log(np.maximum(got, 1e-30))
     return out.astype(np.float64)
@@ -163,7 +170,7 @@ def train_step(w: dict[str, np.ndarray], past: dict[str, np.ndarray], ids: np.nd
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
     met, edge = np.flatnonzero(np.diff(ends)), ends.tolist()
     h = _hidden(w, context)
-    top = _exp(h @ w["cls"].T + w["cls0"])
+    top = _chances(h, w["cls"], w["cls0"])
     top /= _over(top)[:, None]
     top[each, cls] -= 1
     back = top @ w["cls"]
@@ -172,7 +179,7 @@ def train_step(w: dict[str, np.ndarray], past: dict[str, np.ndarray], ids: np.nd
     parts = [(w["word"][c], h[edge[c]:edge[c + 1]], low[edge[c]:edge[c + 1]], c) for c in met.tolist()]
     for word, mine, chance, _ in parts:
         np.dot(mine, word.T, out=chance)
-    low += w["word0"][cls]
+    low += w["word0"].take(cls, axis=0)
     _exp(low)
     low /= _over(low)[:, None]
     low[each, nth] -= 1
@@ -196,15 +203,24 @@ def train_step(w: dict[str, np.ndarray], past: dict[str, np.ndarray], ids: np.nd
     move("cls", top.T @ h)
     move("cls0", top.sum(axis=0))
     move("bend", back.sum(axis=0))
-    for i in range(context.shape[1]):
-        order = np.argsort(context[:, i].astype(np.uint16), kind="stable")
-        seen = context[order, i]
-        start = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        used = seen[start]
-        grad = np.add.reduceat(back[order], start, axis=0)
-        squares = past["look"][i, used] + grad * grad
-        past["look"][i, used] = squares
-        w["look"][i, used] -= STEP * grad / np.sqrt(squares)
+    # the tables of all positions lie one behind the other, so that one sort finds the rows of every word in each of them
+    look, held = (x["look"].reshape(-1, x["look"].shape[2]) for x in (w, past))
+    place = (context + np.arange(context.shape[1]) * w["look"].shape[1]).T.ravel()
+    order = np.argsort(place.astype(np.uint16), kind="stable")
+    seen = place[order]
+    start = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    used, count = seen[start], np.diff(start, append=len(seen))
+    each = back.take(order % len(ids), axis=0)
+    grad, several = each.take(start, axis=0), count > 1
+    if several.any():  # most words occur once and need no sum
+        size = count[several]
+        grad[several] = np.add.reduceat(each[np.repeat(several, count)], np.cumsum(size) - size, axis=0)
+    squares = held.take(used, axis=0)
+    squares += grad * grad
+    held[used] = squares
+    grad *= STEP
+    grad /= np.sqrt(squares, out=squares)
+    look[used] = look.take(used, axis=0) - grad
 
 
 def _packed(w: dict[str, np.ndarray]) -> np.ndarray:

@@ -477,6 +477,26 @@ def test_train_step_equals_its_gradient_class_by_class():
         assert len(calls) < 100  # no arithmetic on whole weights class by class
 
 
+def test_one_sort_finds_the_words_of_all_tables(monkeypatch):
+    """The tables of all positions are updated together, words that occur once and words that occur often."""
+    draw = np.random.default_rng(3)
+    words = masked_lm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full(masked_lm.SIZE, 1 / masked_lm.SIZE))
+    w = masked_lm.start_weights(words)
+    w["word"] += draw.normal(0, 0.1, w["word"].shape).astype(np.float32)
+    past = {k: np.full(v.shape, 1e-2, np.float32) for k, v in w.items()}
+    before, held = w["look"].copy(), past["look"].copy()
+    ids = draw.integers(0, masked_lm.SIZE, 60)
+    context = np.where(draw.random((60, 2 * masked_lm.SIDE)) < 0.5, 7, draw.integers(0, masked_lm.SIZE + 1, (60, 2 * masked_lm.SIDE))).astype(np.int32)
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *given, **options: sorts.append(1) or plain(*given, **options))
+    masked_lm.train_step(w, past, ids, context)
+    assert len(sorts) == 2  # by class, and by table and word
+    for p in range(2 * masked_lm.SIDE):
+        moved = np.flatnonzero((w["look"][p] != before[p]).any(axis=1))
+        assert set(moved) == set(context[:, p])
+        assert set(np.flatnonzero((past["look"][p] != held[p]).any(axis=1))) == set(context[:, p])
+
+
 def test_language_training_is_lean_in_the_driver(spark):
     """Cells reach the driver as columns, also in a session without Arrow for pandas."""
     draw = np.random.default_rng(9)
