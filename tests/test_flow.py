@@ -160,3 +160,34 @@ def test_transfers_without_a_time_are_traced(spark, tx):
     df = df.withColumn("t", F.when(F.col("sender_id") != "x", F.col("t")))
     got = {(r.sender, r.account): (r.depth, r.funded_by is not None) for r in flow.trace(df, windows=(3600,)).collect()}
     assert got == {("a", "b"): (1, False), ("b", "c"): (2, True), ("x", "b"): (1, False), ("b", "d"): (1, False)}
+
+
+def test_no_receipt_inside_the_window_is_dropped(tx):
+    """90 receipts wait, and the only one that fits came first; before, an inbox held 64."""
+    rows = [("A", "B", 5000, 0)] + [("A", "B", 90000 + i, 1 + i) for i in range(89)] + [("B", "C", 5000, 600)]
+    funded = flow.trace(tx(rows), windows=(3600,)).where("funded_by IS NOT NULL").collect()
+    assert [(r.tx, r.funded_by, r.wait) for r in funded] == [("T00090", "T00000", 600)]
+
+
+@pytest.mark.parametrize("most", [0, 3, 10**9])
+def test_many_receipts_of_an_account_are_served_from_a_tree_with_the_same_result(spark, monkeypatch, most):
+    """Whether pairs are listed or receipts wait in a tree, every payment gets what the global replay gives it."""
+    def step(windows, min_units):
+        monkeypatch.setattr(flow, "PAIRS_A_PAYMENT", most)
+        monkeypatch.setattr(flow, "PAIRS_AT_ONCE", 50)
+        return list(flow._candidates(windows, min_units)(iter([batch])))
+
+    rows = sorted((t, a, b, amount * 10000, f"T{i}") for i, (a, b, amount, t) in enumerate(random_rows(11, 5, 700, 9000, hot=0.3)))
+    want = replay([(t, a, b, u / 10000, k) for t, a, b, u, k in rows], 2500, max_inbox=None)
+    used = [(a, row[0], row[3], i, i, a == row[1]) for i, row in enumerate(rows) for a in row[1:3]]
+    batch = flow.pa.RecordBatch.from_arrays([flow.pa.array(c) for c in zip(*used)], names=["account", "t", "units", "rank", "same", "pays"])
+    told = flow.pa.Table.from_batches(step([2500], 10_000_000)).sort_by([("rank", "ascending"), ("kind", "ascending")]).combine_chunks()
+    got = [r for b in flow._served(len(rows))(told.to_batches()) for r in b.to_pylist()]
+    assert {rows[r["p"]][4]: (r["depth"], rows[r["r"]][4]) for r in got} == {k: v[:2] for k, v in want.items() if v[1]}
+
+
+def test_copies_of_a_transfer_bring_what_the_last_of_them_brought(spark, tx):
+    df = tx([("A", "B", 5000, 0), ("B", "C", 5000, 100), ("C", "D", 5000, 200), ("C", "E", 5000, 300)])
+    twice = df.unionByName(df.where("sender_id = 'B'"))
+    got = {(r.tx, r.depth) for r in flow.trace(twice, windows=(3600,)).where("funded_by IS NOT NULL").collect()}
+    assert got == {("T00001", 2), ("T00002", 2), ("T00003", 2)}
