@@ -27,11 +27,13 @@ from ..sources.session import drop_folder, new_folder
 
 BINS = 255
 BLOCK_ROWS = 4_096
+BLOCKS_MERGED = 16
+SUMS_ROWS = 32_768  # rows up to which every leaf's sums are added up from its rows
 LEAVES = 31
 MIN_ROWS = 20  # rows of a leaf at least
 MIN_HESSIAN = 1e-3
 FLUSH = 25  # trees that are added to stored scores at a time
-ALONE_ROWS = 32_768  # rows up to which a pass takes less time than the jobs that would add it up
+ALONE_ROWS = 1_000_000  # rows up to which a pass takes less time than the jobs that would add it up (two bytes a row and feature in the task)
 
 
 @dataclass
@@ -55,14 +57,16 @@ class Tree:
         """The leaf each row of ``bins`` ends in."""
         feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
         node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        live = np.arange(len(bins))
         while True:
-            f = feature[node]
-            open_ = f >= 0
-            if not open_.any():
+            at = node[live]
+            f = feature[at]
+            inner = f >= 0
+            if not inner.all():
+                live, at, f = live[inner], at[inner], f[inner]
+            if not len(live):
                 return node
-            low = bins[rows, np.maximum(f, 0)] <= cut[node]
-            node = np.where(open_, np.where(low, left[node], right[node]), node)
+            node[live] = np.where(bins[live, f] <= cut[at], left[at], right[at])
 
     def added(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaves(bins)]
@@ -204,35 +208,38 @@ def _rescored(batches: Iterator[pa.RecordBatch], base: np.ndarray, recent: list[
 Asked = list[tuple[int, Tree, dict[int, int]]]  # model, tree reaching down to the asked leaves, leaf to its number
 
 
-Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], np.ndarray]]  # bins, y, use, places in a histogram, raw score of a model
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], np.ndarray]]  # bins, y, use, bins by feature, raw score of a model
 
 
-def _block(row: dict, base: np.ndarray, recent: list[list[Tree]], bins_each: int) -> Block:
+def _block(row: dict, base: np.ndarray, recent: list[list[Tree]]) -> Block:
     bins, y, use, scores = _unpacked(row, base)
-    place = bins.astype(np.int64) + np.arange(bins.shape[1]) * bins_each
-    return bins, y, use, place, lambda k: scores[:, k] + sum((t.added(bins) for t in recent[k]), np.zeros(len(bins)))
+    return bins, y, use, np.ascontiguousarray(bins.T), lambda k: scores[:, k] + sum((t.added(bins) for t in recent[k]), np.zeros(len(bins)))
 
 
 def _added_up(rows: Iterable[Block], asked: Asked, bins_each: int) -> dict[tuple[int, int], np.ndarray]:
     """Sums of gradients, hessians and rows by feature and bin per (model, leaf number)."""
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for bins, y, use, place, raw in rows:
-        width = bins.shape[1]
+    total: dict[int, np.ndarray] = {}
+    for bins, y, use, features, raw in rows:
         for model, tree, numbers in asked:
             p = 1 / (1 + np.exp(-raw(model)))
-            leaf = np.where(use[:, model] > 0, tree.leaves(bins), -1)
-            for node, number in numbers.items():
-                rows_in = np.flatnonzero(leaf == node)
-                sums = total.setdefault((model, number), np.zeros((3, width * bins_each)))
-                flat = place[rows_in].ravel()
-                for i, weight in enumerate(((p - y)[rows_in], (p * (1 - p))[rows_in], None)):
-                    sums[i] += np.bincount(flat, None if weight is None else np.repeat(weight, width), width * bins_each)
-    return {key: sums.reshape(3, -1, bins_each) for key, sums in total.items()}
+            place = np.full(len(tree.feature) + 1, -1)  # the last one is that of rows the model leaves out
+            place[list(numbers)] = range(len(numbers))
+            leaf = place[np.where(use[:, model] > 0, tree.leaves(bins), -1)]
+            rows_in = np.flatnonzero(leaf >= 0)
+            at, p, y_in, size = leaf[rows_in] * bins_each, p[rows_in], y[rows_in], len(numbers) * bins_each
+            g, h = p - y_in, p * (1 - p)
+            sums = total.setdefault(model, np.zeros((3, len(features), size)))
+            for f, column in enumerate(features):
+                key = at + column[rows_in]
+                for i, weight in enumerate((g, h, None)):
+                    sums[i, f] += np.bincount(key, weight, size)
+    return {(model, number): np.ascontiguousarray(total[model].reshape(3, -1, len(numbers), bins_each)[:, :, i])
+            for model, _, numbers in asked if model in total for i, number in enumerate(numbers.values())}
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], base: np.ndarray, recent: list[list[Tree]], asked: Asked, bins_each: int) -> Iterator[pa.RecordBatch]:
     """One task's sums per (model, leaf) and feature."""
-    total = _added_up((_block(row, base, recent, bins_each) for batch in batches for row in batch.to_pylist()), asked, bins_each)
+    total = _added_up((_block(row, base, recent) for batch in batches for row in batch.to_pylist()), asked, bins_each)
     rows = [dict(model=m, leaf=leaf, feature=f, sums=sums[:, f].tobytes()) for (m, leaf), sums in total.items() for f in range(sums.shape[1])]
     schema = pa.schema([("model", pa.int32()), ("leaf", pa.int32()), ("feature", pa.int32()), ("sums", pa.binary())])
     yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -290,6 +297,41 @@ def _grown(candidates: Callable[[Asked], dict[tuple[int, int], Candidate]], able
             grown[k].grow()
 
 
+def _merged(rows: list[dict]) -> dict:
+    """Several blocks without scores as one, so that fewer and longer arrays are added up."""
+    return {"rows": sum(row["rows"] for row in rows)} | {c: b"".join(row[c] for row in rows) for c in ("bins", "y", "use", "scores")}
+
+
+class _SmallerChild:
+    """Sums as of ``_added_up`` for one model: of two children asked for the smaller is added up, the other is what their parent has more."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, ...], np.ndarray] = {}
+
+    def __call__(self, rows: Iterable[Block], asked: Asked, bins_each: int) -> dict[tuple[int, int], np.ndarray]:
+        (model, tree, numbers), = asked
+        if len(tree.feature) == 1:  # a new tree
+            self.known.clear()
+        paths, rest, todo = {0: ()}, [], dict(numbers)
+        for n, feature in enumerate(tree.feature):
+            if feature < 0:
+                continue
+            a, b = tree.left[n], tree.right[n]
+            paths |= {a: (*paths[n], 0), b: (*paths[n], 1)}
+            whole = self.known.get(paths[n])
+            if a in numbers and b in numbers and whole is not None:
+                left = whole[2, feature, :tree.cut[n] + 1].sum()
+                big, small = (a, b) if 2 * left > whole[2, feature].sum() else (b, a)
+                rest.append((big, small, whole))
+                del todo[big]
+        added = _added_up(rows, [(model, tree, {node: i for i, node in enumerate(todo)})], bins_each)
+        sums = {node: added[model, i] for i, node in enumerate(todo)}
+        for big, small, whole in rest:
+            sums[big] = np.where(whole[2] == sums[small][2], 0.0, whole - sums[small])  # nothing is left in a bin without rows
+        self.known |= {paths[node]: found for node, found in sums.items()}
+        return {(model, number): sums[node] for node, number in numbers.items()}
+
+
 def _locally(batches: Iterator[pa.RecordBatch], base: np.ndarray, allowed: list[set[int]], rounds: int, leaves: int, step: float,
              l2: float, min_rows: int, bins_each: int) -> Iterator[pa.RecordBatch]:
     """Rounds of the models a task was dealt, over a table of few rows: no sums have to be exchanged, so it makes the passes itself."""
@@ -300,15 +342,20 @@ def _locally(batches: Iterator[pa.RecordBatch], base: np.ndarray, allowed: list[
     told = []
     for k, rows in sorted(dealt.items()):
         blocks, scores = [], []
-        for row in sorted(rows, key=lambda row: row["number"]):
-            bins, y, use, place, raw = _block(row, base, [[] for _ in base], bins_each)
+        rows.sort(key=lambda row: row["number"])
+        if sum(row["rows"] for row in rows) > SUMS_ROWS:
+            rows = [_merged(rows[i:i + BLOCKS_MERGED]) for i in range(0, len(rows), BLOCKS_MERGED)]
+        for row in rows:
+            bins, y, use, features, raw = _block(row, base, [[] for _ in base])
             own = [raw(k), np.zeros(len(bins))]  # as of the last flush, and what was added since
-            blocks.append((bins, y, use, place, lambda _, own=own: own[0] + own[1]))
+            blocks.append((bins, y, use, features, lambda _, own=own: own[0] + own[1]))
             scores.append((bins, own))
 
-        def candidates(asked: Asked, blocks: list[Block] = blocks) -> dict[tuple[int, int], Candidate]:
+        add = _added_up if sum(len(block[0]) for block in blocks) <= SUMS_ROWS else _SmallerChild()
+
+        def candidates(asked: Asked, blocks: list[Block] = blocks, add=add) -> dict[tuple[int, int], Candidate]:
             out = {}
-            for (model, number), sums in _added_up(blocks, asked, bins_each).items():
+            for (model, number), sums in add(blocks, asked, bins_each).items():
                 g, h, n = (float(x) for x in sums[:, 0].sum(axis=1))
                 best = Candidate(g, h, n)
                 for f, (gain, cut, *left) in enumerate(zip(*(x.tolist() for x in best_cuts(sums, l2, min_rows)))):

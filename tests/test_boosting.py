@@ -114,3 +114,34 @@ def test_few_rows_of_several_partitions_give_the_trees_of_added_up_passes(spark,
     far = boosting.fit_many(df, wanted, iterations=3, leaves=6)
     for one, other in zip(near, far):
         assert [t.feature for t in one.trees] == [t.feature for t in other.trees] and [t.cut for t in one.trees] == [t.cut for t in other.trees]
+
+
+def test_a_table_of_more_than_32768_rows_takes_few_jobs(spark):
+    """Before, every level of every tree was a job: 300 trees over 54,000 accounts took over an hour."""
+    rows = spark.range(40_000).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).alias(f"c{i}") for i in range(3)])
+    rows = rows.withColumn("label", (F.col("c0") + F.col("c1") * F.col("c2") > 0.7).cast("int")).repartition(4)
+    spark.sparkContext.setJobGroup("boosting of 40,000 rows", "")
+    model = boosting.fit(rows, columns=("c0", "c1", "c2"), iterations=12)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting of 40,000 rows"))
+    spark.sparkContext.setJobGroup("", "")
+    scored = model.score(rows).select(((F.col("probability") > 0.5) == (F.col("label") == 1)).cast("int").alias("right"))
+    assert len(model.trees) == 12 and jobs < 12 and scored.agg(F.avg("right")).first()[0] > 0.9
+
+
+def test_sums_of_the_larger_child_from_its_parent_give_the_same_trees(spark, monkeypatch):
+    rows = spark.range(3_000).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(300)) / 300).alias(f"c{i}") for i in range(4)])
+    rows = rows.withColumn("label", (F.col("c0") + F.col("c1") * F.col("c2") > 0.7).cast("int")).coalesce(1)
+    found = []
+    for limit in (10**9, 0):
+        # the limit is read where the trees are grown, in this process
+        monkeypatch.setattr(boosting, "SUMS_ROWS", limit)
+        table = rows.toPandas()
+        columns = ["c0", "c1", "c2", "c3"]
+        cuts = [np.unique(np.quantile(table[c], np.arange(1, 255) / 255)) for c in columns]
+        bins = boosting._binned(table[columns].to_numpy(), cuts)
+        row = dict(rows=len(bins), bins=bins.tobytes(), y=table["label"].to_numpy(np.uint8).tobytes(), use=bytes([1] * len(bins)), scores=b"", number=0, model=0)
+        batch = boosting.pa.RecordBatch.from_pylist([row])
+        told = next(boosting._locally(iter([batch]), np.array([-0.5]), [{0, 1, 2, 3}], 20, 31, 0.1, 1.0, 20, 256))
+        found.append([boosting.json.loads(t) for t in told.column(2).to_pylist()])
+    for a, b in zip(*found):
+        assert all(a[k] == b[k] for k in ("feature", "cut", "left", "right")) and np.allclose(a["value"], b["value"], rtol=1e-9)
